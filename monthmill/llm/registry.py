@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "line_frequency", "mixing", "pii")
+MODULES = ("url_filter", "line_frequency", "mixing", "token_files", "pieces", "pii")
 
 
 def collect() -> tuple[dict, dict]:
