@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "line_frequency", "mixing", "token_files", "pieces", "pii")
+MODULES = ("url_filter", "near_dedup", "line_frequency", "embedding_dedup", "mixing", "toxicity", "token_files", "pieces", "licenses", "pii")
 
 
 def collect() -> tuple[dict, dict]:
