@@ -1,8 +1,56 @@
-"""Corpus pipeline: stages over the documents table, each written as Parquet and reread."""
+"""Corpus pipeline: stages over the documents table, each written as Parquet and reread.
 
-STAGES = []
+toxicity rejects documents, near-dedup keeps one document of each group, personal data
+is replaced in the texts, sources are mixed to their target weights (rows repeat as
+often as the mix takes them), and what remains is encoded to SentencePiece ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from monthmill.llm import mixing, near_dedup, pieces, pii, toxicity
+from monthmill.llm.common import stage, table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, lexicon).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.one_of_each(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_by_mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """ids of each remaining row; a document that the mix repeats stands in as many rows."""
+    return pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"), pieces.model_path())
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("pieces", encode),
+]
+
+#: SQL can't express the stages' learned scores and sketches.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"stage-{name}")
+    return docs

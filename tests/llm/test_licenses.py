@@ -8,7 +8,7 @@ from monthmill.llm import licenses as li
 def cosine(text):
     tf = Counter(re.findall(li.TERM, text.lower()))
     norm = math.sqrt(sum((c * li.IDF.get(t, li.UNSEEN_IDF)) ** 2 for t, c in tf.items())) or 1
-    best = (0.0, 0, None)
+    best = (0.0, 1, "")
     rows = li.template_weights()
     for i, (name, _) in enumerate(li.TEMPLATES):
         c = round(sum(w * tf[t] * li.IDF[t] for k, _, t, w in rows if k == i) / norm, 9)
