@@ -84,13 +84,16 @@ def verdict(low: Column, high: Column) -> Column:
 
 def report(rows: DataFrame, by: tuple[str, ...] = ("scenario",)) -> DataFrame:
     """Sizes, both MAEs, their change in percent, the interval and the verdict per group."""
-    users = per_user(rows, by)
+    return report_of(per_user(rows, by), by)
+
+
+def report_of(users: DataFrame, by: tuple[str, ...], draws: int = DRAWS) -> DataFrame:
     totals = users.groupBy(*by).agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_users"),
         (F.sum("champion_sum") / F.sum("n")).alias("champion_mae"), (F.sum("challenger_sum") / F.sum("n")).alias("challenger_mae"),
     )
     change = 100 * F.try_divide(F.col("challenger_mae") - F.col("champion_mae"), F.nullif("champion_mae", F.lit(0.0)))
-    joined = totals.join(bootstrap_ci(users, by), list(by)).join(wilcoxon(users, by).select(*by, "z"), list(by), "left")
+    joined = totals.join(bootstrap_ci(users, by, draws), list(by)).join(wilcoxon(users, by).select(*by, "z"), list(by), "left")
     return joined.withColumns({"mae_change_pct": change, "verdict": verdict(F.round("ci_low", 6), F.round("ci_high", 6))})
 
 

@@ -103,7 +103,7 @@ MEAN3 = f"(coalesce({L1}, 0) + coalesce({L2}, 0) + coalesce({L3}, 0)) / nullif(C
 #: pw: rows with both baselines; pl: the same, a row per model.
 PRED = f"""
 med AS (SELECT quantile_cont({Y}, 0.5) AS median_target FROM sp WHERE side = 'train'),
-pw AS (SELECT sp.*, coalesce({L1}, median_target) AS persistence, coalesce({MEAN3}, median_target) AS three_month_average FROM sp, med),
+pw AS (SELECT sp.*, median_target, coalesce({L1}, median_target) AS persistence, coalesce({MEAN3}, median_target) AS three_month_average FROM sp, med),
 pl AS (SELECT *, 'persistence' AS model, {Y} AS truth, {L1} AS anchor, persistence AS prediction FROM pw
        UNION ALL SELECT *, 'three_month_average', {Y}, {L1}, three_month_average FROM pw)"""
 
