@@ -9,11 +9,11 @@ equal coordinates is as concentrated around the similarity as with BINS independ
 samples.
 
 Documents with equal sets are one class.  Classes that agree in a whole band of
-coordinates are candidates.  First each candidate is compared with the smallest
-of its bucket only; buckets whose members are then in one component are done.  In the
-others, members outside the bucket's largest component are compared with all members of
-other components.  So no pair of one component is ever listed, but no link between
-components is lost.  Candidates whose sketches agree too little for the threshold (by
+coordinates are candidates.  First each is compared with a few heads of its bucket only;
+buckets whose members are then in one component are done.  In the others, texts with so
+many shingles of their own that they can't reach the threshold drop out, and members outside the
+bucket's largest component are compared with those of other components.  So no pair of
+one component is ever listed, but no link between components is lost.  Candidates whose sketches agree too little for the threshold (by
 seven standard deviations) are dropped, the others are confirmed on their full sets.
 """
 
@@ -30,7 +30,9 @@ from .common import stage, table
 from .components import connected_components
 
 WIDTH, PERCENT = 5, 80
-BANDS, ROWS = 60, 6
+BANDS, ROWS = 52, 6
+#: Members of a bucket that all others are compared with first.
+HEADS = 4
 BINS = BANDS * ROWS
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(2 * BINS)], np.uint64)
@@ -166,41 +168,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = stage(sketch_documents(docs, doc_id, text, width), "sketches")
     usable = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    members = stage(usable.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node", "set_key"), "classes")
-    # One row per class: its smallest member's.
-    first = members.filter("doc_id = node").select(F.col("set_key").alias("_k"), "node").distinct()
-    nodes = usable.join(first, (F.col("set_key") == F.col("_k")) & (F.col("doc_id") == F.col("node"))).dropDuplicates(["node", "set_key"])
-    nodes = stage(nodes.select("node", "n_shingles", "bands", "sig", "set_key"), "nodes")
-
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
-    bucketed = stage(keyed.join(buckets, "key"), "buckets")
-    stars = bucketed.filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-
-    near = stage(_likely(stars, nodes, percent), "candidates")
-    some = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    texts = _texts(docs, doc_id, text, some, nodes)
-    edges = stage(_confirmed(near, texts, width, percent), "edges")
+    # Documents with equal sets are stood for by the smallest.
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    classes = stage(classes.select("set_key", "node"), "classes")
+    copies = usable.select("doc_id", "set_key").join(classes, "set_key").filter("doc_id <> node").select("doc_id", "node").distinct()
+    copies = stage(copies, "copies")
+    keyed = usable.select("doc_id", F.explode("bands").alias("key"))
+    shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"), "keys")
+    bucketed = keyed.join(shared, "key").join(copies, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct()
+    bucketed = stage(bucketed, "buckets")
+    heads = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HEADS)]
+    heads = stage(bucketed.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "heads"), "heads")
+    bucketed = stage(bucketed.join(heads, "key"), "buckets")
+
+    some = stage(bucketed.select("node").distinct(), "nodes")
+    nodes = usable.join(some, F.col("doc_id") == F.col("node")).select("node", "n_shingles", "sig", "set_key").dropDuplicates(["node", "set_key"])
+    nodes = stage(nodes.drop("set_key"), "nodes")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(some, "node", "left_semi")
+    texts = stage(texts, "texts")
+
+    stars = bucketed.select("node", F.explode("heads").alias("head")).filter("node <> head")
+    stars = stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    edges = stage(_confirmed(stage(_likely(stars, nodes, percent), "candidates"), texts, width, percent), "edges")
     parts = connected_components(edges)
 
     # Buckets that still hold several components.
     placed = bucketed.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    placed = stage(placed.join(open_.select("key", F.col("top.component").alias("top")), "key"), "open")
-    rest = placed.filter("component <> top").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    others = placed.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("top"))
+    open_ = stage(open_.select("key", F.col("top.component").alias("top")), "open")
+    placed = stage(placed.join(open_, "key"), "open")
+    shareable = stage(_shareable(texts, placed.select("node").distinct(), width, percent), "shareable")
+    placed = placed.join(shareable, "node")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "most")]
+    rest = placed.filter("component <> top").select("key", *side("x"))
+    others = placed.select("key", "top", *side("y"))
     # A pair of two members of the rest is met from either side; the lower node's will do.
-    across = (
-        rest.join(others, "key").filter("cx <> cy AND (cy = top OR x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    across = rest.join(others, "key").filter(
+        "component_x <> component_y AND (component_y = top OR node_x < node_y) "
+        f"AND least(most_x, most_y) * (100 + {percent}) >= {percent} * (n_x + n_y)"
     )
-    more = stage(_likely(across, nodes, percent), "candidates")
-    some = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
-    found = stage(_confirmed(more, _texts(docs, doc_id, text, some, nodes), width, percent), "edges")
+    across = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    found = stage(_confirmed(stage(_likely(across, nodes, percent), "candidates"), texts, width, percent), "edges")
     joined = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    parts = connected_components(joined.union(found).union(members.filter("doc_id <> node").select("doc_id", "node").distinct()))
+    parts = connected_components(joined.union(found).union(copies))
     return (
         rows.select("doc_id", "n_shingles")
         .join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -209,10 +220,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str, some: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in ``some``."""
-    d = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-    return stage(d.join(some, "node", "left_semi"), "texts")
+def _shareable(texts: DataFrame, some: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, n, most) of texts that may still have a link among ``some``.
+
+    A shingle that no other of these texts holds can't be shared, so ``most`` = n less
+    those bounds the intersection with any of them.  Edited copies that drifted too far
+    from their group drop out here, without being compared with each member.
+    """
+
+    def run(batches):
+        shingler = Shingler(width)
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH):
+                part = b.slice(at, BATCH)
+                sets = [shingler(t) for t in part.column(1).to_pylist()]
+                row = [xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(row, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    ["node", "row", "n", "shingles"],
+                )
+
+    sets = texts.join(some, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, row long, n long, shingles array<long>")
+    sets = sets.filter("n > 0").withColumn("id", F.struct("node", "row", "n"))
+    single = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).filter("k = 1")
+    alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    most = sets.select("id").distinct().join(alone, "id", "left").select("id.node", "id.n", (F.col("id.n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    return most.filter(100 * F.col("most") >= percent * F.col("n"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
