@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Chunks remembered by a worker; beyond that it starts afresh.
-MAX_CACHED = 300_000
+MAX_CACHED = 700_000
 _DOUBLE = re.compile(r"\s | \s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -22,7 +22,7 @@ def split_at_single_spaces(text: str) -> list[str]:
 
 
 class ChunkCache:
-    """ids of chunks as little-endian bytes of ``dtype``; ``encode_many`` turns chunks into lists of ids."""
+    """ids of chunks as little-endian bytes of ``dtype``; ``encode_many`` turns chunks into ids (lists or such bytes)."""
 
     def __init__(self, encode_many, dtype: str):
         self.encode_many, self.dtype, self.known = encode_many, dtype, {}
@@ -33,6 +33,6 @@ class ChunkCache:
             self.known = {}
         missing = list({c for chunks in chunked for c in chunks}.difference(self.known))
         for c, ids in zip(missing, self.encode_many(missing) if missing else []):
-            self.known[c] = np.asarray(ids, self.dtype).tobytes()
+            self.known[c] = ids if isinstance(ids, bytes) else np.asarray(ids, self.dtype).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in chunked]

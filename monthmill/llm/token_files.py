@@ -11,8 +11,10 @@ with numpy and maps ranks back to ids.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +34,75 @@ BATCH = 256
 #: The four lengths that a control byte stands for.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
-_encoders: dict[str, tuple] = {}
-
-
-def encoder(path: str) -> tuple:
-    """The worker's tokenizer and its cache of chunks that follow a space, by file."""
+#: Chunks of Latin letters, perhaps with punctuation behind: the tokenizer's pattern cuts them just there.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+#: Words whose ids a worker remembers.
+MAX_WORDS = 300_000
+
+
+class BytePieces:
+    """The worker's byte-level tokenizer: whole texts, and chunks that follow a space."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x20, 0x7F), *range(0xC0, 0x100))}
+        # Only where the file cuts by the byte-level pattern and changes nothing before it may a plain chunk be cut here.
+        self.by_word = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer) is pre_tokenizers.ByteLevel
+        self.words: dict[str, bytes] = {}
+        self.cache = ChunkCache(self.after_space, "<u4")
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, text: str) -> bytes:
+        """ids of what the pattern doesn't cut, by the library's model."""
+        return array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
+
+    def after_space(self, chunks: list[str]) -> list[bytes]:
+        if len(self.words) > MAX_WORDS:
+            self.words = {}
+        words, out, others, cut = self.words, [], [], _PLAIN.fullmatch
+        for c in chunks:
+            m = cut(c) if self.by_word else None
+            if m is None:
+                others.append(c)
+                out.append(None)
+                continue
+            word, behind = m.groups()
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self._piece(" " + word)
+            if behind:
+                more = words.get(behind)
+                if more is None:
+                    more = words[behind] = self._piece(behind)
+                ids += more
+            out.append(ids)
+        if others:
+            rest = (array("I", ids).tobytes() for ids in self.encode([" " + c for c in others]))
+            out = [next(rest) if ids is None else ids for ids in out]
+        return out
+
+
+_encoders: dict[str, BytePieces] = {}
+
+
+def encoder(path: str) -> BytePieces:
     if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        encode = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-        _encoders[path] = (encode, ChunkCache(lambda cs: encode([" " + c for c in cs]), "<u4"))
+        _encoders[path] = BytePieces(path)
     return _encoders[path]
 
 
 def encode_texts(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
     """ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-    encode, cache = encoder(path)
+    own = encoder(path)
     chunked = [split_at_single_spaces(t) for t in texts]
-    first = encode([c[0] for c in chunked])
-    rest = cache.join([c[1:] for c in chunked])
+    first = own.encode([c[0] for c in chunked])
+    rest = own.cache.join([c[1:] for c in chunked])
     end = np.array([end_id], "<u4").tobytes()
     return [np.asarray(a, "<u4").tobytes() + b + end for a, b in zip(first, rest)]
 
