@@ -9,12 +9,13 @@ equal coordinates is as concentrated around the similarity as with BINS independ
 samples.
 
 Documents with equal sets are one class.  Classes that agree in a whole band of
-coordinates are candidates.  First each is compared with a few heads of its bucket only;
-buckets whose members are then in one component are done.  In the others, texts with so
-many shingles of their own that they can't reach the threshold drop out, and members outside the
+coordinates are candidates.  Texts with so many shingles of their own that they can't
+reach the threshold drop out.  Each of the others is compared with two heads of its bucket only, the
+member with the fewest shingles of its own and a random one; buckets whose members
+are then in one component are done.  In the rest, members outside the
 bucket's largest component are compared with those of other components.  So no pair of
 one component is ever listed, but no link between components is lost.  Candidates whose sketches agree too little for the threshold (by
-seven standard deviations) are dropped, the others are confirmed on their full sets.
+five standard deviations) are dropped, the others are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from .components import connected_components
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 52, 6
-#: Members of a bucket that all others are compared with first.
-HEADS = 4
 BINS = BANDS * ROWS
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(2 * BINS)], np.uint64)
@@ -123,7 +122,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str, width: int) -> Dat
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes and sketches allow the threshold."""
     t = percent / 100
-    need = max(0.0, t - 7 * float(np.sqrt(t * (1 - t) / BINS)))
+    need = max(0.0, t - 5 * float(np.sqrt(t * (1 - t) / BINS)))
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -177,15 +176,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"), "keys")
     bucketed = keyed.join(shared, "key").join(copies, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct()
     bucketed = stage(bucketed, "buckets")
-    heads = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HEADS)]
-    heads = stage(bucketed.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "heads"), "heads")
-    bucketed = stage(bucketed.join(heads, "key"), "buckets")
-
     some = stage(bucketed.select("node").distinct(), "nodes")
-    nodes = usable.join(some, F.col("doc_id") == F.col("node")).select("node", "n_shingles", "sig", "set_key").dropDuplicates(["node", "set_key"])
-    nodes = stage(nodes.drop("set_key"), "nodes")
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(some, "node", "left_semi")
     texts = stage(texts, "texts")
+    shareable = stage(_shareable(texts, width, percent), "shareable")
+    # The member with the fewest shingles of its own is the likeliest centre of a group.
+    central = bucketed.join(shareable, "node").withColumn("own", F.round(1 - F.col("most") / F.col("n"), 3))
+    heads = [F.min_by("node", F.struct(*first, F.xxhash64("node"), F.col("node"))) for first in ((F.col("own"),), ())]
+    heads = central.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.countDistinct("node").alias("k")).filter("k > 1")
+    heads = stage(heads.select("key", "heads"), "heads")
+    bucketed = stage(central.join(heads, "key").select("key", "node", "heads").distinct(), "buckets")
+    some = stage(bucketed.select("node").distinct(), "nodes")
+    nodes = usable.join(some, F.col("doc_id") == F.col("node")).select("node", "n_shingles", "sig", "set_key").dropDuplicates(["node", "set_key"])
+    nodes = stage(nodes.drop("set_key"), "nodes")
 
     stars = bucketed.select("node", F.explode("heads").alias("head")).filter("node <> head")
     stars = stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
@@ -198,11 +201,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     open_ = stage(open_.select("key", F.col("top.component").alias("top")), "open")
     placed = stage(placed.join(open_, "key"), "open")
-    shareable = stage(_shareable(texts, placed.select("node").distinct(), width, percent), "shareable")
-    placed = placed.join(shareable, "node")
+    crossing = stage(_crossing(texts, placed, width, percent), "crossing")
     side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "most")]
-    rest = placed.filter("component <> top").select("key", *side("x"))
-    others = placed.select("key", "top", *side("y"))
+    rest = placed.filter("component <> top").join(crossing, "node")
+    others = placed.filter("component = top").join(shareable, "node").unionByName(rest).select("key", "top", *side("y"))
+    rest = rest.select("key", *side("x"))
     # A pair of two members of the rest is met from either side; the lower node's will do.
     across = rest.join(others, "key").filter(
         "component_x <> component_y AND (component_y = top OR node_x < node_y) "
@@ -220,13 +223,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _shareable(texts: DataFrame, some: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, n, most) of texts that may still have a link among ``some``.
-
-    A shingle that no other of these texts holds can't be shared, so ``most`` = n less
-    those bounds the intersection with any of them.  Edited copies that drifted too far
-    from their group drop out here, without being compared with each member.
-    """
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id = (node, row, n), shingles) of texts; row tells apart texts that share a node."""
 
     def run(batches):
         shingler = Shingler(width)
@@ -240,14 +238,37 @@ def _shareable(texts: DataFrame, some: DataFrame, width: int, percent: int) -> D
                     ["node", "row", "n", "shingles"],
                 )
 
-    sets = texts.join(some, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, row long, n long, shingles array<long>")
-    sets = sets.filter("n > 0").withColumn("id", F.struct("node", "row", "n"))
+    sets = texts.select("node", "text").mapInArrow(run, "node long, row long, n long, shingles array<long>")
+    return sets.filter("n > 0").select(F.struct("node", "row", "n").alias("id"), "shingles")
+
+
+def _shareable(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, n, most) of those texts that may have a link among them.
+
+    A shingle that no other of the texts holds can't be shared, so ``most`` = n less
+    those bounds the intersection with any of them.  Edited copies that drifted too far
+    from their group drop out here, without being compared with each member.
+    """
+    sets = _shingle_sets(texts, width)
     single = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).filter("k = 1")
     alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
     most = sets.select("id").distinct().join(alone, "id", "left").select("id.node", "id.n", (F.col("id.n") - F.coalesce("alone", F.lit(0))).alias("most"))
     return most.filter(100 * F.col("most") >= percent * F.col("n"))
 
 
+def _crossing(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, n, most) of members outside their bucket's largest component that may link with another component.
+
+    Only shingles held by texts of more than one component can be shared across; ``most`` counts those.
+    """
+    members = placed.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("top")).alias("rest"))
+    sets = _shingle_sets(texts.join(members.select("node"), "node", "left_semi"), width).withColumn("node", F.col("id.node"))
+    held = sets.join(members, "node").select("id", "component", "rest", F.explode("shingles").alias("shingle"))
+    across = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
+    most = held.filter("rest").select("id", "shingle").distinct().join(across, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("most"))
+    return most.select("id.node", "id.n", "most").filter(100 * F.col("most") >= percent * F.col("n"))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, one document of each group: the one with the smallest doc_id; of rows that repeat a doc_id, one."""
     doc_id = options.get("doc_id", "doc_id")

@@ -28,7 +28,7 @@ from .common import table
 #: Look-alikes of Latin letters in Cyrillic and Greek (fixed values).
 HOMOGLYPHS = dict(zip("асеорхуіјѕԁһԛԝкмнтвгαεικνορτυχωβ", "aceopxyijsdhqwkmhtbraeiknoptuxwb"))
 #: Digits and signs that stand for letters (fixed values).
-SUBSTITUTES = dict(zip("0134578@$!|+€", "oieastbasilte"))
+SUBSTITUTES = dict(zip("0134578@$€", "oieastbase"))
 #: Harmless phrases that hold a word of the lexicon.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "white trash bag", "pond scum", "oxymoron")
 #: Labelled rows that the lexicon and the score are learned from: those with the smallest hashes.
