@@ -60,8 +60,11 @@ def symlog_histogram(df: DataFrame, column: str = TARGET, bins: int = 40, heavy:
 
 
 def near_constant(df: DataFrame, columns: list[str], share: float = 0.99, distinct: int = 10) -> DataFrame:
-    """Most common value's share and number of values per column; two-level counts, so a constant column is no hot key."""
-    values = unpivoted(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Most common value's share and number of values per column; two-level counts, so a constant column is no hot key.
+
+    Values that are equal to six decimals count as one.
+    """
+    values = unpivoted(df, columns).withColumn("value", F.round("value", 6)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     out = values.groupBy("column").agg((F.max("n") / F.sum("n")).alias("top_share"), F.count("value").alias("n_values"))
     return out.withColumn("flagged", (F.col("top_share") >= share) | (F.col("n_values") <= distinct))
 

@@ -61,7 +61,7 @@ def eda_symlog_histogram(spark, d):
 
 
 @query(
-    f"""WITH {V1}, u AS ({unpivot_sql('v1', V1_NUMBERS)}), n AS (SELECT "column" AS c, value, COUNT(*) AS n FROM u GROUP BY 1, 2),
+    f"""WITH {V1}, u AS ({unpivot_sql('v1', V1_NUMBERS)}), n AS (SELECT "column" AS c, round(value, 6) AS value, COUNT(*) AS n FROM u GROUP BY 1, 2),
 t AS (SELECT c AS column_name, MAX(n) / SUM(n) AS top_share, COUNT(value) AS n_values FROM n GROUP BY 1)
 SELECT *, top_share >= 0.99 OR n_values <= 10 AS flagged FROM t""",
     "column_name flagged", "n_values", "top_share",
