@@ -3,7 +3,7 @@
 Four base kinds (email, ip, card, phone) are found leftmost and non-overlapping;
 those that fail their check are dropped.  Three further kinds are scored: iban
 (mod 97), ssn (needs a context word nearby) and secret (keys and assigned
-passwords).  Positions are code points, derived from the lengths of the gaps and
+passwords or tokens, in any case, quoted or not, of any length from 8 on).  Positions are code points, derived from the lengths of the gaps and
 matches of the same expression, so nothing leaves the JVM.  Every expression
 starts only where a run of its characters starts and uses possessive repetition,
 so it is linear in the text.
@@ -19,6 +19,11 @@ from .common import let, table
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "secret")
 
+#: Names in any case whose assigned value is a secret; words before them (access_token, dbPassword) are left out of the span.
+SECRET_NAME = r"passw(?:or)?d|passphrase|pwd|secret(?:[_-]?(?:access[_-]?)?key)?|token|(?:api|access|private)[_-]?key"
+#: The whole value: to its closing quote on the same line, else to white space.
+SECRET_VALUE = r"""(?:"(?:[^"\\\n]|\\.){8,}+"|'(?:[^'\\\n]|\\.){8,}+'|`[^`\n]{8,}+`|["'`]?+[^ \t-\r]{8,}+)"""
+
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -26,7 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:password|passwd|secret|api_?key)[=:][^ \t-\r]{8,64})(?![A-Za-z0-9])",
+    "secret": rf"(?:(?<![A-Za-z0-9])AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|(?i:{SECRET_NAME})[\\\"'`]{{0,3}}[ \t]*+(?::=|=>|=++|:)[ \t]*+{SECRET_VALUE})",
 }
 #: A cheap test that a text must pass before its expression is tried.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "ssn": "-"}

@@ -56,6 +56,32 @@ def test_extra_kinds(spark):
     assert got[8] == "secret:0:21,secret:22:42"
 
 
+HEX = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+JWT = "eyJhbGciOiJIUzI1NiJ9." + "a1B2" * 30 + ".x-" + "Z_9" * 20
+SECRETS = {
+    f'tho token = "{HEX}" an': "tho <SECRET> an",
+    f'### TOKEN = "{HEX.upper()}"!! X': "### <SECRET>!! X",
+    f"Token={JWT} end": "<SECRET> end",
+    f"api_key: {'q7' * 500}\nnext": "<SECRET>\nnext",
+    f"access_token := '{HEX}';": "access_<SECRET>;",
+    f'{{"dbPassword": "two words \\" here", "n": 1}}': '{"db<SECRET>, "n": 1}',
+    "SECRET_KEY = unclosed-\"value next": "<SECRET> next",
+    f'token = "{HEX}': "<SECRET>",
+    "token ring, a secret: short, tokens = 1234567890": "token ring, a secret: short, tokens = 1234567890",
+}
+
+
+def test_assigned_secrets(spark):
+    df = spark.createDataFrame([(t, t) for t in SECRETS], "was string, text string")
+    assert {r.was: r.text for r in pii.redact(df).collect()} == SECRETS
+
+
+def test_secrets_are_linear(spark):
+    rows = [('token="' * 150_000,), ("token='" * 150_000,), ("token" * 200_000,), ('token="' + "\\\\" * 500_000,), ("token=" + "x" * 1_000_000,), ("token" + " " * 1_000_000,)]
+    assert pii.redact(spark.createDataFrame(rows, "text string")).count() == 6
+    assert len(pii.redact(spark.createDataFrame(rows, "text string")).collect()) == 6
+
+
 def test_very_long_runs_are_linear(spark):
     rows = [(0, "x" * 1_000_000), (1, "1" * 1_000_000), (2, "a." * 300_000 + "@b.c"), (3, "+" + "1 " * 200_000), (4, "1." * 200_000)]
     assert len(pii.op10_pii_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 5
