@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from monthmill.llm import licenses as li
 
@@ -66,3 +67,30 @@ def test_equals_brute_force(spark, sf_dir):
     files = [(f"{r.source}/{r.lang}/{r.doc_id}", r.text) for r in docs]
     assert rows(li.op9_licenses(spark, sf_dir)) == sorted(brute(files), key=str)
     assert li.scan_licenses(df.limit(0)).count() == 0
+
+
+def full(name, holder="Copyright (c) 2021 Jane Roe"):
+    return holder + "\n\n" + (Path(li.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+
+
+def test_full_licences_and_headers(spark):
+    notice = li.GNU_NOTICE.format("", "3").split()
+    wrapped = "\n".join("# " + " ".join(notice[i : i + 12]) for i in range(0, len(notice), 12))
+    apache = '/*\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n */'
+    want = {
+        ("m/LICENSE", "MIT License\n\n" + full("MIT")): "MIT", ("m/src/x.py", "code"): "MIT",
+        ("a/LICENSE.txt", full("Apache-2.0")): "Apache-2.0", ("a/x.py", "code"): "Apache-2.0",
+        ("g/COPYING", full("GPL-3.0")): "GPL-3.0", ("g/x.py", "code"): "GPL-3.0",
+        ("h/COPYING", full("GPL-2.0")): "GPL-2.0", ("h/x.py", "code"): "GPL-2.0",
+        ("b/LICENSE", full("BSD-3-Clause")): "BSD-3-Clause", ("b/x.py", "code"): "BSD-3-Clause",
+        ("c/legal", full("MIT")): "MIT", ("c/x.py", "code"): "MIT",
+        ("l/COPYING.LESSER", full("LGPL-3.0")): "LGPL-3.0", ("l/x.py", "code"): "LGPL-3.0",
+        ("q/LICENSE", "a licence of our own, ask for permission before use"): None, ("q/x.py", "code"): None,
+        ("s/1", "# SPDX-License-Identifier: MIT\ncode"): "MIT", ("s/2", "/* SPDX-License-Identifier: GPL-2.0-or-later */"): "GPL-2.0",
+        ("s/3", "// SPDX-License-Identifier: MIT OR Apache-2.0"): "MIT OR Apache-2.0",
+        ("t/1", apache + "\ncode"): "Apache-2.0", ("t/2", wrapped + "\n\ncode"): "GPL-3.0",
+        ("t/3", "code\n     GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\ncode"): "GPL-3.0",
+    }
+    df = spark.createDataFrame(list(want), "path string, text string")
+    got = {r.path: (r.license, r.inherited_from) for r in li.scan_licenses(df).collect()}
+    assert got == {p: (name, p.split("/")[0] if t == "code" and name else None) for (p, t), name in want.items()}
