@@ -2,7 +2,7 @@
 
 A line is normalised (lower case, digits to 0, white space collapsed) and
 hashed; per host the distinct documents that hold it are counted.  Lines above
-the host's limit are boilerplate.  A document is rejected when boilerplate makes
+the host's limit are boilerplate and are removed from the text.  A document is rejected when boilerplate makes
 up more than ``depleted_share`` of its words.  Identical texts of a host count
 as one document, so groups of exact copies don't deplete each other.
 
@@ -86,6 +86,15 @@ def normalised(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(line), r"[ \t-\r]+", " "), "[0-9]", "0"))
 
 
+def without_lines(lines: Column, gone: Column) -> Column:
+    """The text of ``lines`` without those at the positions ``gone``; the others keep their order."""
+
+    def rest(x: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)), "\n")
+
+    return let(lines, rest)
+
+
 def line_frequency(
     docs: DataFrame,
     host: str = "source",
@@ -94,7 +103,9 @@ def line_frequency(
     host_share: float = HOST_SHARE,
     depleted_share: float = DEPLETED_SHARE,
 ) -> DataFrame:
-    """``docs`` with the base measures, ``base_failed``, ``removed_words`` and ``kept``.
+    """``docs`` with the base measures, ``base_failed``, ``clean_text``, ``removed_words`` and ``kept``.
+
+    clean_text: the text without its boilerplate lines.  removed_words: the words it lost by that.
 
     Null text: no words, so ``base_failed``.  Null host: a host of its own.
     Repeated rows get equal results.  An empty table gives an empty result.
@@ -106,12 +117,12 @@ def line_frequency(
         "_t2": F.hash(F.coalesce(F.col(text), F.lit(""))),
     }
     keyed = docs.withColumns(keys)
-    lines = keyed.select(
-        *keys,
-        F.explode(
-            F.transform(with_word_lines(F.col(text)), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), n_words(x).alias("w")))
-        ).alias("x"),
-    ).select(*keys, "x.line", "x.w")
+    # Positions count all lines; those without a word are never boilerplate.
+    all_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    lines = (
+        keyed.select(*keys, F.posexplode(F.transform(all_lines, lambda x: F.when(x.rlike(WORD), F.xxhash64(normalised(x))))).alias("pos", "line"))
+        .filter("line IS NOT NULL")
+    )
     copies = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     hosts = copies.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
     common = (
@@ -122,21 +133,16 @@ def line_frequency(
         .filter(F.col("n_docs") >= host_share * F.col("host_docs"))
         .select("_host", "line")
     )
-    removed = (
-        lines.join(common, ["_host", "line"])
-        .groupBy(*keys)
-        .agg(F.sum("w").alias("w"))
-        .join(copies, list(keys))
-        .select(*keys, F.expr("w div copies").alias("_removed"))
-    )
+    removed = lines.join(common, ["_host", "line"]).groupBy(*keys).agg(F.collect_set("pos").alias("_gone"))
     measures = base_measures(F.col(text))
     out = keyed.withColumns(measures).join(removed, list(keys), "left")
+    out = out.withColumn("clean_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without_lines(all_lines, F.col("_gone"))))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = F.coalesce(F.col("_removed"), F.lit(0)).cast("long")
+    lost = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_words") - n_words(F.col("clean_text"))).cast("long")
     return (
         out.withColumns({"base_failed": base_failed, "removed_words": lost})
         .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= depleted_share * F.col("n_words")))
-        .drop(*keys, "_removed")
+        .drop(*keys, "_gone")
     )
 
 

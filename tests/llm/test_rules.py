@@ -206,3 +206,15 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     got = embedding_dedup.embedding_duplicates(df).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute_links(rows), key=str)
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
+
+
+def test_boilerplate_lines_are_removed(spark):
+    from monthmill.llm import line_frequency as lf
+
+    foot = "Share this page 12 times"
+    texts = {i: f"own words of text {'abcdefghijkl'[i]} here\n{foot.replace('12', str(i))}\n\n  {foot}\nand an end {'abcdefghijkl'[i]}" for i in range(12)}
+    texts |= {20: None, 21: "", 22: foot, 23: "no such line\n\n", 24: texts[3]}
+    df = spark.createDataFrame([(i, "a", t) for i, t in texts.items()] + [(30, "b", foot)], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.clean_text, r.removed_words) for r in lf.line_frequency(df).collect()}
+    want = {i: (f"own words of text {'abcdefghijkl'[i]} here\n\nand an end {'abcdefghijkl'[i]}", 10) for i in range(12)}
+    assert got == want | {20: (None, 0), 21: ("", 0), 22: ("", 5), 23: ("no such line\n\n", 0), 24: want[3], 30: (foot, 0)}
