@@ -94,3 +94,23 @@ def test_protobuf_fields():
     assert list(pieces.fields(b"\x08\x96\x01\x12\x02hi\x1d\x00\x00\x80\x3f")) == [(1, 150), (2, b"hi"), (3, b"\x00\x00\x80?")]
     with pytest.raises(IndexError):
         list(pieces.fields(b"\x08"))
+
+
+def test_parity_shows_faults_of_the_backend(monkeypatch):
+    import pyarrow as pa
+
+    path = pieces.model_path()
+    c = pieces.PieceCodec(path)
+    right = c._encode_chunks
+    monkeypatch.setitem(pieces._codecs, path, c)
+    c.cache.encode_many = lambda chunks: [[5] if x == "wrong" else y for x, y in zip(chunks, right(chunks))]
+    texts = [f"{w} text {i}" for i in range(70) for w in ("some", "wrong")]
+
+    class Docs:
+        columns = ["text"]
+        select = lambda self, *a: self
+        mapInArrow = lambda self, run, schema: run
+
+    rows = [r for b in pieces.encode_pieces(Docs(), path)(iter([pa.RecordBatch.from_pydict({"text": texts})])) for r in b.to_pylist()]
+    assert [r["parity"] for r in rows] == [not t.startswith("wrong") for t in texts]
+    assert [r["ids"] for r in rows] == c.reference.encode(texts)
