@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +18,47 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; where none is set, a temporary one in local mode and an error on a cluster."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return _own_dir
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+_staged: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def stage(df: DataFrame, label: str, drop: Sequence[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``drop``: staged tables that nothing needs any more once ``df`` is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _staged[out] = path
+    discard(*drop)
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove the files of staged tables; other DataFrames are left alone."""
+    for df in staged:
+        if path := _staged.pop(df, None):
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(name: str) -> str:
+    """A column name that no caller's table has."""
+    return f"_{name}_{uuid.uuid4().hex[:12]}"
 
 
 def let(value: Column, body) -> Column:

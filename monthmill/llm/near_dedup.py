@@ -9,13 +9,16 @@ equal coordinates is as concentrated around the similarity as with BINS independ
 samples.
 
 Documents with equal sets are one class.  Classes that agree in a whole band of
-coordinates are candidates.  Texts with so many shingles of their own that they can't
-reach the threshold drop out.  Each of the others is compared with two heads of its bucket only, the
-member with the fewest shingles of its own and a random one; buckets whose members
-are then in one component are done.  In the rest, members outside the
-bucket's largest component are compared with those of other components.  So no pair of
-one component is ever listed, but no link between components is lost.  Candidates whose sketches agree too little for the threshold (by
-five standard deviations) are dropped, the others are confirmed on their full sets.
+coordinates share a bucket.  Texts with so many shingles of their own that they can't
+reach the threshold drop out.  Each of the others is compared with two heads of its
+bucket, the member with the fewest shingles of its own and a random one; buckets whose
+members are then in one component are done.  Members of the rest are paired across
+components by their rarest shingles: two sets that reach the threshold have their first
+common shingle, in an order from rare to frequent, so early in both that the shingles
+after it can still make up the intersection.  That is exact, so no link between
+components is lost, and drifted copies of one text, whose rare shingles are their own
+edits, meet hardly anyone.  No pair of one component is listed.  All pairs are confirmed
+on their full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import discard, fresh, stage, table
 from .components import connected_components
 
 WIDTH, PERCENT = 5, 80
@@ -35,9 +38,13 @@ BANDS, ROWS = 52, 6
 BINS = BANDS * ROWS
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(2 * BINS)], np.uint64)
-#: Words whose hashes a worker remembers.
-MAX_WORDS = 500_000
-BATCH = 512
+#: Texts that are hashed together: at most so many, and up to so many bytes (a longer text is alone).
+BATCH, BATCH_BYTES = 512, 1 << 22
+#: Bytes whose words are hashed in one step.
+STEP_BYTES = 1 << 21
+_SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint64)
+EMPTY = np.iinfo(np.uint64).max
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,70 +54,104 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Sets of hashed shingles; remembers the hashes of words."""
-
-    def __init__(self, width: int):
-        self.width, self.words = width, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes.  bytes.lower and bytes.split know just A-Z and \\x20, \\x09-\\x0D."""
-        w = (text or "").encode(errors="surrogatepass").lower().split()
-        if not w:
-            return np.empty(0, np.uint64)
-        if len(self.words) > MAX_WORDS:
-            self.words = {}
-        known = self.words
-        for x in set(w).difference(known):
-            known[x] = xxhash.xxh64_intdigest(x)
-        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-        if len(h) < self.width:
-            return mix(np.array([xxhash.xxh64_intdigest(h.tobytes(), len(h))], np.uint64))
-        out = np.zeros(len(h) - self.width + 1, np.uint64)
-        for k in range(self.width):
-            out = mix(out + h[k : k + len(out)] + np.uint64(k))
-        return np.unique(out)
-
-
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """BINS values: the round above 32 bits of hash."""
-    s = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    done, n = 0, len(shingles)
-    while n and done < 2 * BINS:
-        more = max(1, min(2 * BINS - done, 1024 // n))  # rounds beyond the last needed one change nothing
-        rounds = np.arange(done, done + more)
-        h = mix(shingles[None, :] ^ _SEEDS[rounds][:, None])
-        bins = np.where(rounds[:, None] < BINS, (h >> np.uint64(32)) % np.uint64(BINS), (rounds[:, None] - BINS).astype(np.uint64))
-        values = (rounds.astype(np.uint64)[:, None] << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-        np.minimum.at(s, bins.ravel().astype(np.int64), values.ravel())
-        done += more
-        if s.max() < np.iinfo(np.uint64).max:
-            break
-    return s
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of UTF-8 bytes; A-Z count as a-z.  A hash is a sum over (place in the word, byte)."""
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        end = min(len(raw), at + STEP_BYTES)
+        while end < len(raw) and not _SEPARATES[raw[end]]:
+            end += 1
+        part = raw[at:end]
+        inside = np.flatnonzero(~_SEPARATES[part])
+        if len(inside):
+            first = np.flatnonzero(np.diff(inside, prepend=-2) > 1)
+            start = inside[first]
+            place = inside - np.repeat(start, np.diff(first, append=len(inside)))
+            each = mix((_LOWER[part[inside]] + np.uint64(1)) ^ (place.astype(np.uint64) + np.uint64(1)) * _MIX2)
+            hashes.append(mix(np.add.reduceat(each, first)))
+            starts.append(start + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The set of each text: sorted distinct 64-bit hashes of its shingles."""
+    coded = [(t or "").encode(errors="surrogatepass") for t in texts]
+    h, start = word_hashes(np.frombuffer(b"\n".join(coded), np.uint8))
+    ends = np.searchsorted(start, np.cumsum([len(c) + 1 for c in coded]))
+    rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    for k in range(width):
+        rolled = mix(rolled + h[k : k + len(rolled)] + np.uint64(k))
+    out, at = [], 0
+    for end in ends.tolist():
+        if end - at >= width:
+            out.append(np.unique(rolled[at : end - width + 1]))
+        elif end > at:
+            out.append(mix(np.array([xxhash.xxh64_intdigest(h[at:end].tobytes(), end - at)], np.uint64)))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at = end
+    return out
+
+
+def batches_of(texts: list[str | None]):
+    """Slices of ``texts`` within BATCH and BATCH_BYTES."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        more = len(t or "")
+        if i > at and (i - at == BATCH or size + more > BATCH_BYTES):
+            yield slice(at, i)
+            at, size = i, 0
+        size += more
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BINS values per set: the round above 32 bits of hash; EMPTY for an empty set."""
+    out = np.full((len(sets), BINS), EMPTY, np.uint64)
+    flat = out.reshape(-1)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    done = 0
+    while len(h) and done < 2 * BINS:
+        # Rounds beyond the last needed one change nothing, so several go at once.
+        rounds = np.arange(done, done + max(1, min(2 * BINS - done, (1 << 15) // len(h))))
+        x = mix(h[None, :] ^ _SEEDS[rounds][:, None])
+        bins = (x >> np.uint64(32)) % np.uint64(BINS)
+        late = rounds >= BINS
+        bins[late] = (rounds[late] - BINS).astype(np.uint64)[:, None]
+        x = (rounds.astype(np.uint64)[:, None] << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF))
+        np.minimum.at(flat, (bins.view(np.int64) + owner[None, :] * BINS).ravel(), x.ravel())
+        done += len(rounds)
+        open_ = (out == EMPTY).any(axis=1)[owner]
+        if not open_.all():
+            h, owner = h[open_], owner[open_]
+    return out
 
 
 def sketch_documents(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands, sig): bands are 64-bit keys, sig a byte of each coordinate."""
 
     def run(batches):
-        shingler = Shingler(width)
         numbers = np.arange(BANDS, dtype=np.uint64) * _MIX2
         for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                part = b.slice(at, BATCH)
-                n, key, bands, sig = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    s = shingler(t)
-                    n.append(len(s))
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    c = sketch(s)
-                    h = numbers.copy()
-                    for k in range(ROWS):
-                        h = mix(h ^ c[k::ROWS])
-                    bands.append(h.view(np.int64) if len(s) else np.empty(0, np.int64))
-                    sig.append((mix(c) & np.uint64(0xFF)).astype(np.uint8).tobytes())
+            texts = b.column(1).to_pylist()
+            for part in batches_of(texts):
+                sets = shingle_sets(texts[part], width)
+                c = sketches(sets)
+                h = np.repeat(numbers[None, :], len(sets), axis=0)
+                for k in range(ROWS):
+                    h = mix(h ^ c[:, k::ROWS])
+                sig = (mix(c) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                    [
+                        b.column(0).slice(part.start, len(sets)),
+                        pa.array(map(len, sets), pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array([x if len(s) else x[:0] for s, x in zip(sets, h.view(np.int64))], pa.list_(pa.int64())),
+                        pa.array([x.tobytes() for x in sig], pa.binary()),
+                    ],
                     ["doc_id", "n_shingles", "set_key", "bands", "sig"],
                 )
 
@@ -120,11 +161,10 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str, width: int) -> Dat
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes and sketches allow the threshold."""
+    """Pairs whose sketches allow the threshold, give or take five standard deviations."""
     t = percent / 100
     need = max(0.0, t - 5 * float(np.sqrt(t * (1 - t) / BINS)))
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("sig").alias(f"s{k}"))
 
     @F.pandas_udf("boolean")
     def agree(sa: pd.Series, sb: pd.Series) -> pd.Series:
@@ -133,7 +173,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         same = (a == b).mean(axis=1) if len(a) else np.empty(0)
         return pd.Series((same - 1 / 256) / (1 - 1 / 256) >= need)
 
-    return joined.filter(agree("sa", "sb")).select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(agree("sa", "sb")).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -142,16 +182,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def run(parts):
-        shingler, last = Shingler(width), (None, None)
         for ta, tb in parts:
-            out = []
-            for x, y in zip(ta, tb):
-                if last[0] != x:
-                    last = x, shingler(x)
-                a, b = last[1], shingler(y)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
-            yield pd.Series(out, dtype=bool)
+            out = np.zeros(len(ta), bool)
+            both = [t for pair in zip(ta, tb) for t in pair]
+            for part in batches_of(both):
+                # A pair's first text may end the part before.
+                lo, hi = part.start // 2 * 2, part.stop // 2 * 2
+                own = list(dict.fromkeys(both[lo:hi]))
+                sets = dict(zip(own, shingle_sets(own, width)))
+                for k in range(lo, hi, 2):
+                    a, b = sets[both[k]], sets[both[k + 1]]
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    out[k // 2] = 100 * shared >= percent * (len(a) + len(b) - shared) and shared > 0
+            yield pd.Series(out)
 
     same = F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)
     return pairs.join(left, "a").join(right, "b").filter(same("ta", "tb")).select("a", "b")
@@ -174,47 +217,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = stage(copies, "copies")
     keyed = usable.select("doc_id", F.explode("bands").alias("key"))
     shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"), "keys")
-    bucketed = keyed.join(shared, "key").join(copies, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct()
-    bucketed = stage(bucketed, "buckets")
-    some = stage(bucketed.select("node").distinct(), "nodes")
+    met = keyed.join(shared, "key").join(copies, "doc_id", "left").select("key", F.coalesce("node", "doc_id").alias("node")).distinct()
+    met = stage(met, "met", drop=[classes, shared])
+    some = stage(met.select("node").distinct(), "nodes")
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).join(some, "node", "left_semi")
-    texts = stage(texts, "texts")
-    shareable = stage(_shareable(texts, width, percent), "shareable")
+    texts = stage(texts, "texts", drop=[some])
+    sets = stage(_hashed(texts, width), "sets")
+    shareable = stage(_shareable(sets, percent), "shareable")
     # The member with the fewest shingles of its own is the likeliest centre of a group.
-    central = bucketed.join(shareable, "node").withColumn("own", F.round(1 - F.col("most") / F.col("n"), 3))
-    heads = [F.min_by("node", F.struct(*first, F.xxhash64("node"), F.col("node"))) for first in ((F.col("own"),), ())]
+    central = met.join(shareable, "node").withColumn("own", F.round(1 - F.col("most") / F.col("n"), 3))
+    heads = [F.min_by(F.struct("node", "n", "most"), F.struct(*first, F.xxhash64("node"), F.col("node"))) for first in ((F.col("own"),), ())]
     heads = central.groupBy("key").agg(F.array_distinct(F.array(*heads)).alias("heads"), F.countDistinct("node").alias("k")).filter("k > 1")
     heads = stage(heads.select("key", "heads"), "heads")
-    bucketed = stage(central.join(heads, "key").select("key", "node", "heads").distinct(), "buckets")
+    bucketed = stage(central.join(heads, "key").select("key", "node", "n", "most", "heads").distinct(), "buckets", drop=[met, shareable, heads])
     some = stage(bucketed.select("node").distinct(), "nodes")
-    nodes = usable.join(some, F.col("doc_id") == F.col("node")).select("node", "n_shingles", "sig", "set_key").dropDuplicates(["node", "set_key"])
-    nodes = stage(nodes.drop("set_key"), "nodes")
-
-    stars = bucketed.select("node", F.explode("heads").alias("head")).filter("node <> head")
-    stars = stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    edges = stage(_confirmed(stage(_likely(stars, nodes, percent), "candidates"), texts, width, percent), "edges")
+    nodes = usable.join(some, F.col("doc_id") == F.col("node")).select("node", "sig", "set_key").dropDuplicates(["node", "set_key"])
+    nodes = stage(nodes.drop("set_key"), "nodes", drop=[some])
+
+    stars = bucketed.select("node", "n", "most", F.explode("heads").alias("head")).filter("node <> head.node")
+    stars = stars.filter(f"least(most, head.most) * (100 + {percent}) >= {percent} * (n + head.n) AND 100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
+    stars = stars.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+    likely = stage(_likely(stars, nodes, percent), "candidates", drop=[nodes])
+    edges = stage(_confirmed(likely, texts, width, percent), "edges", drop=[likely])
     parts = connected_components(edges)
 
     # Buckets that still hold several components.
-    placed = bucketed.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = bucketed.select("key", "node").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     open_ = stage(open_.select("key", F.col("top.component").alias("top")), "open")
-    placed = stage(placed.join(open_, "key"), "open")
-    crossing = stage(_crossing(texts, placed, width, percent), "crossing")
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "most")]
-    rest = placed.filter("component <> top").join(crossing, "node")
-    others = placed.filter("component = top").join(shareable, "node").unionByName(rest).select("key", "top", *side("y"))
-    rest = rest.select("key", *side("x"))
-    # A pair of two members of the rest is met from either side; the lower node's will do.
-    across = rest.join(others, "key").filter(
-        "component_x <> component_y AND (component_y = top OR node_x < node_y) "
-        f"AND least(most_x, most_y) * (100 + {percent}) >= {percent} * (n_x + n_y)"
-    )
-    across = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    found = stage(_confirmed(stage(_likely(across, nodes, percent), "candidates"), texts, width, percent), "edges")
+    members = placed.join(open_, "key").groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("top")).alias("rest"))
+    members = stage(members, "members", drop=[bucketed, open_, edges])
+    across = _across(sets, members, percent)
+    discard(sets, members)
+    found = stage(_confirmed(across, texts, width, percent), "edges", drop=[across, texts])
     joined = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = connected_components(joined.union(found).union(copies))
+    discard(copies, found)
     return (
         rows.select("doc_id", "n_shingles")
         .join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -223,57 +262,76 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id = (node, row, n), shingles) of texts; row tells apart texts that share a node."""
+def _hashed(texts: DataFrame, width: int) -> DataFrame:
+    """(node, row, n, shingles) of texts; row tells apart texts that share a node."""
 
     def run(batches):
-        shingler = Shingler(width)
         for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                part = b.slice(at, BATCH)
-                sets = [shingler(t) for t in part.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            for part in batches_of(texts):
+                sets = shingle_sets(texts[part], width)
                 row = [xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(row, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                    [b.column(0).slice(part.start, len(sets)), pa.array(row, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                     ["node", "row", "n", "shingles"],
                 )
 
     sets = texts.select("node", "text").mapInArrow(run, "node long, row long, n long, shingles array<long>")
-    return sets.filter("n > 0").select(F.struct("node", "row", "n").alias("id"), "shingles")
+    return sets.filter("n > 0")
 
 
-def _shareable(texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _shareable(sets: DataFrame, percent: int) -> DataFrame:
     """(node, n, most) of those texts that may have a link among them.
 
     A shingle that no other of the texts holds can't be shared, so ``most`` = n less
     those bounds the intersection with any of them.  Edited copies that drifted too far
     from their group drop out here, without being compared with each member.
     """
-    sets = _shingle_sets(texts, width)
-    single = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k")).filter("k = 1")
-    alone = single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    most = sets.select("id").distinct().join(alone, "id", "left").select("id.node", "id.n", (F.col("id.n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    held = sets.select("node", "row", "n", F.explode("shingles").alias("shingle"))
+    single = held.groupBy("shingle").agg(F.min(F.struct("node", "row", "n")).alias("id"), F.count(F.lit(1)).alias("k")).filter("k = 1")
+    alone = single.groupBy("id.node", "id.row", "id.n").agg(F.count(F.lit(1)).alias("alone"))
+    most = sets.select("node", "row", "n").join(alone, ["node", "row", "n"], "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     return most.filter(100 * F.col("most") >= percent * F.col("n"))
 
 
-def _crossing(texts: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, n, most) of members outside their bucket's largest component that may link with another component.
+def _across(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that may link, one of them outside its bucket's largest component.
 
-    Only shingles held by texts of more than one component can be shared across; ``most`` counts those.
+    A set's order: first the shingles that only its component holds, which no such
+    pair shares, then the others from rare to frequent.  ``at`` is a shingle's place in
+    it.  A pair that shares ``least`` shingles has its first common one at a place of at
+    most n - least on either side.
     """
-    members = placed.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("top")).alias("rest"))
-    sets = _shingle_sets(texts.join(members.select("node"), "node", "left_semi"), width).withColumn("node", F.col("id.node"))
-    held = sets.join(members, "node").select("id", "component", "rest", F.explode("shingles").alias("shingle"))
-    across = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
-    most = held.filter("rest").select("id", "shingle").distinct().join(across, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("most"))
-    return most.select("id.node", "id.n", "most").filter(100 * F.col("most") >= percent * F.col("n"))
+    held = sets.join(members, "node").select("node", "row", "n", "component", "rest", F.explode("shingles").alias("shingle"))
+    common = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi")
+    lists = (
+        held.join(common.select("shingle", "k"), "shingle").groupBy("node", "row", "n", "component", "rest")
+        .agg(F.sort_array(F.collect_set(F.struct("k", "shingle"))).alias("s"))
+        .withColumn("early", F.size("s") - F.ceil(percent * F.col("n") / 100) + 1)
+        .filter("early > 0")
+        .select("node", "n", "component", "rest", (F.col("n") - F.size("s")).alias("skipped"), F.posexplode(F.expr("slice(s, 1, early)")).alias("i", "x"))
+        .select("node", "n", "component", "rest", (F.col("skipped") + F.col("i")).alias("at"), "x.shingle")
+    )
+    lists = stage(lists, "rarest")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component", "rest", "at")]
+    x, y = lists.filter("rest").select("shingle", *side("x")), lists.select(F.col("shingle").alias("shingle_y"), *side("y"))
+    least = f"ceil({percent} * (n_x + n_y) / {100 + percent})"
+    pairs = x.join(
+        y,
+        F.expr(
+            # A pair of two members outside is met from either side; the lower node's will do.
+            "shingle = shingle_y AND component_x <> component_y AND (NOT rest_y OR node_x < node_y) "
+            f"AND at_x <= n_x - {least} AND at_y <= n_y - {least}"
+        ),
+    )
+    return stage(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "candidates", drop=[lists])
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, one document of each group: the one with the smallest doc_id; of rows that repeat a doc_id, one."""
     doc_id = options.get("doc_id", "doc_id")
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.filter(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    kept = near_duplicates(docs, **options).filter("kept").select("doc_id").distinct().toDF(own := fresh("kept"))
+    known = docs.filter(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(own), "left_semi").dropDuplicates([doc_id])
     return known.unionByName(docs.filter(F.col(doc_id).isNull()))
 
 

@@ -86,18 +86,61 @@ def test_nulls_repeats_empty(spark):
     assert nd.one_of_each(df).count() == 2
 
 
+def test_drifted_copies_meet_across_components(spark):
+    """Edited copies of one text around the threshold, of several lengths: pairs that only the rarest shingles bring together."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            k = rng.randrange(len(w))
+            if rng.random() < 0.4:
+                w[k] = f"n{rng.randrange(25)}"
+            elif rng.random() < 0.5:
+                del w[k]
+            else:
+                w.insert(k, f"m{rng.randrange(25)}")
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check(docs, nd.near_duplicates(df, width=4).collect())
+
+
 def test_sketch_concentration():
     rng = np.random.default_rng(0)
     for n in (1, 3, 50, 5000):
         x = rng.integers(0, 2**63, n).astype(np.uint64)
-        s = nd.sketch(x)
+        s = nd.sketches([x])[0]
         assert (s >> np.uint64(32)).max() < 2 * nd.BINS
-        assert (nd.sketch(rng.permutation(x)) == s).all()
+        assert (nd.sketches([rng.permutation(x), x[:1]])[0] == s).all()
     a = rng.integers(0, 2**63, 1200).astype(np.uint64)
-    got = [(nd.sketch(a[:1000]) == nd.sketch(a[100:1100])).mean()]
+    got = [(nd.sketches([a[:1000]]) == nd.sketches([a[100:1100]])).mean()]
     assert abs(got[0] - 900 / 1100) < 0.08
 
 
+def test_hashed_words_and_sets(monkeypatch):
+    texts = ["A b\tC\x0bd", None, "", " \n", "one", "Ünï Ünï ünï \u2003x\x1cy", "a b c d", "a  B c D ", "b a", "x" * 300 + " y"]
+    for step in (1, 7, 1 << 21):
+        monkeypatch.setattr(nd, "STEP_BYTES", step)
+        flat, seen = b"\n".join((t or "").encode() for t in texts), {}
+        h, start = nd.word_hashes(np.frombuffer(flat, np.uint8))
+        words = flat.lower().split()
+        assert len(h) == len(words)
+        for w, x, at in zip(words, h.tolist(), start.tolist()):
+            assert flat[at : at + len(w)].lower() == w and seen.setdefault(w, x) == x
+        assert len(set(seen.values())) == len(seen)
+        sets = [tuple(s.tolist()) for s in nd.shingle_sets(texts, 4)]
+        assert [len(s) for s in sets] == [1, 0, 0, 0, 1, 1, 1, 1, 1, 1]
+        assert sets[0] == sets[6] == sets[7] and len(set(sets)) == 6
+
+
+def test_batches_cover_every_text_once():
+    texts = ["x" * n for n in (0, 5, 1 << 23, 1, 1)] + [None] * 2000
+    parts = list(nd.batches_of(texts))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(len(texts)))
+    assert all(p.stop - p.start <= nd.BATCH for p in parts) and not list(nd.batches_of([]))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)] + [(1000, 1000 + i) for i in range(50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
