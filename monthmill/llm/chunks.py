@@ -11,8 +11,8 @@ import re
 
 import numpy as np
 
-#: Chunks remembered by a worker; beyond that it starts afresh.
-MAX_CACHED = 700_000
+#: Chunks that a worker remembers: two generations of so many.  Longer ones are never kept, so the memory is bounded.
+MAX_CACHED, MAX_LENGTH = 350_000, 64
 _DOUBLE = re.compile(r"\s | \s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -22,17 +22,22 @@ def split_at_single_spaces(text: str) -> list[str]:
 
 
 class ChunkCache:
-    """ids of chunks as little-endian bytes of ``dtype``; ``encode_many`` turns chunks into ids (lists or such bytes)."""
+    """ids of chunks as little-endian bytes of ``dtype``; ``encode_many`` turns chunks into lists of ids."""
 
     def __init__(self, encode_many, dtype: str):
-        self.encode_many, self.dtype, self.known = encode_many, dtype, {}
+        self.encode_many, self.dtype, self.known, self.old = encode_many, dtype, {}, {}
 
     def join(self, chunked: list[list[str]]) -> list[bytes]:
         """Each list of chunks as one run of ids."""
-        if len(self.known) > MAX_CACHED:
-            self.known = {}
-        missing = list({c for chunks in chunked for c in chunks}.difference(self.known))
+        if len(self.known) >= MAX_CACHED:
+            self.known, self.old = {}, self.known
+        known, once, missing = self.known, {}, []
+        for c in {c for chunks in chunked for c in chunks}.difference(known):
+            if c in self.old:
+                known[c] = self.old[c]
+            else:
+                missing.append(c)
         for c, ids in zip(missing, self.encode_many(missing) if missing else []):
-            self.known[c] = ids if isinstance(ids, bytes) else np.asarray(ids, self.dtype).tobytes()
-        get = self.known.__getitem__
+            (known if len(c) <= MAX_LENGTH else once)[c] = np.asarray(ids, self.dtype).tobytes()
+        get = (lambda c: once[c] if c in once else known[c]) if once else known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in chunked]

@@ -1,8 +1,9 @@
 """Token files: frequency-ranked ids in byte-aligned variable-length coding.
 
-Texts are encoded once; the ids are counted over the whole corpus, and each id is
-replaced by its rank, so frequent ids take one byte.  A file is Parquet whose rows
-are blocks in ascending doc_id order: the documents' ids and counts, control bytes
+Texts are encoded once: they are cut where the tokenizer's own pattern cuts them anyway, and
+each distinct piece is encoded by the library's model.  The ids are counted over the whole
+corpus, and each id is replaced by its rank, so frequent ids take one byte.  The files are
+Parquet: the ids by rank, and rows that are blocks in ascending doc_id order: the documents' ids and counts, control bytes
 (four 2-bit lengths a byte) and, apart from them, data bytes (1 to 4 a value).
 Spark writes and commits the files, so any store and lost executors are no matter.
 Decoding looks up each control byte's four lengths in a table, gathers the bytes
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .chunks import ChunkCache, split_at_single_spaces
-from .common import shared_dir, stage, table
+from .chunks import split_at_single_spaces
+from .common import discard, shared_dir, stage, table
 
 END_ID = 2
 #: A block ends with the document that brings it to so many ids.
@@ -34,58 +36,86 @@ BATCH = 256
 #: The four lengths that a control byte stands for.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
-#: Chunks of Latin letters, perhaps with punctuation behind: the tokenizer's pattern cuts them just there.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
-#: Words whose ids a worker remembers.
-MAX_WORDS = 300_000
+#: Letters of Latin, Greek, Cyrillic and Han writing, and ASCII signs but the apostrophe, which may begin a contraction.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-žΑ-ΡΣ-ωЀ-ҁҊ-ӿ一-鿿"
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+#: What the byte-level pattern cuts a text into, as far as the text consists of these characters.
+_PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n+(?=\n[^\s])|\n(?=[^\s])|\n+\Z| +(?= [^\s])")
+#: Pieces whose ids a worker remembers: two generations of so many; longer ones aren't kept.
+MAX_PIECES, MAX_LENGTH = 300_000, 64
+
+
+class _ByteForms(dict):
+    """The model's characters for a text's, by code point."""
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.level.pre_tokenize_str(chr(code))[0][0]
+        return out
+
+
+class _Known(dict):
+    """ids of pieces by the library's model.  A full table becomes the old one, from which pieces in use come back."""
+
+    def __init__(self, model, kind: str):
+        self.model, self.kind, self.forms, self.old = model, kind, _ByteForms(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array(self.kind, [t.id for t in self.model.tokenize(piece.translate(self.forms))]).tobytes()
+        if len(piece) <= MAX_LENGTH:
+            if len(self) >= MAX_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class BytePieces:
-    """The worker's byte-level tokenizer: whole texts, and chunks that follow a space."""
+    """The worker's byte-level tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x20, 0x7F), *range(0xC0, 0x100))}
-        # Only where the file cuts by the byte-level pattern and changes nothing before it may a plain chunk be cut here.
-        self.by_word = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer) is pre_tokenizers.ByteLevel
-        self.words: dict[str, bytes] = {}
-        self.cache = ChunkCache(self.after_space, "<u4")
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, text: str) -> bytes:
-        """ids of what the pattern doesn't cut, by the library's model."""
-        return array("I", [t.id for t in self.model.tokenize(text.translate(self.letters))]).tobytes()
-
-    def after_space(self, chunks: list[str]) -> list[bytes]:
-        if len(self.words) > MAX_WORDS:
-            self.words = {}
-        words, out, others, cut = self.words, [], [], _PLAIN.fullmatch
-        for c in chunks:
-            m = cut(c) if self.by_word else None
-            if m is None:
-                others.append(c)
-                out.append(None)
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.kind = "I" if self.wide else "H"
+        self.known = _Known(self.tokenizer.model, self.kind)
+        # Only where the file cuts by the byte-level pattern and changes nothing before it may a text be cut here.
+        cut = self.tokenizer.pre_tokenizer
+        self.by_piece = self.tokenizer.normalizer is None and type(cut) is pre_tokenizers.ByteLevel and not cut.add_prefix_space
+        # Added tokens are found before the pattern; texts that hold one are left to the library.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.by_piece &= not any(" " in t.content or t.lstrip or t.rstrip for t in added)
+
+    def _plain(self, text: str) -> bytes | None:
+        """ids of a text of the pieces' characters only."""
+        if any(t in text for t in self.added):
+            return None
+        pieces = _PIECES.findall(text)
+        return b"".join(map(self.known.__getitem__, pieces)) if sum(map(len, pieces)) == len(text) else None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """ids of each text as little-endian integers of ``kind``; the library encodes what isn't plain."""
+        out: list[list[bytes | None]] = []
+        rest: list[str] = []
+        for t in texts:
+            if self.by_piece and (ids := self._plain(t)) is not None:
+                out.append([ids])
                 continue
-            word, behind = m.groups()
-            ids = words.get(word)
-            if ids is None:
-                ids = words[word] = self._piece(" " + word)
-            if behind:
-                more = words.get(behind)
-                if more is None:
-                    more = words[behind] = self._piece(behind)
-                ids += more
-            out.append(ids)
-        if others:
-            rest = (array("I", ids).tobytes() for ids in self.encode([" " + c for c in others]))
-            out = [next(rest) if ids is None else ids for ids in out]
-        return out
+            chunks = split_at_single_spaces(t) if self.by_piece else [t]
+            parts = [c if k == 0 else " " + c for k, c in enumerate(chunks)]
+            got = [self._plain(c) if self.by_piece else None for c in parts]
+            rest += [c for c, ids in zip(parts, got) if ids is None]
+            out.append(got)
+        coded = iter([array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else [])
+        return [b"".join(next(coded) if ids is None else ids for ids in got) for got in out]
 
 
 _encoders: dict[str, BytePieces] = {}
@@ -98,13 +128,10 @@ def encoder(path: str) -> BytePieces:
 
 
 def encode_texts(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
-    """ids of each text with the end id, as little-endian unsigned 32-bit integers."""
+    """ids of each text with the end id, as little-endian unsigned integers of 16 bits, or 32 for a larger vocabulary."""
     own = encoder(path)
-    chunked = [split_at_single_spaces(t) for t in texts]
-    first = own.encode([c[0] for c in chunked])
-    rest = own.cache.join([c[1:] for c in chunked])
-    end = np.array([end_id], "<u4").tobytes()
-    return [np.asarray(a, "<u4").tobytes() + b + end for a, b in zip(first, rest)]
+    end = array(own.kind, [end_id]).tobytes()
+    return [ids + end for ids in own.encode(texts)]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -131,19 +158,20 @@ def unpack(control: bytes, data: bytes) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): ids as little-endian bytes of 16 or 32 bits each (``wide``)."""
+    """(doc_id, mark, wide, ids): ids as little-endian bytes of 16 or 32 bits each (``wide``); mark is a hash of them."""
 
     def run(batches):
+        wide = encoder(path).wide
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), BATCH):
                 coded = encode_texts([t or "" for t in texts[i : i + BATCH]], path, end_id)
-                wide = [bool(np.frombuffer(c, "<u4").max() > 0xFFFF) for c in coded]
-                small = [c if w else np.frombuffer(c, "<u4").astype("<u2").tobytes() for c, w in zip(coded, wide)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, BATCH), pa.array(wide, pa.bool_()), pa.array(small, pa.binary())], ["doc_id", "wide", "ids"])
+                mark = np.array([xxh64_intdigest(c) for c in coded], np.uint64).view(np.int64)
+                columns = [ids.slice(i, BATCH), pa.array(mark), pa.array([wide] * len(coded), pa.bool_()), pa.array(coded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "wide", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, wide boolean, ids binary")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, mark long, wide boolean, ids binary")
 
 
 def _ids(wide: bool, raw: bytes) -> np.ndarray:
@@ -167,31 +195,23 @@ def id_frequencies(encoded: DataFrame) -> DataFrame:
     return encoded.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, **options) -> np.ndarray:
-    """Write the blocks of ``docs`` under ``path``; returns the ids by rank (at most the vocabulary).
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, **options) -> None:
+    """Write the token files of ``docs`` under ``path``: ``ids``, the id of each rank, and ``blocks``.
 
     Columns of a block: shard, block, first (ids before it in its shard), n_ids,
-    doc_ids, counts, control, data.  Shards are ranges of doc_id in order.
+    doc_ids, counts, control, data.  Shards are ranges of doc_id in order; documents of one
+    doc_id are ordered by a hash of their ids, so many of them fill several shards.
     """
     encoded = stage(encode_documents(docs, tokenizer, **options), "token-ids")
     ranked = id_frequencies(encoded).orderBy(F.desc("n"), "id").collect()  # no more rows than the vocabulary has
     by_rank = np.array([r.id for r in ranked], "<u4")
+    spark = docs.sparkSession
+    spark.createDataFrame([(k, r.id, r.n) for k, r in enumerate(ranked)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ids")
     ranks = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, "<u4")
     ranks[by_rank] = np.arange(len(by_rank))
-    ranks = docs.sparkSession.sparkContext.broadcast(ranks)
+    ranks = spark.sparkContext.broadcast(ranks)
     kind = docs.schema[options.get("doc_id", "doc_id")].dataType.simpleString()
 
-    def rank_code(batches):
-        for b in batches:
-            n, control, data = [], [], []
-            for wide, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids = _ids(wide, raw)
-                c, d = pack(ranks.value[ids])
-                n.append(len(ids))
-                control.append(c)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n", "control", "data"])
-
     def blocks(batches):
         shard = TaskContext.get().partitionId()
         block = first = size = 0
@@ -205,31 +225,32 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, **options) ->
 
         for b in batches:
             id_kind = b.column(0).type
-            for row in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                held.append(row)
-                size += row[1]
+            for doc_id, wide, raw in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                ids = _ids(wide, raw)
+                held.append((doc_id, len(ids), *pack(ranks.value[ids])))
+                size += len(ids)
                 if size >= BLOCK_IDS:
                     yield out()
                     block, first, size, held = block + 1, first + size, 0, []
         if held:
             yield out()
 
-    coded = encoded.mapInArrow(rank_code, f"doc_id {kind}, n long, control binary, data binary")
-    order = F.col("doc_id").asc_nulls_last()
-    coded.repartitionByRange(order).sortWithinPartitions(order, "n", "data").mapInArrow(
+    order = [F.col("doc_id").asc_nulls_last(), F.col("mark")]
+    encoded.repartitionByRange(*order).sortWithinPartitions(*order, "ids").select("doc_id", "wide", "ids").mapInArrow(
         blocks, f"shard int, block int, first long, n_ids long, doc_ids array<{kind}>, counts array<long>, control binary, data binary"
-    ).write.option("compression", "zstd").parquet(path)
-    return by_rank
+    ).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    discard(encoded)
 
 
-def read_token_files(spark: SparkSession, path: str, by_rank: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files."""
-    files = spark.read.parquet(path)
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document in the files under ``path``."""
+    files = spark.read.parquet(f"{path}/blocks")
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     # One row per shard.
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.selectExpr("shard", "sum(n) OVER (ORDER BY shard) - n AS before")
-    ids_by_rank = spark.sparkContext.broadcast(by_rank)
+    ranked = spark.read.parquet(f"{path}/ids").orderBy("rank").collect()  # no more rows than the vocabulary has
+    ids_by_rank = spark.sparkContext.broadcast(np.array([r.id for r in ranked], "<u4"))
 
     def decode(batches):
         for b in batches:
@@ -256,12 +277,12 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **opti
     """Write token files of ``docs`` and read them back.
 
     Null texts are empty and give the end id alone.  Null doc_ids come last; rows with
-    equal doc_id stand in order of their codes.  An empty table gives an empty
-    result.  Other columns of ``docs`` aren't used.
+    equal doc_id stand in order of a hash of their ids, equal rows side by side.  An
+    empty table gives an empty result.  Other columns of ``docs`` aren't used.
     """
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    by_rank = write_token_files(docs, path, tokenizer, **options)
-    return read_token_files(docs.sparkSession, path, by_rank)
+    write_token_files(docs, path, tokenizer, **options)
+    return read_token_files(docs.sparkSession, path)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def test_chunked_ids_equal_whole_text_ids(some):
     t = Tokenizer.from_file(BPE)
     some = some + ODD
     got = token_files.encode_texts(some, BPE)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids + [2] for e in t.encode_batch(some, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids + [2] for e in t.encode_batch(some, add_special_tokens=False)]
     assert all(" ".join(split_at_single_spaces(x)) == x for x in some)
 
 
@@ -53,6 +53,41 @@ def test_token_files_equal_brute_force(spark, sf_dir):
     assert token_files.token_files(spark.createDataFrame([], "doc_id long, text string"), BPE).count() == 0
 
 
+def test_known_pieces_stay_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MAX_PIECES", 5)
+    own, t = token_files.BytePieces(BPE), Tokenizer.from_file(BPE)
+    for k in range(40):
+        x = f"alpha beta w{k} w{k % 7} " + "long" * 40
+        assert np.frombuffer(own.encode([x])[0], "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+        assert len(own.known) <= 5 and len(own.known.old) <= 5 and not any(len(p) > token_files.MAX_LENGTH for p in own.known)
+
+
+def test_chunk_cache_stays_bounded(monkeypatch):
+    from monthmill.llm import chunks
+
+    monkeypatch.setattr(chunks, "MAX_CACHED", 4)
+    cache = chunks.ChunkCache(lambda some: [[len(c)] for c in some], "<i4")
+    for k in range(30):
+        lists = [[f"c{k}", "a", "x" * 100, f"d{k % 3}"], [], ["a"]]
+        assert cache.join(lists) == [np.array([len(c) for c in x], "<i4").tobytes() for x in lists]
+        assert len(cache.known) < 8 and len(cache.old) < 8 and "x" * 100 not in cache.known
+
+
+def test_files_can_be_read_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(None, f"null {i}") for i in range(60)] + [(i, f"text number {i}") for i in range(20)], "doc_id long, text string").repartition(6)
+    token_files.write_token_files(docs, f"file://{tmp_path}/t", BPE)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    got = token_files.read_token_files(spark, f"file://{tmp_path}/t", with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [*range(20), *[None] * 60]
+    assert [t.decode(r.ids[:-1]) for r in got[:20]] == [f"text number {i}" for i in range(20)]
+    assert sorted(t.decode(r.ids[:-1]) for r in got[20:]) == sorted(f"null {i}" for i in range(60))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_repeated_ids(spark):
     got = token_files.token_files(spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (0, "c")], "doc_id long, text string"), BPE).collect()
     assert sorted((r.start, r.doc_id) for r in got)[0] == (0, 0) and len(got) == 4 and sum(r.n_tokens for r in got) == 9
