@@ -1,69 +1,105 @@
 """Embedding near-dedup by PCA-ordered tiled comparison.
 
-Vectors are brought to length 1 and turned into their principal components, largest
-first.  Per label they are sorted by the first component and cut into tiles.  Two
-tiles are compared only if the boxes of their leading components can hold vectors
-as near as the threshold asks.  Within a pair of tiles the products of the leading
-dimensions are summed first; by Cauchy-Schwarz the rest of a product is at most the
-product of the two suffix norms, so comparing stops, for whole rows and columns, as soon as
-no cosine can reach the threshold.  What survives is confirmed on the original
-vectors in double precision.
-
-A pair of tiles gives each vector's number of links and a spanning forest of the links,
-never the links themselves, so groups of copies cost no more rows than others.
+Equal vectors of a label are one class.  Classes are brought to length 1 and turned into
+their principal components, largest first.  Per label and length they are put into cells
+of the first two components, as wide as two vectors at the threshold can be apart, sorted
+by the third and cut into tiles.  Tiles of the same and of adjacent cells are compared
+if the boxes of their leading components can hold vectors as near as the threshold
+asks.  Within a pair of tiles the products of the leading dimensions are summed first;
+by Cauchy-Schwarz the rest of a product is at most the product of the two suffix
+norms, so comparing stops, for whole rows and columns, as soon as no cosine can reach the
+threshold.  What survives is confirmed on the original vectors in double precision.
+
+A pair of tiles gives each class's number of linked vectors and a spanning forest of the
+links, never the links themselves, so groups of copies cost no more rows than others.
+Tiles hold the vectors as they came; a task turns them again.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stage, table
+from .common import discard, stage, table
 from .components import connected_components
 
 THRESHOLD = 0.98
-#: Vectors of a tile.
-TILE = 512
+#: Classes of a tile.
+TILE = 1024
 #: Leading dimensions after which a comparison may stop.
 STEPS = (4, 12, 32)
 #: Components whose ranges decide whether two tiles are compared at all.
 BOX = 4
 SLACK = 1e-9
+#: Vectors of a length from which its axes are fitted; fewer are compared as they are, which gives the same links.
+MIN_FIT = 256
+#: Matrices of moments are summed by so many tasks before the last one.
+SUMMERS = 8
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def valid_vectors(df: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector isn't null or zero and holds finite numbers only."""
-    v = F.col(vector)
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, with the largest component in [0.5, 1): cosines stay the same, squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def good(v: Column) -> Column:
+    """Whether a vector isn't null, empty or zero and holds finite numbers only."""
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
-    return df.filter(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
 
+def by_length(b: pa.RecordBatch, column: int):
+    """(length, rows of that length) of a batch."""
+    lengths = b.column(column).value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths).tolist():
+        yield dim, b.take(pa.array(np.flatnonzero(lengths == dim)))
 
-def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Eigenvectors of the second moments of all unit vectors, largest first; each task sends one dim x dim matrix."""
+
+def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """By length, where there are MIN_FIT vectors: eigenvectors of the second moments of the unit vectors, largest first.
+
+    A task sums one matrix per length; SUMMERS tasks and then one add them up as they come.
+    """
+    lengths = {r[0] for r in vectors.groupBy(F.size("v")).count().filter(F.col("count") >= MIN_FIT).collect()}  # lengths, not vectors
 
     def moments(batches):
-        total = np.zeros((dim, dim))
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for dim, part in by_length(b, 0):
+                if dim in lengths:
+                    x = unit(matrix(part.column(0), dim))
+                    total[dim] = total.get(dim, 0) + x.T @ x
+        for dim, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["dim", "m"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            x = matrix(b.column(0), dim)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["i", "x"])
+            for dim, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[dim] = total.get(dim, 0) + np.frombuffer(m).reshape(dim, dim)
+        for dim, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["dim", "m"])
 
-    got = vectors.mapInArrow(moments, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    total = np.zeros(dim * dim)
-    for r in got:
-        total[r.i] = r.x
-    return np.linalg.eigh(total.reshape(dim, dim))[1][:, ::-1].copy()
+    kind = "dim int, m binary"
+    summed = vectors.mapInArrow(moments, kind).repartition(SUMMERS).mapInArrow(add, kind).coalesce(1).mapInArrow(add, kind)
+    return {r.dim: np.linalg.eigh(np.frombuffer(r.m).reshape(r.dim, r.dim))[1][:, ::-1].copy() for r in summed.collect()}
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of links between two tiles (i < j within one): a, b in rotated unit form, ua, ub as given."""
+    """(i, j) of links between two tiles (i < j within one): a, b in rotated unit form, ua, ub scaled originals."""
     rows, cols = np.arange(len(a)), np.arange(len(b))
     product = np.zeros((len(a), len(b)))
     at = 0
@@ -110,114 +146,140 @@ def embedding_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "e
     """(vec_id, n_links, component_id, kept) per row of ``df``; vec_id is an integer.
 
     Vectors that are null, zero or hold null or non-finite numbers, and rows without a
-    label, link with nothing.  Vectors of different length don't link.  Rows that
+    label, link with nothing.  Vectors of different length don't link.  Very small and very large
+    components neither vanish nor overflow.  Rows that
     repeat a vec_id are vectors of their own; they share a component.  A null vec_id is
     counted by its partners, and its component_id is the smallest id it reaches, or null; then it is kept.
     An empty table gives an empty result; other columns aren't used.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
-    usable = valid_vectors(rows.filter("label IS NOT NULL"), "v")
-    tiles = None
-    for (dim,) in usable.select(F.size("v")).distinct().limit(1000).collect():
-        own = usable.filter(F.size("v") == dim)
-        axes = spark.sparkContext.broadcast(principal_axes(own.select("v"), dim))
-        tiled = _tiles(own, axes, dim)
-        tiles = tiled if tiles is None else tiles.unionByName(tiled)
-    if tiles is None:
-        tiles = spark.createDataFrame([], f"tile long, label {rows.schema['label'].dataType.simpleString()}, dim int, lo array<double>, hi array<double>, ids array<long>, v binary, r binary")
-    tiles = stage(tiles, "tiles")
-    compared = stage(_compare(tiles, threshold), "tile-links")
-
-    counts = compared.select(F.explode("counts").alias("c")).select("c.uid", "c.n").groupBy("uid").agg(F.sum("n").alias("n_links"))
+    held = getattr(df.schema[vector].dataType, "elementType", None)
+    kind = "array<float>" if isinstance(held, T.FloatType) else "array<double>"
+    # Equal vectors of a label have equal keys; a null label and a bad vector have none.
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), "label", "v")), 16, "0")
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v"), F.col(label).alias("label"))
+    rows = rows.withColumn("key", F.when(F.col("label").isNotNull() & good(F.col("v")), F.unhex(F.concat(half(1), half(2)))))
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("k"))
+    classes = stage(classes, "classes")
+    axes = df.sparkSession.sparkContext.broadcast(principal_axes(classes.select("v")))
+    tiles = stage(_tiles(classes, axes, threshold), "tiles", drop=[classes])
+    compared = stage(_compare(tiles, axes, threshold), "tile-links")
+
+    counts = compared.select(F.explode("counts").alias("c")).select("c.uid", "c.n").groupBy("uid").agg(F.sum("n").alias("n"))
     edges = compared.select(F.explode("links").alias("e")).select("e.a", "e.b")
-    vectors = tiles.select(F.posexplode("ids").alias("pos", "vec_id"), "tile").select((F.col("tile") * TILE + F.col("pos")).alias("uid"), "vec_id")
-    vectors = vectors.join(counts, "uid", "left")
-    # Rows that repeat a vec_id meet in one component through their smallest uid.
-    first = vectors.filter("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("uid").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    placed = tiles.select(F.posexplode(F.arrays_zip("keys", "ks")).alias("pos", "c"), "tile").select((F.col("tile") * TILE + F.col("pos")).alias("uid"), F.col("c.keys").alias("key"), F.col("c.ks").alias("k"))
+    placed = placed.join(counts, "uid", "left").select("uid", "key", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"))
+    vectors = stage(rows.filter("key IS NOT NULL").select("vec_id", "key").join(placed, "key").select("vec_id", "uid", "n_links"), "vectors", drop=[tiles])
+    # Rows that repeat a vec_id meet in one component through their smallest class.
+    first = vectors.filter("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("uid").alias("b"), F.max("uid").alias("last")).filter("b < last")
     repeated = vectors.join(first, "vec_id").select(F.col("uid").alias("a"), "b").filter("a <> b")
     parts = connected_components(edges.union(repeated))
+    discard(compared)
     vectors = vectors.join(parts.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     smallest = vectors.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    linked = vectors.join(smallest, "component").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
-    v = F.col("v")
-    finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
-    good = F.coalesce(F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
-    alone = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = vectors.join(smallest, "component").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.filter("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     # An id may also stand in rows that link with nothing; then all its rows share one component.
     same = linked.groupBy("vec_id").agg(F.min("component_id").alias("c"))
     alone = alone.join(same.filter("vec_id IS NOT NULL"), "vec_id", "left").select("vec_id", "n_links", F.coalesce("c", "component_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _tiles(own: DataFrame, axes, dim: int) -> DataFrame:
-    """Tiles of up to TILE vectors of one label, sorted by the first component."""
+def _turned(x: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    return unit(x) if axes is None else unit(x) @ axes
 
-    def rotate(batches):
-        for b in batches:
-            x = matrix(b.column(1), dim)
-            r = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes.value
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(r[:, 0])] + [pa.array([y.tobytes() for y in z], pa.binary()) for z in (x, r)],
-                ["vec_id", "label", "first", "v", "r"],
-            )
 
-    kind = own.schema["label"].dataType.simpleString()
+def _tiles(classes: DataFrame, axes, threshold: float) -> DataFrame:
+    """Tiles of up to TILE classes of one label, length and cell, sorted by the third component."""
+    label_kind = classes.schema["label"].dataType.simpleString()
+    held = "<f4" if isinstance(classes.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+    width = _cell_width(threshold)
 
-    def cut(batches):
-        from pyspark import TaskContext
+    def cells(batches):
+        for b in batches:
+            for dim, part in by_length(b, 1):
+                x = matrix(part.column(1), dim)
+                own = axes.value.get(dim)
+                r = np.zeros((len(x), BOX))
+                r[:, : min(dim, BOX)] = _turned(x, None if own is None else own[:, :BOX])[:, :BOX]
+                cell = np.floor(r[:, :2] / width).astype(np.int32)
+                binary = [pa.array([y.tobytes() for y in z], pa.binary()) for z in (r, x.astype(held))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), part.column(3), pa.array([dim] * len(x), pa.int32()), pa.array(cell[:, 0]), pa.array(cell[:, 1]), pa.array(r[:, 2]), *binary],
+                    ["key", "label", "k", "dim", "c0", "c1", "third", "r", "v"],
+                )
 
-        tile = TaskContext.get().partitionId() << 32 | dim << 20
-        held: list[tuple] = []
+    def cut(batches):
+        part = TaskContext.get().partitionId()
+        if part >= 1 << 21:
+            raise ValueError("tile numbers hold 2,097,152 partitions")
+        tile = part << 32
+        group: list[tuple] = []
 
         def out():
             nonlocal tile
-            r = np.stack([np.frombuffer(h[4]) for h in held])
-            values = [tile, held[0][1], dim, r[:, :BOX].min(0), r[:, :BOX].max(0), [h[0] for h in held], b"".join(h[3] for h in held), r.tobytes()]
-            kinds = [pa.int64(), label_kind, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            r = np.stack([np.frombuffer(h[7]) for h in group])
+            values = [tile, *group[0][1:2], *group[0][3:6], r.min(0), r.max(0), [h[0] for h in group], [h[2] for h in group], b"".join(h[8] for h in group)]
+            kinds = [pa.int64(), kind, pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
             tile += 1
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], ["tile", "label", "dim", "lo", "hi", "ids", "v", "r"])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], ["tile", "label", "dim", "c0", "c1", "lo", "hi", "keys", "ks", "v"])
 
         for b in batches:
-            label_kind = b.column(1).type
-            for row in zip(*[b.column(k).to_pylist() for k in range(5)]):
-                if held and (held[-1][1] != row[1] or len(held) == TILE):
+            kind = b.column(1).type
+            for row in zip(*[b.column(k).to_pylist() for k in range(9)]):
+                if group and (group[-1][1] != row[1] or group[-1][3:6] != row[3:6] or len(group) == TILE):
                     yield out()
-                    held = []
-                held.append(row)
-        if held:
+                    group = []
+                group.append(row)
+        if group:
             yield out()
 
-    rotated = own.select("vec_id", "v", "label").mapInArrow(rotate, f"vec_id long, label {kind}, first double, v binary, r binary")
-    # Ranges of (label, first component): a large label is spread over many tasks.
-    ordered = rotated.repartitionByRange("label", "first", "vec_id").sortWithinPartitions("label", "first", "vec_id")
-    return ordered.mapInArrow(cut, f"tile long, label {kind}, dim int, lo array<double>, hi array<double>, ids array<long>, v binary, r binary")
+    celled = classes.select("key", "v", "label", "k").mapInArrow(cells, f"key binary, label {label_kind}, k long, dim int, c0 int, c1 int, third double, r binary, v binary")
+    order = ["label", "dim", "c0", "c1", "third", "key"]  # a large label or cell is spread over many tasks
+    return celled.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        cut, f"tile long, label {label_kind}, dim int, c0 int, c1 int, lo array<double>, hi array<double>, keys array<binary>, ks array<long>, v binary"
+    )
+
 
+def _cell_width(threshold: float) -> float:
+    """|x - y|^2 = 2 - 2 cos for unit vectors, so linked ones are no further apart than this in any component."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold) + 4 * SLACK))
 
-def _compare(tiles: DataFrame, threshold: float) -> DataFrame:
-    """(counts, links) of every pair of tiles whose boxes are near enough."""
+
+def _compare(tiles: DataFrame, axes, threshold: float) -> DataFrame:
+    """(counts, links) of every pair of tiles of the same or adjacent cells whose boxes are near enough."""
     gap = lambda k: F.greatest(F.lit(0.0), F.get("a.lo", F.lit(k)) - F.get("b.hi", F.lit(k)), F.get("b.lo", F.lit(k)) - F.get("a.hi", F.lit(k)))
     apart = sum((gap(k) * gap(k) for k in range(1, BOX)), gap(0) * gap(0))
-    bare = tiles.select("tile", "label", "dim", "lo", "hi")
-    # |x - y|^2 = 2 - 2 cos for unit vectors.
-    pairs = (
-        bare.alias("a").join(bare.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.tile") <= F.col("b.tile")))
-        .filter(F.coalesce(apart, F.lit(0.0)) <= 2 - 2 * threshold + SLACK)
-        .select(F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb"))
-    )
-    side = lambda k: tiles.select(F.col("tile").alias(f"t{k}"), F.col("v").alias(f"v{k}"), F.col("r").alias(f"r{k}"), *([F.col("dim")] if k == "a" else []))
-    joined = pairs.join(side("a"), "ta").join(side("b"), "tb").select("ta", "tb", "dim", "va", "vb", "ra", "rb")
+    bare = tiles.select("tile", "label", "dim", "c0", "c1", "lo", "hi")
+    near = F.array(*[F.struct((F.col("c0") + x).alias("c0"), (F.col("c1") + y).alias("c1")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    around = bare.withColumn("c", F.explode(near)).select("tile", "label", "dim", "lo", "hi", "c.c0", "c.c1")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "dim", "c0", "c1")]
+    pairs = around.alias("a").join(bare.alias("b"), [*same, F.col("a.tile") <= F.col("b.tile"), apart <= _cell_width(threshold) ** 2])
+    pairs = pairs.select(F.col("a.tile").alias("ta"), F.col("b.tile").alias("tb"))
+    side = lambda k, *more: tiles.select(F.col("tile").alias(f"t{k}"), F.col("v").alias(f"v{k}"), F.col("ks").alias(f"k{k}"), *more)
+    joined = pairs.join(side("b"), "tb").join(side("a", "dim"), "ta").select("ta", "tb", "dim", "va", "vb", "ka", "kb")
 
     def run(batches):
+        last = (None, None)
         for b in batches:
-            for k in range(b.num_rows):
-                ta, tb, dim, va, vb, ra, rb = (b.column(i)[k].as_py() for i in range(7))
-                va, vb, ra, rb = (np.frombuffer(x).reshape(-1, dim) for x in (va, vb, ra, rb))
-                i, j = tile_links(ra, rb, va, vb, threshold, ta == tb)
-                x, y = ta * TILE + i, tb * TILE + j
-                uid, n = np.unique(np.concatenate([x, y]), return_counts=True)
-                counts = [{"uid": int(u), "n": int(c)} for u, c in zip(uid, n)]
-                links = [{"a": u, "b": r} for u, r in forest(x, y)]
+            for n in range(b.num_rows):
+                ta, tb, dim, va, vb, ka, kb = (b.column(i)[n].as_py() for i in range(7))
+                own = axes.value.get(dim)
+
+                def opened(raw, ks):
+                    x = scaled(np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(ks) else "<f8").astype(np.float64).reshape(-1, dim))
+                    return x, _turned(x, own)
+
+                if last[0] != ta:  # pairs of a tile follow each other
+                    last = ta, opened(va, ka)
+                ua, ra = last[1]
+                ub, rb = (ua, ra) if ta == tb else opened(vb, kb)
+                i, j = tile_links(ra, rb, ua, ub, threshold, ta == tb)
+                ka, kb = np.array(ka, np.int64), np.array(kb, np.int64)
+                uid, at = np.unique(np.concatenate([ta * TILE + i, tb * TILE + j]), return_inverse=True)
+                n_links = np.zeros(len(uid), np.int64)
+                np.add.at(n_links, at, np.concatenate([kb[j], ka[i]]))
+                counts = [{"uid": int(u), "n": int(c)} for u, c in zip(uid, n_links)]
+                links = [{"a": u, "b": r} for u, r in forest(ta * TILE + i, tb * TILE + j)]
                 kinds = [pa.list_(pa.struct([("uid", pa.int64()), ("n", pa.int64())])), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array([counts], kinds[0]), pa.array([links], kinds[1])], ["counts", "links"])
 

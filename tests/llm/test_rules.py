@@ -169,7 +169,7 @@ def brute_links(rows, threshold=0.98):
     v, parent = [], list(range(len(rows)))
     for i, e, label in rows:
         ok = e is not None and len(e) and all(x is not None and np.isfinite(x) for x in e) and any(e) and label is not None
-        v.append(np.array(e, float) if ok else None)
+        v.append(np.array(e, float) / np.abs(e).max() if ok else None)
 
     def root(x):
         while parent[x] != x:
@@ -201,13 +201,28 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         e = base[rng.integers(6)] + rng.normal(size=8) * rng.choice([0.02, 0.15, 0.6])
         rows.append((i, [float(x) for x in e], int(rng.integers(3))))
     rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [1.0, None] + [0.0] * 6, 1), (203, [float("nan")] * 8, 1), (204, [float("inf")] * 8, 1), (205, rows[0][1], None), (206, [], 1)]
+    rows += [(220, [1e-200, 2e-200], 1), (221, [1e200, 2e200], 1), (222, [5e-324, 0.0], 1), (223, [3.0], 1), (224, [1e-9], 1), (225, [-1.0], 1), (226, [0.0, 5e-324], 1)]
+    rows += [(300 + k, rows[7][1], rows[7][2]) for k in range(20)]  # copies of one vector
     rows += [(None, rows[3][1], rows[3][2]), (3, rows[3][1], rows[3][2]), (210, [1.0, 2.0], 1), (211, [2.0, 4.0], 1), (212, [-1.0, -2.0], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, kept string")
-    got = embedding_dedup.embedding_duplicates(df).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(brute_links(rows), key=str)
+    for least in (10_000, 8):  # without and with fitted axes
+        monkeypatch.setattr(embedding_dedup, "MIN_FIT", least)
+        got = embedding_dedup.embedding_duplicates(df).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(brute_links(rows), key=str)
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_long_vectors_over_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 4)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3, 4096)).astype(np.float32)
+    rows = [(i, (base[i % 3] + rng.normal(size=4096).astype(np.float32) * (0.05 if i % 5 else 0.4)).astype(np.float32).tolist(), i % 2) for i in range(40)]
+    rows += [(100 + i, base[i % 3][:4000].tolist(), i % 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    got = embedding_dedup.embedding_duplicates(df).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_links(rows)) and sum(r.n_links for r in got) > 100
+
+
 def test_boilerplate_lines_are_removed(spark):
     from monthmill.llm import line_frequency as lf
 
