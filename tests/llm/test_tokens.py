@@ -53,15 +53,16 @@ def test_token_files_equal_brute_force(spark, sf_dir):
     assert token_files.token_files(spark.createDataFrame([], "doc_id long, text string"), BPE).count() == 0
 
 
-def test_known_pieces_stay_bounded(monkeypatch):
+def test_known_pieces_start_afresh(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_files, "MAX_PIECES", 5)
+    monkeypatch.setattr(token_files, "MAX_KNOWN", 30)
+    monkeypatch.setattr(token_files, "PLACES", 64)
     own, t = token_files.BytePieces(BPE), Tokenizer.from_file(BPE)
     for k in range(40):
-        x = f"alpha beta w{k} w{k % 7} " + "long" * 40
-        assert np.frombuffer(own.encode([x])[0], "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
-        assert len(own.known) <= 5 and len(own.known.old) <= 5 and not any(len(p) > token_files.MAX_LENGTH for p in own.known)
+        some = [f"alpha beta w{k} w{k % 7} " + "long" * 40, f"alpha, w{k} beta", f"x{k}", "", "it's \tодно слово×2", f"größe {k}÷2"]
+        assert [x.tolist() for x in own.encode(some)] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
+        assert own.known.n < 64
 
 
 def test_chunk_cache_stays_bounded(monkeypatch):
