@@ -9,23 +9,26 @@ digests are probed by one vectorised binary search a batch, and a hit counts onl
 if the stored string equals the probed one.
 
 A list above ``max_entries`` isn't shipped: it is joined by digest and string,
-which no single machine has to hold.
+which no single machine has to hold.  Both ways give the same results.  Of entries with
+the same host, path and kind (rule or listed), block wins.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from .common import table
+from .common import fresh, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Entries (host, path, verdict, is a rule).  The rules are given; the others are the method's own list.
@@ -36,7 +39,18 @@ RULES = (
     ("com", "/fr/", "allow", True),
     ("com", "/de/", "block", True),
 )
-LISTED = tuple((h, "/", "block", False) for h in ("doubleclick.net", "googlesyndication.com", "adnxs.com", "taboola.com", "ads-track.example.com"))
+#: Hosts of advertising and tracking services, which serve no texts (fixed values).
+LISTED_HOSTS = """
+doubleclick.net googlesyndication.com googleadservices.com google-analytics.com googletagmanager.com googletagservices.com adservice.google.com
+adnxs.com taboola.com outbrain.com criteo.com criteo.net rubiconproject.com pubmatic.com openx.net casalemedia.com
+advertising.com adsrvr.org amazon-adsystem.com bidswitch.net smartadserver.com adform.net moatads.com serving-sys.com
+scorecardresearch.com quantserve.com hotjar.com mixpanel.com segment.io chartbeat.com newrelic.com optimizely.com
+zedo.com revcontent.com mgid.com propellerads.com popads.net adcash.com exoclick.com juicyads.com
+trafficjunky.net adroll.com mathtag.com bluekai.com krxd.net demdex.net everesttech.net omtrdc.net
+yieldmo.com sharethrough.com triplelift.com spotxchange.com teads.tv contextweb.com lijit.com sovrn.com
+media.net undertone.com tribalfusion.com adtechus.com flashtalking.com ads-track.example.com
+""".split()
+LISTED = tuple((h, "/", "block", False) for h in LISTED_HOSTS)
 DEFAULT_VERDICT = "allow"
 #: A list up to this many entries is collected and shipped as a file.
 MAX_ENTRIES = 500_000
@@ -63,26 +77,30 @@ def key_of(host: str, path: str) -> str:
 
 
 def build_index(entries: list[tuple], folder: str) -> str:
-    """Write the digest file: counts, sorted digests, offsets of the strings, flags, path lengths, strings."""
-    unique = {}
+    """Write the digest file, named by its content: counts, sorted digests, offsets of the strings, flags, path lengths, strings.
+
+    Flags: 1 a rule, 2 it blocks, 4 a listed entry, 8 it blocks.
+    """
+    flags: dict[str, int] = {}
     for host, path, verdict, is_rule in entries:
-        unique.setdefault(key_of(host.translate(str.maketrans(UPPER, LOWER)), path), (verdict, is_rule))
-    keyed = sorted((xxh64_intdigest(k), k.encode(), v, r) for k, (v, r) in unique.items())
+        if host is not None and verdict is not None and is_rule is not None:
+            k = key_of(host.translate(str.maketrans(UPPER, LOWER)), path or "")
+            flags[k] = flags.get(k, 0) | (1 if is_rule else 4) | ((2 if is_rule else 8) if verdict == "block" else 0)
+    keyed = sorted((xxh64_intdigest(k), k.encode(errors="surrogatepass"), f, len(k.partition("\0")[2])) for k, f in flags.items())
     strings = [k for _, k, _, _ in keyed]
-    lengths = sorted({len(k.decode().split("\0")[1]) for k in strings})
+    lengths = sorted({n for *_, n in keyed})
     parts = [
         np.array([len(keyed), len(lengths)], "<i8"),
         np.array([d for d, *_ in keyed], "<u8"),
         np.cumsum([0, *map(len, strings)]).astype("<i8"),
         np.array(lengths, "<i8"),
-        np.array([(v == "block") + 2 * r for _, _, v, r in keyed], "<u1"),
+        np.array([f for _, _, f, _ in keyed], "<u1"),
     ]
-    name = f"url-digests-{uuid.uuid4().hex}.bin"
-    with open(os.path.join(folder, name), "wb") as f:
-        for p in parts:
-            f.write(p.tobytes())
-        f.write(b"".join(strings))
-    return os.path.join(folder, name)
+    content = b"".join(p.tobytes() for p in parts) + b"".join(strings)
+    path = os.path.join(folder, f"url-digests-{xxh3_128_hexdigest(content)}.bin")
+    with open(path, "wb") as f:
+        f.write(content)
+    return path
 
 
 def open_index(path: str) -> tuple:
@@ -107,7 +125,7 @@ def candidates(host: str, path: str, lengths) -> list[str]:
 
 
 def probe(hosts, paths, index: tuple) -> list[tuple]:
-    """For each (host, path): the longest fitting entry's (rule or None, verdict or None, other verdict or None)."""
+    """For each (host, path): the longest fitting rule and its verdict, and the longest listed entry's verdict, each or None."""
     digests, offsets, lengths, flags, strings = index
     tried = [candidates(h, p, lengths.tolist()) for h, p in zip(hosts, paths)]
     flat = [k for ks in tried for k in ks]
@@ -117,14 +135,15 @@ def probe(hosts, paths, index: tuple) -> list[tuple]:
     best: list[list] = [[None, None] for _ in tried]
     row_of = np.repeat(np.arange(len(tried)), [len(ks) for ks in tried])
     for i in np.flatnonzero(last > first):
-        k = flat[i].encode()
+        k = flat[i].encode(errors="surrogatepass")
         for j in range(first[i], last[i]):  # equal digests of different strings stand side by side
             if bytes(strings[offsets[j] : offsets[j + 1]]) == k:
-                kind = 0 if flags[j] & 2 else 1
-                host, path = flat[i].split("\0")
-                new = (len(host) + len(path), len(host), host + path, "block" if flags[j] & 1 else "allow")
-                if best[row_of[i]][kind] is None or new[:2] > best[row_of[i]][kind][:2]:
-                    best[row_of[i]][kind] = new
+                host, path = flat[i].split("\0", 1)
+                for kind, there, blocks in ((0, 1, 2), (1, 4, 8)):
+                    new = (len(host) + len(path), len(host), host + path, "block" if flags[j] & blocks else "allow")
+                    held = best[row_of[i]][kind]
+                    if flags[j] & there and (held is None or new[:2] > held[:2]):
+                        best[row_of[i]][kind] = new
     return [(r and r[2], r and r[3], m and m[3]) for r, m in best]
 
 
@@ -133,57 +152,74 @@ def judge(pages: DataFrame, entries: DataFrame, url: str = "url", max_entries: i
 
     ``entries``: host, path, verdict (allow or block), is_rule.  A fitting rule wins
     over the method's own entries; without either the verdict is ``allow``.  Among
-    fitting entries the longest wins, then the one with the longer host.  A url that
-    is null or has no ``://`` has empty host and path and fits nothing.  Columns
-    of ``pages`` named like a result column are replaced.  No shuffle of ``pages``.
+    fitting entries the longest wins, then the one with the longer host; of repeated ones block
+    wins.  An entry whose host, verdict or kind is null is none; a null path fits every path.  A url that
+    is null or has no ``://`` has empty host and path and fits nothing.  Repeated pages get
+    equal results, an empty table an empty one.  Columns
+    of ``pages`` named like a result column are replaced.  No shuffle of ``pages`` unless the list is long.
     """
     spark = pages.sparkSession
     parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    entries = entries.select("host", "path", "verdict", "is_rule")
     rows = entries.limit(max_entries + 1).collect()
     if len(rows) > max_entries:
         return _judge_by_join(parsed, entries)
-    name = os.path.basename(local := build_index([tuple(r) for r in rows], tempfile.mkdtemp()))
-    spark.sparkContext.addFile(local)
+    name = os.path.basename(local := build_index([tuple(r) for r in rows], _index_folder()))
+    if (sent := (spark.sparkContext.applicationId, name)) not in _sent:
+        spark.sparkContext.addFile(local)
+        _sent.add(sent)
 
     @F.pandas_udf("rule string, rule_verdict string, listed string")
     def look_up(host: pd.Series, path: pd.Series) -> pd.DataFrame:
         found = probe(host.tolist(), path.tolist(), open_index(SparkFiles.get(name)))
         return pd.DataFrame(found, columns=["rule", "rule_verdict", "listed"], dtype=object)
 
-    return _decided(parsed.withColumn("_found", look_up("host", "path")))
+    return _decided(parsed, look_up("host", "path"))
+
+
+_sent: set[tuple[str, str]] = set()
+
 
+@cache
+def _index_folder() -> str:
+    """Where the driver keeps index files for executors to fetch; equal lists share a file, and the folder goes with the driver."""
+    folder = tempfile.mkdtemp(prefix="url-index-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
-def _decided(found: DataFrame) -> DataFrame:
-    verdict = F.coalesce("_found.rule_verdict", "_found.listed", F.lit(DEFAULT_VERDICT))
-    return found.withColumns({"rule": F.col("_found.rule"), "verdict": verdict}).drop("_found")
+
+def _decided(pages: DataFrame, found: Column) -> DataFrame:
+    own = fresh("found")
+    verdict = F.coalesce(f"{own}.rule_verdict", f"{own}.listed", F.lit(DEFAULT_VERDICT))
+    return pages.withColumn(own, found).withColumns({"rule": F.col(f"{own}.rule"), "verdict": verdict}).drop(own)
 
 
 def _judge_by_join(parsed: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same for a list too long to ship: distinct (host, path) are joined to it by digest and string."""
-    listed = entries.select(
-        F.concat_ws("\0", F.translate("host", UPPER, LOWER), "path").alias("key"),
-        F.length("path").alias("n"), "verdict", "is_rule",
-        (F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("entry"),
-    )
-    lengths = [r[0] for r in listed.select("n").distinct().limit(10_000).collect()]  # path lengths, not paths
+    """The same for a list too long to ship: distinct (host, path) are joined to it by digest and string.
+
+    A url's host suffixes meet the path lengths that the list has for them, so nothing of the list goes through the driver.
+    """
+    listed = entries.filter("host IS NOT NULL AND verdict IS NOT NULL AND is_rule IS NOT NULL").select(F.translate("host", UPPER, LOWER).alias("s"), F.coalesce("path", F.lit("")).alias("prefix"), "verdict", "is_rule")
+    # Block sorts behind allow.
+    listed = listed.groupBy("s", "prefix", "is_rule").agg(F.max("verdict").alias("verdict"))
+    lengths = listed.select("s", F.length("prefix").alias("n")).distinct()
+    keyed = listed.withColumn("key", F.concat_ws("\0", "s", "prefix")).withColumn("digest", F.xxhash64("key"))
     pairs = parsed.select("host", "path").distinct()
     parts = F.split("host", "\\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     tried = (
-        pairs.withColumn("s", F.explode(suffixes))
-        .withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths])))
-        .filter("n <= length(path)")
-        .withColumn("key", F.concat_ws("\0", "s", F.substring("path", F.lit(1), F.col("n"))))
-        .withColumn("digest", F.xxhash64("key"))
+        pairs.withColumn("s", F.explode(suffixes)).join(lengths, "s").filter("n <= length(path)")
+        .select("host", "path", F.concat_ws("\0", "s", F.substring("path", F.lit(1), F.col("n"))).alias("key")).withColumn("digest", F.xxhash64("key"))
     )
-    best = lambda c, rule: F.max_by(c, F.when(F.col("is_rule") == rule, F.struct("size", "host_size")))
+    entry, size = F.concat("s", "prefix"), F.struct(F.length(F.concat("s", "prefix")), F.length("s"))
+    best = lambda c, rule: F.max_by(c, F.when(F.col("is_rule") == rule, size))
     found = (
-        tried.join(listed.withColumn("digest", F.xxhash64("key")), ["digest", "key"])
-        .groupBy("host", "path")
-        .agg(best("entry", True).alias("rule"), best("verdict", True).alias("rule_verdict"), best("verdict", False).alias("listed"))
-        .select("host", "path", F.struct("rule", "rule_verdict", "listed").alias("_found"))
+        tried.join(keyed, ["digest", "key"]).groupBy("host", "path")
+        .agg(best(entry, True).alias("rule"), best(F.col("verdict"), True).alias("rule_verdict"), best(F.col("verdict"), False).alias("listed"))
+        .select(F.col("host").alias(h := fresh("host")), F.col("path").alias(p := fresh("path")), F.struct("rule", "rule_verdict", "listed").alias(f := fresh("entry")))
     )
-    return _decided(parsed.join(found, ["host", "path"], "left"))
+    joined = parsed.join(found, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+    return _decided(joined, F.col(f)).drop(h, p, f)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
