@@ -6,16 +6,20 @@ the mass of one moves to the other at random until one of them is 0 or 1, and th
 rest goes on to the next pair.  Units are grouped into blocks of like size (so
 that moving mass hardly changes the words taken); a block leaves at most one
 fractional unit, and these residuals form the next level of the reduction tree,
-until each source has one, which is settled by one draw.  All random numbers are
-hashes of the unit, so reruns agree.
+until each source has one, which is rounded to the nearer side.  All random numbers are
+hashes of the unit, so reruns agree.  Rows that are equal to the mix are one unit with
+their joint share, whose whole part is certain as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stage, table, uniform
+from .common import fresh, n_words, stage, table, uniform
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -27,6 +31,7 @@ EPS = 1e-9
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """(source, source_size) -> also ``target``.  One row per source goes through here.
 
+    Needs one row per source in one task, as sources number thousands at most.
     Sources in code point order, null last, weigh ``weights``, repeating.  A target
     stops at ``most`` times the source's size; what is over is shared by weight among
     the others.  With sources ordered by cap / weight this is one pass of running sums.
@@ -112,13 +117,49 @@ def mix(
     most: int = MAX_COPIES,
     seed: int = 42,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken, source) per row of ``docs``.
+    """(doc_id, source, size, source_size, target, copies, taken) per row of ``docs``.
 
     Null text: size 0, taken 0.  Null source: the last source.  Null doc_id: an id
-    like any other.  Rows with equal id, source and size are decided together.
+    like any other.  Rows with equal id, source and size share their copies as evenly as they go.
     Documents without words are never taken.  An empty table gives an empty result.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    return _mixed(docs, doc_id, source, text, weights, most, seed).drop("mark", "no")
+
+
+def number_repeats(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with numbers 0, 1, ... for rows of equal keys; only repeated keys are numbered, in parts, so many equal rows are no hot key."""
+    own = [fresh(k) for k in keys]
+    repeated = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(k).alias(o) for k, o in zip(keys, own)]), "repeats")
+    equal = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)])
+    once = df.join(repeated, equal, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    part, before = fresh("part"), fresh("before")
+    # Written, so that every use sees the same parts.
+    some = stage(df.join(repeated, equal, "left_semi").withColumn(part, F.spark_partition_id()), "repeated-rows")
+    counts = some.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    counts = counts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col(part).alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.lit(0))) - 1
+    many = some.withColumn(name, inside).join(counts, equal & (F.col(part) == F.col("p"))).withColumn(name, F.col(name) + F.col(before))
+    return once.unionByName(many.select(*once.columns))
+
+
+def _with_texts_ahead(d: DataFrame) -> DataFrame:
+    """``d`` with ``ahead``: rows of the same id, source and size whose text's hash is smaller."""
+    unit = ["doc_id", "source", "size"]
+    several = d.groupBy(*unit).agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("NOT lo <=> hi").select(F.struct(*unit).alias("_m"))
+    marks = d.join(several, F.struct(*unit).eqNullSafe(F.col("_m")), "left_semi").groupBy(*unit, "mark").agg(F.count(F.lit(1)).alias("n"))
+    marks = stage(marks.withColumn("part", F.coalesce(F.shiftright("mark", 56), F.lit(-129))), "marks")  # 257 parts in order of the hash
+    parts = marks.groupBy(*unit, "part").agg(F.sum("n").alias("n"))
+    before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.struct(*unit, "part").alias("_p"), before(*unit, "part").alias("parts_ahead"))
+    marks = marks.withColumn("inside", before(*unit, "part", "mark")).join(parts, F.struct(*unit, "part").eqNullSafe(F.col("_p")))
+    marks = marks.select(F.struct(*unit, "mark").alias("_m"), (F.col("inside") + F.col("parts_ahead")).alias("ahead"))
+    return d.join(marks, F.struct(*unit, "mark").eqNullSafe(F.col("_m")), "left").withColumn("ahead", F.coalesce("ahead", F.lit(0))).drop("_m")
+
+
+def _mixed(docs: DataFrame, doc_id: str, source: str, text: str, weights, most: int, seed: int) -> DataFrame:
+    """``mix`` with a hash of the text and the number of the row among those that are equal to it."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("mark"))
     d = stage(d, "sizes")
     sources = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most))))
@@ -128,28 +169,38 @@ def mix(
     units = (
         d.filter("size > 0").groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
         .join(sources.filter(f"f > {EPS}").select("_source", "f"), F.col("source").eqNullSafe(F.col("_source")))
-        .select("source", F.struct("doc_id", "size").alias("key"), "f")
+        .select("source", F.struct("doc_id", "size").alias("key"), "rows", (F.col("rows") * F.col("f")).alias("share"))
+        .withColumn("whole", F.floor(F.col("share") + EPS)).withColumn("f", F.col("share") - F.col("whole"))
     )
-    extra = pivotal_round(units, seed=seed).select(F.struct("key.doc_id", "source", "key.size").alias("_u"), "x")
+    drawn = pivotal_round(units.filter(f"f > {EPS}").select("source", "key", "f"), seed=seed).select(F.struct("source", "key").alias("_d"), "x")
+    extra = units.join(drawn, F.struct("source", "key").eqNullSafe(F.col("_d")), "left")
+    extra = extra.select(F.struct("key.doc_id", "source", "key.size").alias("_u"), (F.col("whole") + F.coalesce("x", F.lit(0))).alias("x"))
+    more = (F.coalesce("x", F.lit(0)) > F.col("no") + F.col("ahead")).cast("int")
     return (
-        d.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+        _with_texts_ahead(number_repeats(d, ("doc_id", "source", "size", "mark"), "no")).join(sources, F.col("source").eqNullSafe(F.col("_source")))
         .join(extra, F.struct("doc_id", "source", "size").eqNullSafe(F.col("_u")), "left")
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.coalesce("x", F.lit(0))).otherwise(F.lit(0)))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .withColumn("copies", F.when(F.col("size") > 0, F.col("base") + more).otherwise(F.lit(0)))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "mark", "no")
     )
 
 
-def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
+def repeat_by_mix(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights=WEIGHTS,
+    most: int = MAX_COPIES,
+    seed: int = 42,
+) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it."""
-    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.filter("_copies > 0").select(F.struct("doc_id", "source", "size").alias("_u"), "_copies")
-    names = [F.col(options.get(k, k)) for k in ("doc_id", "source")]
-    unit = F.struct(names[0].alias("doc_id"), names[1].alias("source"), n_words(F.col(options.get("text", "text"))).alias("size"))
+    mark, no, unit, taken_unit, copies = map(fresh, ("mark", "no", "unit", "taken", "copies"))
+    taken = _mixed(docs, doc_id, source, text, weights, most, seed).filter("copies > 0").select(F.struct("doc_id", "source", "mark", "no").alias(taken_unit), F.col("copies").alias(copies))
+    numbered = number_repeats(docs.withColumn(mark, F.xxhash64(text)), (doc_id, source, mark), no)
+    own = F.struct(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(mark).alias("mark"), F.col(no).alias("no"))
     return (
-        docs.withColumn("_unit", unit)
-        .join(taken, F.col("_unit").eqNullSafe(F.col("_u")))
-        .withColumn("_n", F.explode(F.expr("sequence(1, _copies)")))
-        .select(*docs.columns)
+        numbered.withColumn(unit, own).join(taken, F.col(unit).eqNullSafe(F.col(taken_unit)))
+        .withColumn(no, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
     )
 
 
