@@ -8,11 +8,14 @@ group of copies repeat their words in the same surroundings, so an entry's suppo
 is the number of toxic texts or of different words before it, whichever is less.
 
 A text's matches outside exception phrases add up their weights; the sum and the
-sum by length go into a logistic score fitted on the same rows.
+sum by length go into a logistic score fitted on the same rows.  Exception phrases are
+learned too: a lexicon word with the word before or behind it, where that pair stands in
+several clean rows and in no toxic one.  A few fixed ones stand beside them.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from dataclasses import dataclass, field
@@ -23,20 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Look-alikes of Latin letters in Cyrillic and Greek (fixed values).
 HOMOGLYPHS = dict(zip("асеорхуіјѕԁһԛԝкмнтвгαεικνορτυχωβ", "aceopxyijsdhqwkmhtbraeiknoptuxwb"))
-#: Digits and signs that stand for letters (fixed values).
+#: Digits and signs that stand for letters (fixed values); the last ones only between letters, as they end sentences too.
 SUBSTITUTES = dict(zip("0134578@$€", "oieastbase"))
-#: Harmless phrases that hold a word of the lexicon.
+BETWEEN_LETTERS = dict(zip("!|+", "iit"))
+_BETWEEN = re.compile(r"(?<=[^\W\d_])[!|+](?=[^\W\d_])")
+#: Harmless phrases that hold a word of the lexicon (fixed values).
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "white trash bag", "pond scum", "oxymoron")
 #: Labelled rows that the lexicon and the score are learned from: those with the smallest hashes.
 FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6, 7)
 MIN_SUPPORT = 4
 MIN_WEIGHT = 3.0
-MAX_ENTRIES = 5_000
+#: Clean rows that make a pair of words an exception.
+MIN_CLEAN = 4
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -57,6 +63,8 @@ _fold = _Fold()
 
 def fold(text: str) -> str:
     """Folded words between single spaces, with a space at either end."""
+    if any(c in text for c in BETWEEN_LETTERS):
+        text = _BETWEEN.sub(lambda m: BETWEEN_LETTERS[m[0]], text)
     return f" {' '.join(text.translate(_fold).split())} "
 
 
@@ -126,12 +134,17 @@ def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(most)
     )
-    # At most ``most`` rows of an id and a flag.
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # Rows that repeat an id are one: at most ``most`` texts.
+    held = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    return held.groupBy("_id", "toxic").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Lexicon:
-    """A lexicon from labelled rows.  Without a toxic row it is empty and scores everything low."""
+    """A lexicon from labelled rows.  Without a toxic row it is empty and scores everything low.
+
+    A null doc_id or flag is no label; an id with several flags is toxic if one says so; of several
+    rows of an id the first text counts.  Empty tables give an empty lexicon.
+    """
     rows = fit_rows(docs, labels, most).persist()
     counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
@@ -165,9 +178,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Lexicon:
     weight = F.log((F.col("n_toxic") + 0.5) / (toxic + 1.0)) - F.log((F.coalesce("n_clean", F.lit(0)) + 0.5) / (clean + 1.0))
     found = (
         support.join(against, "term", "left").withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT)
-        .orderBy(F.desc(F.col("weight") + F.log("n_toxic")), "term").limit(MAX_ENTRIES).select("term", "weight").collect()
+        .select("term", "weight").orderBy("term").collect()  # terms of at most ``most`` texts
     )
     lexicon = Lexicon({r.term: r.weight for r in found})
+    if found:
+        lexicon.exceptions = EXCEPTIONS + learned_exceptions(rows, lexicon)
     got = matches(rows, lexicon).select("total", "density", "toxic").toPandas()  # at most ``most`` rows of three numbers
     rows.unpersist()
     if toxic and clean:
@@ -175,6 +190,28 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Lexicon:
     return lexicon
 
 
+def learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
+    """Pairs of words around a lexicon word that MIN_CLEAN clean rows hold and no toxic one."""
+
+    def pairs(batches):
+        automaton = lexicon.automaton()
+        for b in batches:
+            seen = []
+            for text, flag in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folded, own = fold(text), set()
+                for end, (size, weight) in automaton.iter(folded):
+                    if weight is not None:
+                        at = end - size + 2  # behind the space that marks the start of the word
+                        before, word, behind = folded[:at].rsplit(" ", 2)[-2], *(folded[at:].split(" ", 2) + [""])[:2]
+                        own |= {f"{before} {word}"} if before else set()
+                        own |= {f"{word} {behind}"} if behind else set()
+                seen += [(p, flag) for p in own]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([f for _, f in seen], pa.int32())], ["pair", "toxic"])
+
+    found = rows.select("text", "toxic").mapInArrow(pairs, "pair string, toxic int").groupBy("pair").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
+    return tuple(r.pair for r in found.filter((F.col("clean") >= MIN_CLEAN) & (F.col("bad") == 0)).orderBy("pair").collect())
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Newton's method with a ridge on all but the bias."""
     w = np.zeros(x.shape[1])
@@ -194,15 +231,16 @@ def matches(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
         for column in parts:
             yield pd.DataFrame([match(t, automaton) for t in column.fillna("")], columns=["total", "density"], dtype=float)
 
-    found = F.pandas_udf(run, "total double, density double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn("_m", found(F.col(text))).withColumns({"total": F.col("_m.total"), "density": F.col("_m.density")}).drop("_m")
+    found, own = F.pandas_udf(run, "total double, density double", F.PandasUDFType.SCALAR_ITER), fresh("match")
+    return docs.withColumn(own, found(F.col(text))).withColumns({c: F.col(f"{own}.{c}") for c in ("total", "density")}).drop(own)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``.
 
     Null text is an empty text: no match, a low score.  Only the text is an input of
-    the score.  Columns named like a result column are replaced.  No shuffle.
+    the score, so repeated rows get equal ones, whatever their doc_id; an empty table gives an empty
+    result.  Columns named like a result column are replaced.  No shuffle.
     """
     bias, by_sum, by_density = lexicon.coefficients
 
