@@ -20,7 +20,7 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, n_words, stage, table
+from .common import fresh, let, n_words, stage, table
 
 GNU = (
     ("GPL", "", "2.0", "June 1991"),
@@ -178,26 +178,30 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     """``files`` with own_license, cosine, license and inherited_from.
 
     own_license: of the best header line (or whole licence file), ties by the order of
-    the templates.  license: the own one, else that of the nearest directory above with
+    the templates.  A licence file is one named so (LICENSE, COPYING, ...) that names a licence, or one whose
+    whole text is a licence.  license: the own one, else that of the nearest directory above with
     a licence file; where a directory has several, the most frequent, then the first by
     name.  A null or wordless text has no licence of its own and may inherit; a null
     path inherits nothing.  Repeated rows get equal results and columns named like a
     result column are replaced.  An empty table gives an empty result.
     """
-    cols = [c for c in files.columns if c not in ("own_license", "cosine", "license", "inherited_from")]
+    # Helper columns get names that no caller has; the given ones are renamed back at the end.
+    given = {c: fresh(f"c{k}") for k, c in enumerate(files.columns)}
+    files, path, text = files.select(*[F.col(c).alias(n) for c, n in given.items()]), given[path], given[text]
+    cols = [n for c, n in given.items() if c not in ("own_license", "cosine", "license", "inherited_from")]
     t, p = F.coalesce(F.col(text), F.lit("")), F.col(path)
     base = F.regexp_extract(p, "([^/]*)$", 1)
     lines = F.when(t.rlike(CUE), F.transform(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(CUE)), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
     by_name = F.coalesce(base.rlike(FILE_NAME), F.lit(False))
     header_words = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + n_words(x))
     whole = by_name | ((F.size(lines) > 0) & (2 * header_words >= n_words(t))) | t.rlike(WHOLE_CUE)
-    keyed = files.select(*cols, F.coalesce(F.regexp_extract(p, "^(.*)/[^/]*$", 1), F.lit("")).alias("_dir"), p.isNotNull().alias("_has_path"), lines.alias("_lines"), whole.alias("_whole"))
+    keyed = files.select(*cols, F.coalesce(F.regexp_extract(p, "^(.*)/[^/]*$", 1), F.lit("")).alias("_dir"), p.isNotNull().alias("_has_path"), lines.alias("_lines"), whole.alias("_whole"), by_name.alias("_named"))
     keyed = keyed.withColumn("_segs", F.array_distinct(F.concat("_lines", header_blocks(F.coalesce(F.col(text), F.lit(""))), F.when(F.col("_whole"), F.array(t)).otherwise(F.array().cast("array<string>")))))
     # Files with a candidate segment are few; each gets a key of its own content and path.
     key = F.sha2(F.concat_ws("\0", F.coalesce(p, F.lit("\1")), F.array_join("_segs", "\0")), 256)
     keyed = keyed.withColumn("_key", F.when(F.size("_segs") > 0, key)).withColumn("_text", F.when(F.col("_whole"), t))
-    some = keyed.filter("_key IS NOT NULL").select("_key", "_dir", "_has_path", "_segs", "_text").dropDuplicates(["_key"])
-    segs = stage(some.select("_key", "_dir", "_has_path", "_text", F.explode("_segs").alias("seg")), "segments")
+    some = keyed.filter("_key IS NOT NULL").select("_key", "_dir", "_has_path", "_named", "_segs", "_text").dropDuplicates(["_key"])
+    segs = stage(some.select("_key", "_dir", "_has_path", "_named", "_text", F.explode("_segs").alias("seg")), "segments")
     distinct = segs.select("seg").distinct()
     parts = score_segments(distinct).unionByName(declared(distinct)).groupBy("seg").agg(F.max(F.struct("cosine", "license")).alias("b"))
     texts = score_segments(segs.filter("seg = _text").select("seg").distinct(), whole=True).withColumn("full", F.lit(True))
@@ -206,8 +210,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     # A whole licence says more than the headers in it.
     best = F.max_by(F.struct("license", "cosine"), F.struct(F.col("full"), F.col("cosine"), F.col("license")))
     own = found.groupBy("_key").agg(best.alias("b")).select("_key", F.col("b.license").alias("own_license"), "b.cosine")
-    # Licence files: the whole text is a licence.
-    holders = found.filter("_has_path AND seg = _text").groupBy("_key", "_dir").agg(best.alias("b")).groupBy("_dir", F.col("b.license").alias("license")).agg(F.count(F.lit(1)).alias("n"))
+    holders = found.filter("_has_path AND (_named OR seg = _text)").groupBy("_key", "_dir").agg(best.alias("b")).groupBy("_dir", F.col("b.license").alias("license")).agg(F.count(F.lit(1)).alias("n"))
     holders = holders.groupBy("_dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "license")).alias("b")).select(F.col("_dir").alias("above"), F.col("b.license").alias("dir_license"))
     # Directories, not files, look for the nearest one above.
     above = (
@@ -216,20 +219,23 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
         .join(holders, "above").groupBy("_dir").agg(F.min(F.struct("depth", "above", "dir_license")).alias("b"))
         .select("_dir", F.col("b.above").alias("above"), "b.dir_license")
     )
-    out = keyed.select(*cols, "_dir", "_has_path", "_key").join(own, "_key", "left").join(above, "_dir", "left")
+    # Files without a segment are most; numbers of their own keep them from meeting in one task.
+    spread = F.coalesce("_key", F.concat(F.lit("-"), F.pmod(F.monotonically_increasing_id(), F.lit(8192))))
+    out = keyed.select(*cols, "_dir", "_has_path", spread.alias("_key")).join(own, "_key", "left").join(above, "_dir", "left")
     inherits = F.col("own_license").isNull() & F.col("_has_path")
     return out.select(
-        *cols, "own_license", "cosine",
+        *[F.col(n).alias(c) for c, n in given.items() if n in cols], "own_license", "cosine",
         F.coalesce("own_license", F.when(F.col("_has_path"), F.col("dir_license"))).alias("license"),
         F.when(inherits, F.col("above")).alias("inherited_from"),
     )
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of source/lang/doc_id."""
+    """Documents as files of a tree: source/lang/doc_id div 100/doc_id, those with an SPDX tag or a line that speaks of a licence as LICENSE.doc_id."""
     docs = table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return scan_licenses(files).select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
+    named = F.when(F.coalesce("text", F.lit("")).rlike(r"(?i)\blicen[sc]ed? under\b|spdx-license|\blicense\."), F.lit("LICENSE.")).otherwise(F.lit(""))
+    place = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100").cast("string"), F.concat(named, F.col("doc_id").cast("string")))
+    return scan_licenses(docs.select("doc_id", place.alias("path"), "text")).select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
 
 
 QUERIES = {"op9_licenses": op9_licenses}

@@ -28,8 +28,9 @@ def brute(files):
         got = [cosine(x) for x in lines + [t] * bool(whole)]
         got = [(c, n) for c, _, n in got if c >= li.THRESHOLD]
         own[p, t] = max(got, default=(None, None))[::-1]
-        if whole and p is not None and cosine(t)[0] >= li.THRESHOLD:
-            holders.setdefault(p.rpartition("/")[0], Counter())[cosine(t)[2]] += 1
+        named = bool(re.search(li.FILE_NAME, name))
+        if whole and p is not None and (named and own[p, t][0] or cosine(t)[0] >= li.THRESHOLD):
+            holders.setdefault(p.rpartition("/")[0], Counter())[own[p, t][0] if named else cosine(t)[2]] += 1
     out = []
     for p, t in files:
         name, c = own[p, t or ""]
@@ -60,12 +61,21 @@ def rows(df):
     return sorted(((r.path, r.own_license, r.cosine, r.license, r.inherited_from) for r in df.collect()), key=str)
 
 
+def test_columns_of_the_caller_are_kept(spark):
+    df = spark.createDataFrame([("a/LICENSE", "MIT License", 1, 2, "k"), ("a/b/x", "code", 3, 4, "l")], "path string, text string, _dir int, _key int, license string")
+    got = {r.path: r for r in li.scan_licenses(df).collect()}
+    assert got["a/LICENSE"]["_dir"] == 1 and got["a/b/x"]["_key"] == 4 and got["a/b/x"].license == "MIT" and got["a/b/x"].inherited_from == "a"
+
+
 def test_equals_brute_force(spark, sf_dir):
     df = spark.createDataFrame([(p, t, 1) for p, t in FILES], "path string, text string, license int")
     assert rows(li.scan_licenses(df)) == sorted(brute(FILES), key=str)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    files = [(f"{r.source}/{r.lang}/{r.doc_id}", r.text) for r in docs]
-    assert rows(li.op9_licenses(spark, sf_dir)) == sorted(brute(files), key=str)
+    big = sf_dir.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet").collect()
+    named = lambda t: "LICENSE." * bool(re.search(r"(?i)\blicen[sc]ed? under\b|spdx-license|\blicense\.", t or ""))
+    files = [(f"{r.source}/{r.lang}/{r.doc_id // 100}/{named(r.text)}{r.doc_id}", r.text) for r in docs]
+    got = rows(li.op9_licenses(spark, big))
+    assert got == sorted(brute(files), key=str) and sum(r[4] is not None for r in got) > 0
     assert li.scan_licenses(df.limit(0)).count() == 0
 
 
