@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, n_words, table, words
+from .common import WORD, fresh, let, n_words, table, words
 
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate from this many documents of a host on ...
@@ -107,14 +107,16 @@ def line_frequency(
 
     clean_text: the text without its boilerplate lines.  removed_words: the words it lost by that.
 
+    Documents of a host with the same text count once (n_texts and host_texts, not documents).
     Null text: no words, so ``base_failed``.  Null host: a host of its own.
     Repeated rows get equal results.  An empty table gives an empty result.
     Columns of ``docs`` that have the name of a result column are replaced.
     """
+    of_host, t1, t2, gone = map(fresh, ("host", "text1", "text2", "gone"))
     keys = {
-        "_host": F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")),
-        "_t1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-        "_t2": F.hash(F.coalesce(F.col(text), F.lit(""))),
+        of_host: F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")),
+        t1: F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+        t2: F.hash(F.coalesce(F.col(text), F.lit(""))),
     }
     keyed = docs.withColumns(keys)
     # Positions count all lines; those without a word are never boilerplate.
@@ -124,25 +126,25 @@ def line_frequency(
         .filter("line IS NOT NULL")
     )
     copies = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    hosts = copies.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"))
+    hosts = copies.groupBy(of_host).agg(F.count(F.lit(1)).alias("host_texts"))
     common = (
-        lines.groupBy("_host", "line")
-        .agg(F.countDistinct("_t1", "_t2").alias("n_docs"))
-        .filter(F.col("n_docs") >= min_docs)
-        .join(hosts, "_host")
-        .filter(F.col("n_docs") >= host_share * F.col("host_docs"))
-        .select("_host", "line")
+        lines.groupBy(of_host, "line")
+        .agg(F.countDistinct(t1, t2).alias("n_texts"))
+        .filter(F.col("n_texts") >= min_docs)
+        .join(hosts, of_host)
+        .filter(F.col("n_texts") >= host_share * F.col("host_texts"))
+        .select(of_host, "line")
     )
-    removed = lines.join(common, ["_host", "line"]).groupBy(*keys).agg(F.collect_set("pos").alias("_gone"))
+    removed = lines.join(common, [of_host, "line"]).groupBy(*keys).agg(F.collect_set("pos").alias(gone))
     measures = base_measures(F.col(text))
     out = keyed.withColumns(measures).join(removed, list(keys), "left")
-    out = out.withColumn("clean_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without_lines(all_lines, F.col("_gone"))))
+    out = out.withColumn("clean_text", F.when(F.col(gone).isNull(), F.col(text)).otherwise(without_lines(all_lines, F.col(gone))))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_words") - n_words(F.col("clean_text"))).cast("long")
+    lost = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.col("n_words") - n_words(F.col("clean_text"))).cast("long")
     return (
         out.withColumns({"base_failed": base_failed, "removed_words": lost})
         .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= depleted_share * F.col("n_words")))
-        .drop(*keys, "_gone")
+        .drop(*keys, gone)
     )
 
 

@@ -182,7 +182,8 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     round_trip: decoding the ids gives the normalised text.  parity: whether the
     rebuilt tokenizer and SentencePiece give the whole text the same ids; where
     not, the ids are SentencePiece's.
-    Null text: as an empty one, no ids.  Other columns are kept, and those named like
+    Null text: as an empty one, no ids.  Very long texts are encoded whole; repeated rows get equal ids, an
+    empty table gives an empty result.  Other columns are kept, and those named like
     a result column are replaced.  No shuffle.
     """
     made = ["ids", "n_tokens", "ids_crc32", "round_trip", "parity"]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import fresh, let, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "ssn", "secret")
@@ -141,12 +141,12 @@ def spans_of(text: Column, kind: str) -> Column:
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_all``: arrays of spans by kind, then start.
 
-    Null text is an empty text and has none.  Columns of those names are replaced.
+    A span has kind, start, end and score.  Null text is an empty text and has none; repeated rows
+    get equal spans, an empty table an empty result.  Columns of those names are replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = {"pii_base": F.concat(*[spans_of(t, k) for k in BASE_KINDS]), "_pii_extra": F.concat(*[spans_of(t, k) for k in EXTRA_KINDS])}
-    out = docs.withColumns(found)
-    return out.withColumn("pii_all", F.concat("pii_base", "_pii_extra")).drop("_pii_extra")
+    t, extra = F.coalesce(F.col(text), F.lit("")), fresh("extra")
+    out = docs.withColumns({"pii_base": F.concat(*[spans_of(t, k) for k in BASE_KINDS]), extra: F.concat(*[spans_of(t, k) for k in EXTRA_KINDS])})
+    return out.withColumn("pii_all", F.concat("pii_base", extra)).drop(extra)
 
 
 def rendered(spans: Column) -> Column:
@@ -171,7 +171,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs``, with personal data in ``text`` replaced.  Null texts stay null."""
+    """The columns of ``docs``, with personal data in ``text`` replaced.  Null texts stay null, repeated rows stay equal, an empty table stays empty."""
     return find_pii(docs, text).withColumn(text, redacted(F.col(text), F.col("pii_all"))).select(*docs.columns)
 
 
@@ -183,6 +183,7 @@ def op10_pii_of(docs: DataFrame) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(rendered(F.col("pii_base")), 256).alias("base_sha256"),
         rendered(F.col("pii_all")).alias("spans"),
+        F.array_join(F.transform("pii_all", lambda s: F.format_number(s.getField("score"), 1)), ",").alias("scores"),
     )
 
 

@@ -1,6 +1,7 @@
 """URL filter, line frequency, mixing, toxicity and embeddings: fixtures with nulls, ties, repeats and empty tables."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -44,6 +45,21 @@ def test_urls_equal_brute_force(spark, most):
     assert {r.verdict for r in url_filter.judge(pages, entries.limit(0)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("most", [url_filter.MAX_ENTRIES, 1])
+def test_clashing_repeated_and_null_entries(spark, most):
+    entries = [
+        ("org", "/", "block", False), ("ORG", "/", "allow", True), ("a.org", "/x", "allow", True), ("a.org", "/x", "block", True), ("a.org", "/x", "block", True),
+        ("net", None, "block", False), (None, "/", "block", True), ("com", "/", None, True), ("com", "/", "block", None), ("b.net", "/" + "p" * 300, "allow", True), ("", "/q", "block", True),
+    ]
+    urls = ["http://a.org/x", "http://a.org/y", "http://c.net/", "http://com/", "http://b.net/" + "p" * 301, "http://b.net/p", "http:///q", None]
+    df = spark.createDataFrame(entries, "host string, path string, verdict string, is_rule boolean")
+    pages = spark.createDataFrame([(u, "kept") for u in urls], "url string, _found string")
+    got = {r.url: (r.rule, r.verdict, r["_found"]) for r in url_filter.judge(pages, df, max_entries=most).collect()}
+    known = [(h.lower(), p or "", v, r) for h, p, v, r in entries if h is not None and v is not None and r is not None]
+    assert got == {u: (*brute_url(u, known)[2:], "kept") for u in urls}
+    assert got["http://a.org/x"][:2] == ("a.org/x", "block") and got["http://a.org/y"][:2] == ("org/", "allow") and got["http://c.net/"][1] == "block"
+
+
 def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter, "xxh64_intdigest", lambda k: 7)
     index = url_filter.open_index(url_filter.build_index(list(ENTRIES), str(tmp_path)))
@@ -123,6 +139,62 @@ def test_mix(spark):
     assert {r.taken for r in mixing.mix(df.filter("doc_id = 1000")).collect()} == {0}
 
 
+def test_mix_of_repeated_rows(spark):
+    rows = [(7, "a", "w " * 10)] * 50 + [(1000 + i, "b", "w " * 10) for i in range(150)] + [(None, "c", f"x{i % 5} y")for i in range(60)]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, source string, text string, _copies string")
+    for parts in (1, 5):
+        got = mixing.mix(df.repartition(parts)).collect()
+        taken, target = Counter(), {}
+        for r in got:
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            assert 0 <= r.copies <= 3
+        assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 10 for s in taken), (taken, target)
+        assert max(r.copies for r in got if r.source == "a") - min(r.copies for r in got if r.source == "a") <= 1
+    out = mixing.repeat_by_mix(df).collect()
+    assert Counter(r.source for r in out) == Counter({s: n for s in "abc" if (n := sum(r.copies for r in got if r.source == s))})
+    assert {r["_copies"] for r in out} == {"kept"} and set(map(tuple, out)) <= {(*r, "kept") for r in rows}
+    again = mixing.repeat_by_mix(df.repartition(9)).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str)
+
+
+def test_table_is_rounded_as_a_plain_loop_does(spark, sf_dir):
+    """The same blocks and draws, folded in Python."""
+    units = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.struct("doc_id", mixing.n_words(F.col("text")).alias("size")).alias("key"), F.lit(0.37).alias("f")).filter("key.size > 0")
+    got = {(r.source, r.key.doc_id): r.x for r in mixing.pivotal_round(units, block=16, seed=3).collect()}
+    level, want, depth = {(r.source, r.key.doc_id): (r.key["size"], 0.37) for r in units.collect()}, {}, 0
+    while True:
+        df = spark.createDataFrame([(s, i, z) for (s, i), (z, _) in level.items()], "source string, doc_id long, size long").withColumn("key", F.struct("doc_id", "size"))
+        counts = Counter(s for s, _ in level)
+        drawn = df.select("source", "doc_id", mixing.uniform(F.col("key"), F.col("source"), F.lit(depth), F.lit(3)).alias("u"), F.xxhash64("key", F.lit(depth), F.lit(3)).alias("h")).collect()
+        blocks = {}
+        for r in drawn:
+            blocks.setdefault((r.source, r.h % -(-counts[r.source] // 16)), []).append((level[r.source, r.doc_id][0], r.doc_id, level[r.source, r.doc_id][1], r.u))
+        left = {}
+        for (s, _), entries in blocks.items():
+            held = None
+            for z, i, f, u in sorted(entries, reverse=True):
+                if held is None:
+                    held = [z, i, f]
+                    continue
+                up, down = min((1 - held[2]) * held[0], f * z), min(held[2] * held[0], (1 - f) * z)
+                moved = up if u < down / (up + down) else -down
+                a, b = held[2] + moved / held[0], f - moved / z
+                whole = lambda x: x < mixing.EPS or x > 1 - mixing.EPS
+                if whole(a):
+                    want[s, held[1]] = round(a)
+                if whole(b):
+                    want[s, i] = round(b)
+                held = None if whole(a) and whole(b) else [z, i, b] if whole(a) else [held[0], held[1], a]
+            if held:
+                left[s, held[1]] = (held[0], held[2])
+        if max(Counter(s for s, _ in left).values(), default=0) <= 1:
+            want |= {k: int(f >= 0.5) for k, (_, f) in left.items()}
+            break
+        level, depth = left, depth + 1
+    assert got == want
+
+
 def test_pivotal_inclusion_is_fair(spark):
     units = spark.range(400).select(F.lit("s").alias("source"), F.struct(F.col("id").alias("doc_id"), (F.col("id") % 9 + 1).alias("size")).alias("key"), F.lit(0.3).alias("f"))
     picked = Counter()
@@ -145,6 +217,101 @@ def test_toxicity_folding_and_exceptions():
     assert short > long > 0
 
 
+def test_signs_between_letters():
+    a = toxicity.Lexicon({" idiot ": 5.0, " bitch ": 4.0, " stupid ": 3.0}).automaton()
+    assert toxicity.match("an id!ot", a)[0] == 5.0 and toxicity.match("b|tch", a)[0] == 4.0 and toxicity.match("s+upid!", a)[0] == 3.0
+    assert toxicity.match("idiot! stupid| idiot+", a)[0] == 13.0 and toxicity.fold("yes!") == " yes "
+
+
+def toxic_fixture():
+    rng = random.Random(11)
+    plain = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(rng.randrange(5, 60))]
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(["zonk", "zonkers", "Gr0mp", "flarb!"]))
+        elif i % 9 == 1:
+            words.insert(2, "zonk board")  # always behind the same word
+            words[1] = "harmless"
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    return docs, labels
+
+
+def naive_fold(text):
+    """Character by character, without tables."""
+    import unicodedata
+
+    out = ""
+    for k, c in enumerate(text):
+        if c in "!|+" and 0 < k < len(text) - 1 and text[k - 1].isalpha() and text[k + 1].isalpha():
+            c = {"!": "i", "|": "i", "+": "t"}[c]
+        c = toxicity.SUBSTITUTES.get(c, c)
+        if c not in "äöüß":
+            c = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        c = "".join(toxicity.HOMOGLYPHS.get(x, toxicity.SUBSTITUTES.get(x, x)) for x in c)
+        out += c if c.isalpha() else " "
+    return out.split()
+
+
+def naive_total(text, lexicon):
+    folded = " " + " ".join(naive_fold(text)) + " "
+    spared = [(k, k + len(p)) for e in lexicon.exceptions for p in [f" {' '.join(naive_fold(e))} "] if p not in lexicon.weights for k in range(len(folded)) if folded.startswith(p, k)]
+    best = {}
+    for entry, w in lexicon.weights.items():
+        for k in range(len(folded)):
+            if folded.startswith(entry, k):
+                best[k] = max(best.get(k, 0.0), w)
+    return sum(w for k, w in best.items() if not any(a <= k < b for a, b in spared)), max(1, len(folded.split()))
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Weights, exceptions and scores by plain loops."""
+    docs, labels = toxic_fixture()
+    df = spark.createDataFrame([(*d, "kept") for d in docs], "doc_id long, text string, _m string").repartition(5)
+    lexicon = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    flag = {i: t for i, t in labels if zlib.crc32(str(i).encode()) % 5}
+    fit = [(naive_fold(t), flag[i], t) for i, t in docs if i in flag]
+    n = Counter(f for _, f, _ in fit)
+    before, holders, clean = {}, {}, Counter()
+    for w, f, t in fit:
+        for k, x in enumerate(w):
+            for e in {f" {x} ", *[f" {x[:m]}" for m in toxicity.PREFIXES if m < len(x)]}:
+                if f:
+                    before.setdefault(e, set()).add(w[k - 1] if k else "")
+                    holders.setdefault(e, set()).add(t)
+        clean.update({e for x in w for e in {f" {x} ", *[f" {x[:m]}" for m in toxicity.PREFIXES if m < len(x)]}} if not f else ())
+    want = {}
+    for e in holders:
+        support = min(len(before[e]), len(holders[e]))
+        weight = np.log((support + 0.5) / (n[1] + 1)) - np.log((clean[e] + 0.5) / (n[0] + 1))
+        if support >= toxicity.MIN_SUPPORT and weight >= toxicity.MIN_WEIGHT:
+            want[e] = weight
+    assert lexicon.weights.keys() == want.keys() and all(abs(lexicon.weights[e] - want[e]) < 1e-9 for e in want) and " zonkers " in want
+    pairs = {0: Counter(), 1: Counter()}
+    for w, f, _ in fit:
+        hit = {k for k, x in enumerate(w) if any(f" {x} ".startswith(e) for e in want)}
+        pairs[f].update({f"{w[i]} {w[i + 1]}" for k in hit for i in (k - 1, k) if 0 <= i < len(w) - 1})
+    assert set(lexicon.exceptions[len(toxicity.EXCEPTIONS) :]) == {p for p, c in pairs[0].items() if c >= toxicity.MIN_CLEAN and not pairs[1][p]}
+    odd = [(900, None), (901, ""), (902, "zonk " * 5000), (902, "zonk " * 5000), (903, "id!ot ZÖNK zоnk gr0mp")]
+    got = toxicity.score_toxicity(spark.createDataFrame([(*d, "kept") for d in docs + odd], "doc_id long, text string, _m string"), lexicon).collect()
+    assert len(got) == len(docs) + len(odd) and {r["_m"] for r in got} == {"kept"}
+    b, s, d = lexicon.coefficients
+    for r in got:
+        total, words = naive_total(r.text or "", lexicon) if len(r.text or "") < 5000 else (5000 * max(w for e, w in want.items() if " zonk ".startswith(e)), 5000)
+        x = b + s * np.log1p(total) + d * np.log1p(100 * total / words)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
+def test_toxicity_of_repeated_ids_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.fit_rows(docs, labels).collect())) == [("b", 0), ("text 0", 1)]
+
+
 def test_toxicity_held_out_accuracy(spark, sf_dir):
     big = sf_dir.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{big}/labels.parquet")
