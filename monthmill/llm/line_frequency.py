@@ -122,8 +122,8 @@ def line_frequency(
     # Positions count all lines; those without a word are never boilerplate.
     all_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     lines = (
-        keyed.select(*keys, F.posexplode(F.transform(all_lines, lambda x: F.when(x.rlike(WORD), F.xxhash64(normalised(x))))).alias("pos", "line"))
-        .filter("line IS NOT NULL")
+        keyed.select(*keys, F.posexplode(F.transform(all_lines, lambda x: F.when(x.rlike(WORD), F.struct(F.xxhash64(normalised(x)).alias("line"), n_words(x).alias("n"))))).alias("pos", "x"))
+        .filter("x IS NOT NULL").select(*keys, "pos", "x.line", "x.n")
     )
     copies = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     hosts = copies.groupBy(of_host).agg(F.count(F.lit(1)).alias("host_texts"))
@@ -135,12 +135,13 @@ def line_frequency(
         .filter(F.col("n_texts") >= host_share * F.col("host_texts"))
         .select(of_host, "line")
     )
-    removed = lines.join(common, [of_host, "line"]).groupBy(*keys).agg(F.collect_set("pos").alias(gone))
+    removed = lines.join(common, [of_host, "line"]).groupBy(*keys).agg(F.collect_set(F.struct("pos", "n")).alias(gone))
     measures = base_measures(F.col(text))
     out = keyed.withColumns(measures).join(removed, list(keys), "left")
-    out = out.withColumn("clean_text", F.when(F.col(gone).isNull(), F.col(text)).otherwise(without_lines(all_lines, F.col(gone))))
+    out = out.withColumn("clean_text", F.when(F.col(gone).isNull(), F.col(text)).otherwise(without_lines(all_lines, F.col(f"{gone}.pos"))))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    lost = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.col("n_words") - n_words(F.col("clean_text"))).cast("long")
+    # The words of the lines that go; so a caller who doesn't want clean_text moves no text.
+    lost = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x.getField("n"))).cast("long")
     return (
         out.withColumns({"base_failed": base_failed, "removed_words": lost})
         .withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= depleted_share * F.col("n_words")))
