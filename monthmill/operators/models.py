@@ -6,6 +6,8 @@ broadcast as a single row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,22 +16,27 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import finite, median, row_mean
+from ..functions.exprs import finite, row_mean
 from ..sources.panel import LAGS, LAST, TARGET
+from .ordered import exact_quantiles, median_row
 from .scoring import score_all
 
 
 def training_median(train: DataFrame, target: str = TARGET) -> DataFrame:
-    return train.agg(median(F.col(target)).alias("median_target"))
+    return median_row(train, F.col(target), "median_target")
 
 
-def lag_average(rows: DataFrame, train: DataFrame, months: int, name: str) -> DataFrame:
-    """Mean of whichever of the last ``months`` balances exist, else the training median."""
-    return rows.join(F.broadcast(training_median(train)), F.lit(True)).withColumn(name, F.coalesce(row_mean(LAGS[:months]), "median_target")).drop("median_target")
+def lag_average(rows: DataFrame, middle: DataFrame, months: int, name: str) -> DataFrame:
+    """Mean of whichever of the last ``months`` balances exist, else the training median (``middle``, one row)."""
+    return rows.join(F.broadcast(middle), F.lit(True)).withColumn(name, F.coalesce(row_mean(LAGS[:months]), "median_target")).drop("median_target")
 
 
-def with_baselines(rows: DataFrame, train: DataFrame) -> DataFrame:
-    return lag_average(lag_average(rows, train, 1, "persistence"), train, 3, "three_month_average")
+def with_baselines(rows: DataFrame, train: DataFrame, more: dict[str, int] | None = None) -> DataFrame:
+    """``rows`` with persistence, the three-month average and further averages by name."""
+    middle = training_median(train)
+    for name, months in ({"persistence": 1, "three_month_average": 3} | (more or {})).items():
+        rows = lag_average(rows, middle, months, name)
+    return rows
 
 
 def long_predictions(rows: DataFrame, models: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -54,29 +61,34 @@ class Scaling:
     means: dict[str, float]
     deviations: dict[str, float]
 
+    def of(self, columns: list[str]) -> Scaling:
+        return Scaling(*[{c: d[c] for c in columns} for d in (self.medians, self.means, self.deviations)])
+
     def apply(self, df: DataFrame, prefix: str = "z_") -> DataFrame:
         """Imputed and standardised copies of the columns."""
         z = lambda c: (F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(self.medians[c])) - self.means[c]) / (self.deviations[c] or 1.0)
         return df.withColumns({prefix + c: z(c) for c in self.medians})
 
 
-def fit_scaling(train: DataFrame, columns: list[str]) -> Scaling:
-    """Medians of the training rows, then mean and population deviation of the imputed columns."""
-    m = train.agg(*[median(F.col(c)).alias(c) for c in columns]).first().asDict()
-    m = {c: 0.0 if v is None else v for c, v in m.items()}
-    full = {c: F.coalesce(F.col(c), F.lit(m[c])) for c in columns}
-    s = train.agg(*[F.avg(x).alias(f"m_{c}") for c, x in full.items()], *[F.stddev_pop(x).alias(f"s_{c}") for c, x in full.items()]).first()
-    return Scaling(m, {c: s[f"m_{c}"] or 0.0 for c in columns}, {c: s[f"s_{c}"] or 0.0 for c in columns})
+def _medians(train: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, median), exact; columns without a value are absent."""
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").withColumn("value", F.nullif("value", F.lit(float("nan"))))
+    return exact_quantiles(long, "value", (0.5,), ("column",)).select("column", F.col("q").alias("median"))
+
+
+def fit_scaling(train: DataFrame, columns: list[str], *more: Column) -> tuple[Scaling, dict]:
+    """Medians of the training rows, then mean and population deviation of the imputed columns; further aggregates in the same pass."""
+    m = {c: 0.0 for c in columns} | {r.column: r.median for r in _medians(train, columns).collect()}
+    full = {c: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))), F.lit(m[c])) for c in columns}
+    s = train.agg(*[F.avg(x).alias(f"m_{c}") for c, x in full.items()], *[F.stddev_pop(x).alias(f"s_{c}") for c, x in full.items()], *more).first().asDict()
+    return Scaling(m, {c: s[f"m_{c}"] or 0.0 for c in columns}, {c: s[f"s_{c}"] or 0.0 for c in columns}), s
 
 
 def scaling_report(train: DataFrame, columns: list[str]) -> DataFrame:
     """(column, median, mean, deviation) without leaving Spark."""
-    m = train.agg(*[median(F.col(c)).alias(f"_m_{c}") for c in columns])
-    full = train.join(F.broadcast(m), F.lit(True)).select(*[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in columns], *[f"_m_{c}" for c in columns])
-    stats = [F.struct(F.first(f"_m_{c}").alias("median"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation")).alias(c) for c in columns]
-    one = full.agg(*stats)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns]))
-    return one.select(rows.alias("x")).select("x.column", "x.s.*")
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    full = long.join(F.broadcast(_medians(train, columns)), "column", "left").withColumn("full", F.coalesce("value", "median"))
+    return full.groupBy("column").agg(F.max("median").alias("median"), F.avg("full").alias("mean"), F.stddev_pop("full").alias("deviation"))
 
 
 @dataclass
@@ -105,19 +117,27 @@ def _inputs(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f"miss_{c}": F.col(c).isNull().cast("double") for c in features})
 
 
-def fit_linear(train: DataFrame, features: list[str], alpha: float, l1_ratio: float = 0.0) -> ChangeModel:
+def prepared(train: DataFrame, features: list[str]) -> tuple[Scaling, dict]:
+    """What fits of the same rows share: the features' scaling, and the label's deviation and number."""
+    return fit_scaling(target_change(train), features, F.stddev_pop("change").alias("d"), F.count(F.lit(1)).alias("n"))
+
+
+def fit_linear(train: DataFrame, features: list[str], alpha: float, l1_ratio: float = 0.0, known: tuple[Scaling, dict] | None = None) -> ChangeModel:
     """Squared loss with penalties as on summed squares (ridge) or mean squares (elastic net) of standardised features.
 
     The library scales its penalty by the label's deviation and the number of rows, hence the mapping.
+    ``known``: what ``prepared`` gives, if it is at hand.
     """
+    if alpha < 0 or not 0 <= l1_ratio <= 1:
+        raise ValueError(f"alpha must not be negative and l1_ratio lie in [0, 1], not {alpha} and {l1_ratio}")
     rows = target_change(train)
-    scaling = fit_scaling(rows, features)
-    s = rows.agg(F.stddev_pop("change").alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if l1_ratio:
-        l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * s.d
+    scaling, s = known or prepared(train, features)
+    scaling = scaling.of(features)
+    if l1_ratio and alpha:
+        l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * s["d"]
         reg, net, solver = l1 + l2, l1 / (l1 + l2), "auto"
     else:
-        reg, net, solver = alpha * s.d / s.n, 0.0, "normal"
+        reg, net, solver = alpha * s["d"] / s["n"], 0.0, "normal"
     z = ["z_" + c for c in features]
     stages = [
         VectorAssembler(inputCols=z, outputCol="_features"),
@@ -128,10 +148,12 @@ def fit_linear(train: DataFrame, features: list[str], alpha: float, l1_ratio: fl
     return ChangeModel(features, fitted, scaling, weights)
 
 
-def fit_trees(train: DataFrame, features: list[str], loss: str = "absolute", trees: int = 10, depth: int = 3, step: float = 0.1, seed: int = 42) -> ChangeModel:
+def fit_trees(
+    train: DataFrame, features: list[str], loss: str = "absolute", trees: int = 10, depth: int = 3, step: float = 0.1, seed: int = 42, known: tuple[Scaling, dict] | None = None
+) -> ChangeModel:
     """Boosted trees; a feature's importance includes its missing flag's."""
     rows = target_change(train)
-    scaling = fit_scaling(rows, features)
+    scaling = (known or prepared(train, features))[0].of(features)
     inputs = ["z_" + c for c in features] + ["miss_" + c for c in features]
     stages = [
         VectorAssembler(inputCols=inputs, outputCol="_features"),
@@ -170,26 +192,121 @@ def change_wape(pred: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
     return score_all(pred, by, ("wape_change", "mae"))
 
 
-def eliminate(train: DataFrame, validate: DataFrame, features: list[str], step: int = 1, least: int = 1, **settings) -> list[tuple[int, float, str]]:
-    """Recursive elimination: (features used, WAPE of the change, features) per round, the weakest ``step`` dropped each time."""
-    curve, left = [], list(features)
-    while len(left) >= max(1, least):
-        model = fit_trees(train, left, **settings)
-        pred = long_predictions(model.predict(validate, "trees"), ("trees",))
-        curve.append((len(left), score_all(pred, only=("wape_change",)).first().wape_change, ",".join(left)))
-        if len(left) - step < max(1, least):
-            break
-        left = [f for f in left if f not in model.weakest(step)]
-    return curve
+#: Folds that are fitted at the same time; each fit is a Spark job of its own.
+AT_ONCE = 4
+
+
+def _each(work: Callable, items: Iterable) -> list:
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(work, items))
+
+
+def folds_of(tagged: DataFrame) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(fold, training rows, validation rows) of rows with fold and fold_side."""
+    numbers = sorted(r.fold for r in tagged.select("fold").distinct().collect())
+    return [(k, *[tagged.filter((F.col("fold") == k) & (F.col("fold_side") == side)) for side in ("train", "validate")]) for k in numbers]
+
+
+def _weakest_first(train: DataFrame, features: list[str], step: int, least: int, fit: Callable, see: Callable | None = None) -> list[list[str]]:
+    """The sets of features of each round; the ``step`` weakest go from one to the next.  ``see`` gets each round's model."""
+    rounds, known = [list(features)], prepared(train, features)
+    while True:
+        keep = max(least, len(rounds[-1]) - step)
+        last = keep == len(rounds[-1])
+        if not last or see:
+            model = fit(train, rounds[-1], known=known)
+        if see:
+            see(model)
+        if last:
+            return rounds
+        gone = model.weakest(len(rounds[-1]) - keep)
+        rounds.append([f for f in rounds[-1] if f not in gone])
+
+
+def eliminate(tagged: DataFrame, train: DataFrame, features: list[str], step: int = 1, least: int = 1, fit: Callable = fit_trees) -> DataFrame:
+    """(feature, rank, selected, n_features, cv_wape): recursive elimination scored on folds of the training months.
+
+    Every fold eliminates on its own training rows and scores each round on its validation
+    rows (WAPE of the change).  The number of features with the least mean is best, of
+    equal ones the smaller; which ones they are comes from elimination on all
+    training rows.  Selected features rank 1, those removed last 2, and so on;
+    n_features and cv_wape are of the smallest set that holds the feature.
+    """
+
+    def of_fold(fold) -> dict[int, float]:
+        _, fit_on, validate = fold
+        curve: dict[int, float] = {}
+
+        def see(model):
+            pred = long_predictions(model.predict(validate, "trees"), ("trees",))
+            curve[len(model.features)] = score_all(pred, only=("wape_change",)).first().wape_change
+
+        _weakest_first(fit_on, features, step, least, fit, see)
+        return curve
+
+    curves = _each(of_fold, folds_of(tagged))
+    mean = {n: sum(c[n] for c in curves) / len(curves) for n in curves[0]}
+    best = min(mean, key=lambda n: (mean[n], n))
+    rounds = _weakest_first(train, features, step, least, fit)
+    chosen = next(r for r in rounds if len(r) == best)
+    rows = []
+    for f in features:
+        last = [r for r in rounds if f in r][-1]
+        removed_after = sum(len(r) < len(last) and len(r) >= best for r in rounds)
+        rows.append((f, 1 if f in chosen else 1 + removed_after, f in chosen, len(last), mean[len(last)]))
+    return train.sparkSession.createDataFrame(rows, "feature string, rank int, selected boolean, n_features int, cv_wape double")
+
+
+def search(tagged: DataFrame, settings: dict[str, dict], prepare: Callable, fit: Callable, seeds: tuple[int, ...] = (1, 2, 3), weights: str = "linear") -> DataFrame:
+    """(setting, seed, state, folds, objective, best): each setting on all folds, then the best one again with other seeds.
+
+    ``prepare(train)`` makes what a fold's fits share, ``fit(train, it, seed, **setting)`` a model.  A
+    setting that ``fit`` rejects with a ValueError is pruned and has no objective.  The objective is
+    ``fold_objective``'s; rows of the re-check have a seed.
+    """
+    folds = [(k, fit_on, validate, prepare(fit_on)) for k, fit_on, validate in folds_of(tagged)]
+
+    def ratios(fold, tries: dict[str, tuple[dict, int | None]]) -> dict[str, float | None]:
+        """Each try's MAE over persistence's on a fold, all in one pass; None for a rejected one."""
+        k, fit_on, validate, shared = fold
+        rows, fitted = lag_average(validate, training_median(fit_on), 1, "persistence"), []
+        for n, (setting, seed) in enumerate(tries.values()):
+            try:
+                rows = fit(fit_on, shared, seed, **setting).predict(rows, f"try_{n}")
+                fitted.append(f"try_{n}")
+            except ValueError:
+                continue
+        mae = {r.model: r.mae for r in score_all(long_predictions(rows, ("persistence", *fitted)), only=("mae",)).collect()}
+        if not mae["persistence"]:
+            raise RuntimeError(f"persistence has no error on fold {k}, so ratios to it are infinite")
+        return {name: mae[f"try_{n}"] / mae["persistence"] if f"try_{n}" in mae else None for n, name in enumerate(tries)}
+
+    def objectives(tries) -> dict[str, float | None]:
+        w = [float(k) if weights == "linear" else 1.0 for k, *_ in folds]
+        found = _each(lambda fold: ratios(fold, tries), folds)
+        return {name: None if any(f[name] is None for f in found) else sum(x * f[name] for x, f in zip(w, found)) / sum(w) for name in tries}
+
+    tried = objectives({name: (s, None) for name, s in settings.items()})
+    complete = {name: x for name, x in tried.items() if x is not None}
+    if not complete:
+        raise RuntimeError("every setting was rejected")
+    best = min(complete, key=lambda n: (complete[n], n))
+    rows = [(n, None, "pruned" if x is None else "complete", 0 if x is None else len(folds), x, n == best) for n, x in tried.items()]
+    rows += [(best, seed, "complete", len(folds), x, True) for seed, x in objectives({seed: (settings[best], seed) for seed in seeds}).items()]
+    return tagged.sparkSession.createDataFrame(rows, "setting string, seed int, state string, folds int, objective double, best boolean")
 
 
 def fold_ratios(pred: DataFrame, reference: str = "persistence", weights: str = "linear") -> DataFrame:
-    """(model, fold, ratio, weight): MAE over the reference's per fold; weights grow with the fold or are equal and add up to 1."""
+    """(model, fold, ratio, weight): MAE over the reference's per fold; weights grow with the fold or are equal and add up to 1.
+
+    A fold on which the reference has no error is an error: its ratios would be infinite.
+    """
     mae = score_all(pred, ("fold", "model"), ("mae",))
     ref = mae.filter(F.col("model") == reference).select("fold", F.col("mae").alias("ref"))
     out = mae.filter(F.col("model") != reference).join(F.broadcast(ref), "fold")
     w = F.col("fold").cast("double") if weights == "linear" else F.lit(1.0)
-    out = out.withColumn("ratio", F.try_divide("mae", F.nullif("ref", F.lit(0.0)))).withColumn("w", w)
+    ratio = F.when(F.col("ref") > 0, F.col("mae") / F.col("ref")).otherwise(F.raise_error(F.lit("the reference has no error on a fold")).cast("double"))
+    out = out.withColumn("ratio", ratio).withColumn("w", w)
     total = out.groupBy("model").agg(F.sum("w").alias("total"))
     return out.join(F.broadcast(total), "model").select("model", "fold", "ratio", (F.col("w") / F.col("total")).alias("weight"))
 

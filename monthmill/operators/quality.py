@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import median
 from ..sources.panel import COUNTS, ID, TARGET, TIME
+from .ordered import average_ranks, median_row, quantile_columns
 
 
 def unpivoted(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -18,9 +19,9 @@ def unpivoted(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) ->
 
 def target_quantiles(df: DataFrame, target: str = TARGET) -> DataFrame:
     points = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    q = F.percentile(target, F.array(*map(F.lit, points.values())))
-    one = df.agg(F.min(target).alias("min"), F.max(target).alias("max"), F.avg(target).alias("mean"), q.alias("q"))
-    return one.select("min", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(points)], "max", "mean").withColumn("middle_90", F.col("p95") - F.col("p5"))
+    ends = df.agg(F.min(target).alias("min"), F.max(target).alias("max"), F.avg(target).alias("mean"))
+    one = ends.join(F.broadcast(quantile_columns(df, target, points)), F.lit(True))
+    return one.select("min", *points, "max", "mean").withColumn("middle_90", F.col("p95") - F.col("p5"))
 
 
 def target_over_time(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -46,7 +47,9 @@ def missing(df: DataFrame, columns: list[str], first_months: int = 3) -> DataFra
 
 def symlog_histogram(df: DataFrame, column: str = TARGET, bins: int = 40, heavy: float = 30.0) -> DataFrame:
     """(bin, n_rows) even in symlog space where the tails are heavy (span / IQR above ``heavy``), else even."""
-    s = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"), F.percentile(F.abs(column), 0.5).alias("mid"))
+    s = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    for part in (quantile_columns(df, column, {"q1": 0.25, "q3": 0.75}), median_row(df, F.abs(column), "mid")):
+        s = s.join(F.broadcast(part), F.lit(True))
     s = s.withColumn("heavy", F.coalesce(F.try_divide(F.col("hi") - F.col("lo"), F.nullif(F.col("q3") - F.col("q1"), F.lit(0.0))) > heavy, F.lit(True)))
     s = s.withColumn("linear", F.greatest(F.col("mid") / 10, F.lit(1.0)))
 
@@ -84,18 +87,11 @@ def _corr(a: Column, b: Column) -> Column:
 def spearman(df: DataFrame, column: str, others: list[str]) -> DataFrame:
     """(column, r, rho, gap) of each other column with ``column``: average ranks of pairwise complete rows.
 
-    Ranks come from running counts over distinct values, partitioned by column; a value's
-    rows are counted before the exchange.
+    A value's rows are counted before the exchange, and no task ranks a whole column.
     """
     long = df.select(F.col(column).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in others]).unpivot(["y"], others, "column", "x").filter("x IS NOT NULL AND y IS NOT NULL")
-    long = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
-
-    def rank(c: str) -> DataFrame:
-        counts = long.groupBy("column", c).agg(F.sum("n").alias("t"))
-        before = F.coalesce(F.sum("t").over(Window.partitionBy("column").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        return counts.select("column", c, (before + (F.col("t") + 1) / 2).alias(f"r{c}"))
-
-    j = long.join(rank("x"), ["column", "x"]).join(rank("y"), ["column", "y"])
+    rank = lambda c: average_ranks(long, ("column",), c, f"r{c}").drop("t")
+    j = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")).join(rank("x"), ["column", "x"]).join(rank("y"), ["column", "y"])
 
     def weighted(a: str, b: str) -> Column:
         n, sa, sb = F.sum("n"), F.sum(F.col("n") * F.col(a)), F.sum(F.col("n") * F.col(b))
@@ -138,7 +134,7 @@ def top_users(users: DataFrame, n: int = 15) -> DataFrame:
 def outliers_iqr(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """Bounds, count and percent outside k * IQR per column."""
     long = unpivoted(df, columns).filter("value IS NOT NULL")
-    q = long.groupBy("column").agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"))
+    q = quantile_columns(long, "value", {"q1": 0.25, "q3": 0.75}, ("column",))
     q = q.select("column", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("high"))
     out = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     return long.join(F.broadcast(q), "column").groupBy("column", "low", "high").agg(F.count_if(out).alias("n_outside"), (100 * F.avg(out.cast("double"))).alias("percent_outside"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, median, wape
+from ..sources.panel import ID
+from .ordered import quantile_columns, with_group
 
 MAPE_FLOOR = 1000.0
 TIERS = ("smb", "mid", "enterprise")
@@ -52,9 +54,17 @@ def usable(pred: DataFrame) -> DataFrame:
 
 
 def score_all(pred: DataFrame, by: tuple[str, ...] = ("model",), only: tuple[str, ...] | None = None, floor: float = MAPE_FLOOR) -> DataFrame:
-    """All (or the named) scores per group in one pass."""
+    """All (or the named) scores per group in one pass.
+
+    The median takes two more passes where groups are few and may be large, that is, unless they are single users.
+    """
     wanted = {k: v for k, v in measures(floor).items() if only is None or k in only}
-    return usable(pred).groupBy(*by).agg(*[v.alias(k) for k, v in wanted.items()])
+    rows = usable(pred)
+    if "median_ae" not in wanted or ID in by:
+        return rows.groupBy(*by).agg(*[v.alias(k) for k, v in wanted.items()])
+    others = rows.groupBy(*by).agg(*[v.alias(k) for k, v in wanted.items() if k != "median_ae"])
+    middle = quantile_columns(rows.withColumn("_size", F.abs(_error())), "_size", {"median_ae": 0.5}, by)
+    return with_group(others, middle, by).select(*by, *wanted)
 
 
 def with_skill(scores: DataFrame, reference: str = "persistence", by: tuple[str, ...] = ()) -> DataFrame:
@@ -72,7 +82,7 @@ def score_by_group(pred: DataFrame, group: str, by: tuple[str, ...] = ("model",)
 def assign_tiers(train: DataFrame, size: str, quantiles: tuple[float, float] = (0.5, 0.9), id: str = "user_id") -> DataFrame:
     """(id, tier) from each entity's median |size| on training rows."""
     typical = train.groupBy(id).agg(median(F.abs(F.col(size))).alias("typical")).filter("typical IS NOT NULL")
-    cuts = typical.agg(*[F.percentile("typical", q).alias(n) for q, n in zip(quantiles, ("low", "high"))])
+    cuts = quantile_columns(typical, "typical", dict(zip(("low", "high"), quantiles)))
     tier = F.when(F.col("typical") <= F.col("low"), TIERS[0]).when(F.col("typical") > F.col("high"), TIERS[2]).otherwise(TIERS[1])
     return typical.join(F.broadcast(cuts), F.lit(True)).select(id, "typical", tier.alias("tier"))
 
@@ -84,8 +94,7 @@ def score_by_tier(pred: DataFrame, tiers: DataFrame, id: str = "user_id") -> Dat
 
 
 def error_quantiles(pred: DataFrame, points=(50, 75, 90, 95, 99)) -> DataFrame:
-    q = F.percentile(F.abs(_error()), F.array(*[F.lit(p / 100) for p in points]))
-    return usable(pred).groupBy("model").agg(q.alias("q")).select("model", *[F.get("q", F.lit(k)).alias(f"p{p}") for k, p in enumerate(points)])
+    return quantile_columns(usable(pred).withColumn("_size", F.abs(_error())), "_size", {f"p{p}": p / 100 for p in points}, ("model",))
 
 
 def worst_entities(pred: DataFrame, n: int = 10, id: str = "user_id") -> DataFrame:
@@ -116,6 +125,17 @@ def leaderboard(scores: DataFrame, rank_by: str = "wape") -> DataFrame:
     return amount.unionByName(moved).withColumn("rank", F.row_number().over(Window.partitionBy("framing").orderBy(key, "model")))
 
 
+BOARD = ("rmse", "mae", "median_ae", "wape", "smape", "p90_ae", "sme", "r2_level", "r2_change", "mae_change", "rmse_change", "wape_change", "skill")
+
+
+def comparison_table(pred: DataFrame, sort_by: str = "median_ae") -> DataFrame:
+    """A row per model with thirteen measures, best first by ``rank``; an unknown column falls back to median_ae."""
+    sort_by = sort_by if sort_by in BOARD else "median_ae"
+    tail = error_quantiles(pred, (90,)).select("model", F.col("p90").alias("p90_ae"))
+    scores = with_skill(score_all(pred)).join(tail, "model").select("model", *BOARD)
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(sort_by).asc_nulls_last(), "model")))  # a row per model
+
+
 def train_vs_test(train: DataFrame, test: DataFrame, reference: str = "persistence") -> DataFrame:
     """Per model the scores on both sides, gap = test / train MAE, skill and skill_mae against the reference."""
     both = ("mse", "rmse", "mae", "median_ae", "sme", "smape")

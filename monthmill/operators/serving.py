@@ -81,12 +81,13 @@ def recent_window(errors: DataFrame, months: int = 3) -> DataFrame:
 def health_check(errors: DataFrame, baseline: DataFrame, now: Column, months: int = 3, min_rows: int = 30, decay: float = 0.10, cooldown_days: int = 3) -> DataFrame:
     """One row: live scores of the recent months against the holdout MAE, and whether and why to retrain.
 
-    ``baseline``: one row of baseline_mae and last_trained (may be null).
+    ``baseline``: one row of baseline_mae and last_trained (may be null).  The cooldown is a span between instants; a date is its midnight.
     """
     live = live_scores(recent_window(errors, months))
     j = live.join(F.broadcast(baseline), F.lit(True))
     j = j.withColumn("decay", F.when((F.col("n_rows") > 0) & (F.col("baseline_mae") > 0), F.col("mae") / F.col("baseline_mae") - 1))
-    resting = F.coalesce(F.datediff(now, F.col("last_trained")) < cooldown_days, F.lit(False))
+    instant = lambda c: F.unix_micros(c.cast("timestamp"))
+    resting = F.coalesce(instant(now) - instant(F.col("last_trained")) < cooldown_days * 86_400_000_000, F.lit(False))
     reason = (
         F.when(F.col("n_rows") < min_rows, "too_few_rows").when(F.coalesce(F.col("decay") <= decay, F.lit(False)), "within_tolerance").when(resting, "cooldown").otherwise("decayed")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import median
 from ..sources.panel import ID, TARGET, TIME, Panel
+from .ordered import ACCURACY
 from .splits import cut_positions, month_ranks
 
 
@@ -109,10 +110,10 @@ def null_shares(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
 
 
 def trim_whales(df: DataFrame, size: str, share: float, test_share: float = 0.2, gap: int = 0, id: str = ID, time: str = TIME) -> DataFrame:
-    """Without the floor(n * share) entities of the largest median |size| over training months.
+    """Without the floor(n * share) entities of the largest median |size| over training months; of equal ones the smaller id goes first.
 
-    Entities without a size stay.  The ranking is one row per entity; its n-th size is
-    found by a top-n, so no task sorts all entities.
+    Entities without a size stay.  Approximate quantiles bracket the last size that goes;
+    those above the bracket go unsorted, and only those inside are ranked.
     """
     if not 0 <= share < 1:
         raise PanelError(f"the share must be in [0, 1), not {share}")
@@ -120,10 +121,15 @@ def trim_whales(df: DataFrame, size: str, share: float, test_share: float = 0.2,
     train_end, _ = cut_positions(ranks.count(), test_share, gap)
     seen = df.join(F.broadcast(ranks.filter(F.col("rank") <= train_end).select(time)), time, "left_semi")  # months are few
     sizes = seen.groupBy(id).agg(median(F.abs(F.col(size))).alias("_size")).filter("_size IS NOT NULL")
-    n = int(sizes.count() * share + 1e-9)
-    whales = sizes.orderBy(F.desc("_size"), id).limit(n).select(id)
-    kept = df.join(whales, id, "left_anti")
-    return kept
+    reach = 2 / ACCURACY
+    ends = F.array(F.lit(max(0.0, 1 - share - reach)), F.lit(min(1.0, 1 - share + reach)))
+    entities, (low, high) = sizes.agg(F.count(F.lit(1)), F.percentile_approx("_size", ends, ACCURACY)).first() or (0, None)
+    n = int(entities * share + 1e-9)
+    if not n:
+        return df
+    above = sizes.filter(F.col("_size") > high)
+    near = sizes.filter(F.col("_size").between(low, high)).orderBy(F.desc("_size"), id).limit(n - above.count())
+    return df.join(above.select(id).union(near.select(id)), id, "left_anti")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import models, paired, scoring, splits
 from ..sources import tables
-from ..sources.panel import CREDITED, ID, LAGS, LAST, ROLL3, TARGET, TIME, customer_panel, supplier_panel
+from ..sources.panel import CREDITED, ID, LAGS, LAST, NET_FLOW, ROLL3, TARGET, TIME, customer_panel, supplier_panel
 from .base import query
-from .frames import BASELINES, baselines, fold_predictions, predictions, segmented, sided, windowed
+from .frames import BASELINES, baselines, labelled, fold_predictions, predictions, segmented, sided, windowed
 from .sql import FOLDS, HOLDOUT, L1, L2, L3, P2, PRED, SCORED, V1, V3, Y, scores, split
 
 K = "user_id month"
@@ -17,14 +17,14 @@ SPLIT_PRED = f"WITH {V1},{split('v1')},{PRED}"
 
 @query(f"{SPLIT_PRED}\nSELECT * FROM pw WHERE side = 'holdout'", K, "", "persistence")
 def model_persistence(spark, d):
-    rows = splits.holdout_labels(supplier_panel(spark, d))
-    return sided(models.lag_average(rows, sided(rows, "train"), 1, "persistence"), "holdout")
+    rows = labelled(supplier_panel(spark, d))
+    return models.lag_average(sided(rows, "holdout"), models.training_median(sided(rows, "train")), 1, "persistence")
 
 
 @query(f"{SPLIT_PRED}\nSELECT * FROM pw WHERE side = 'holdout'", K, "", "three_month_average")
 def model_three_month_average(spark, d):
-    rows = splits.holdout_labels(supplier_panel(spark, d))
-    return sided(models.lag_average(rows, sided(rows, "train"), 3, "three_month_average"), "holdout")
+    rows = labelled(supplier_panel(spark, d))
+    return models.lag_average(sided(rows, "holdout"), models.training_median(sided(rows, "train")), 3, "three_month_average")
 
 
 @query(f"{SPLIT_PRED}\nSELECT user_id, month, {Y} AS actual, {L1} AS last_month, persistence, three_month_average FROM pw WHERE side = 'holdout'", K, "", "actual last_month persistence three_month_average")
@@ -51,7 +51,7 @@ scale AS (SELECT feature, MAX(median) AS median, AVG(coalesce(value, median)) AS
 
 @query(f"WITH {V1},{split('v1')},{SCALING}\nSELECT * FROM scale", "feature", "", "median mean deviation")
 def impute_scale(spark, d):
-    rows = splits.holdout_labels(supplier_panel(spark, d))
+    rows = labelled(supplier_panel(spark, d))
     return models.scaling_report(sided(rows, "train"), LINEAR).withColumnRenamed("column", "feature")
 
 
@@ -66,13 +66,13 @@ SELECT * FROM m WHERE mean_abs > 0""",
     "feature", "", "mean_abs mean_value",
 )
 def shap_linear_rank(spark, d):
-    rows = splits.holdout_labels(supplier_panel(spark, d))
+    rows = labelled(supplier_panel(spark, d))
     return models.linear_contributions(sided(rows, "holdout"), WEIGHTS, models.scaling_report(sided(rows, "train"), LINEAR))
 
 
 @query(None, "feature is_zero", "", "weight")
 def model_ridge(spark, d):
-    train = sided(splits.holdout_labels(supplier_panel(spark, d)), "train")
+    train = sided(labelled(supplier_panel(spark, d)), "train")
     return models.weights_frame(train, models.fit_linear(train, LINEAR, alpha=10.0))
 
 
@@ -85,20 +85,20 @@ SELECT '{L1}' AS feature, SUM(z * y) / (SUM(z * z) + 10.0) AS weight FROM s""",
 )
 def model_ridge_one_feature(spark, d):
     """A ridge with one feature has a closed form."""
-    train = sided(splits.holdout_labels(supplier_panel(spark, d)), "train")
+    train = sided(labelled(supplier_panel(spark, d)), "train")
     return models.weights_frame(train, models.fit_linear(train, [LAST], alpha=10.0))
 
 
 @query(None, "feature is_zero", "", "weight")
 def model_elastic_net(spark, d):
-    train = sided(splits.holdout_labels(supplier_panel(spark, d)), "train")
+    train = sided(labelled(supplier_panel(spark, d)), "train")
     return models.weights_frame(train, models.fit_linear(train, LINEAR, alpha=50.0, l1_ratio=0.5))
 
 
 @query(None, "feature is_zero", "", "weight")
 def model_boosted_trees(spark, d):
-    train = sided(splits.holdout_labels(supplier_panel(spark, d)), "train")
-    return models.weights_frame(train, models.fit_trees(train, LINEAR, trees=5))
+    train = sided(labelled(supplier_panel(spark, d)), "train")
+    return models.weights_frame(train, models.fit_trees(train, LINEAR))
 
 
 @query(f"{SPLIT_PRED}\nSELECT COUNT(*) AS n_rows, SUM(CASE WHEN persistence IS NULL THEN 1 ELSE 0 END) AS n_bad, true AS ok FROM pw WHERE side = 'holdout'", "ok", "n_rows n_bad")
@@ -120,34 +120,26 @@ def route_rows(spark, d):
 def model_routed(spark, d):
     from ..operators import serving
 
-    rows = splits.holdout_labels(segmented(spark, d))
+    rows = labelled(segmented(spark, d))
     model = models.fit_linear(sided(rows, "train"), LINEAR, alpha=10.0)
     holdout = model.predict(models.with_baselines(sided(rows, "holdout"), sided(rows, "train")), "ridge")
     return serving.routed_predictions(holdout.withColumn("route", serving.route()), "ridge", "persistence")
 
 
-@query(None, "features", "n_features", "wape_change")
+@query(None, "feature selected", "rank n_features", "cv_wape")
 def rfe_by_importance(spark, d):
-    rows = splits.holdout_labels(supplier_panel(spark, d)).persist()
-    curve = models.eliminate(sided(rows, "train"), sided(rows, "holdout"), LINEAR[:3], trees=3, depth=2)
-    rows.unpersist()
-    return spark.createDataFrame(curve, "n_features int, wape_change double, features string")
+    """Elimination on all five folds of the training months; the holdout has no part in it."""
+    train = sided(labelled(supplier_panel(spark, d)), "train")
+    fit = lambda rows, features, known: models.fit_trees(rows, features, trees=3, depth=2, known=known)
+    return models.eliminate(splits.expanding_folds(train), train, [*LAGS, NET_FLOW, *ROLL3[:2]], step=2, least=2, fit=fit)
 
 
-@query(None, "model", "folds", "objective")
+@query(None, "setting state best", "seed folds", "objective")
 def tune_grid_on_folds(spark, d):
-    """Ridge penalties on the last two folds of the training months."""
-    tagged = splits.expanding_folds(sided(splits.holdout_labels(supplier_panel(spark, d)), "train"), folds=2).persist()
-    parts = None
-    for fold in (1, 2):
-        own = tagged.filter(F.col("fold") == fold)
-        fit_on, rows = own.filter("fold_side = 'train'"), own.filter("fold_side = 'validate'")
-        rows = models.lag_average(rows, fit_on, 1, "persistence")
-        for alpha in (1.0, 100.0):
-            rows = models.fit_linear(fit_on, LINEAR[:3], alpha).predict(rows, f"ridge_{alpha:g}")
-        pred = models.long_predictions(rows, ("persistence", "ridge_1", "ridge_100"), ("fold",))
-        parts = pred if parts is None else parts.unionByName(pred)
-    return models.fold_objective(models.fold_ratios(parts))
+    """Ridge penalties on all five folds of the training months; a negative one is rejected."""
+    tagged = splits.expanding_folds(sided(labelled(supplier_panel(spark, d)), "train"))
+    settings = {f"alpha={a:g}": {"alpha": a} for a in (1.0, 100.0, 10_000.0, -1.0)}
+    return models.search(tagged, settings, lambda rows: models.prepared(rows, LINEAR), lambda rows, known, seed, alpha: models.fit_linear(rows, LINEAR, alpha, known=known), seeds=(1, 2))
 
 
 CV = f"WITH {V1},{split('v1')},{FOLDS},{scores('fs', 'fl', 'fold, model')}"
@@ -227,7 +219,7 @@ ti AS (SELECT user_id, typical, CASE WHEN typical <= low THEN 'smb' WHEN typical
 
 @query(f"WITH {V1},{split('v1')},{TIERS}\nSELECT * FROM ti", "user_id tier", "", "typical")
 def assign_tiers(spark, d):
-    return scoring.assign_tiers(sided(splits.holdout_labels(supplier_panel(spark, d)), "train"), LAST)
+    return scoring.assign_tiers(sided(labelled(supplier_panel(spark, d)), "train"), LAST)
 
 
 @query(
@@ -278,6 +270,20 @@ def leaderboard(spark, d):
     return scoring.leaderboard(scoring.score_all(_holdout(spark, d)))
 
 
+BOARD = "rmse mae median_ae wape smape p90_ae sme r2_level r2_change mae_change rmse_change wape_change skill"
+
+
+@query(
+    f"""{SCORED},
+p AS (SELECT model, quantile_cont(abs(truth - prediction), 0.9) AS p90_ae FROM {HOLDOUT} GROUP BY 1),
+b AS (SELECT *, {SKILL} FROM te JOIN p USING (model))
+SELECT *, row_number() OVER (ORDER BY wape NULLS LAST, model) AS rank FROM b""",
+    "model", "rank", BOARD,
+)
+def comparison_table(spark, d):
+    return scoring.comparison_table(_holdout(spark, d), sort_by="wape")
+
+
 @query(f"{SCORED}\nSELECT * FROM tr", "model", "n_rows n_rows_change", ALL_NUMS)
 def in_sample_scores(spark, d):
     return scoring.score_all(sided(predictions(supplier_panel(spark, d)), "train"))
@@ -369,25 +375,29 @@ def segment_cv_summary(spark, d):
     return scoring.segment_cv_summary(scoring.segment_fold_wape(fold_predictions(segmented(spark, d), SEGS), SEGS), labels)
 
 
-# Paired comparison: persistence against the three-month average on holdout rows.
+# Paired comparisons on holdout rows: two challengers against persistence, then against each other.
 
+PAIRS = (("persistence", "three_month_average"), ("persistence", "two_month_average"), ("three_month_average", "two_month_average"))
 SCENARIOS = {"all_rows": f"{Y} IS NOT NULL", "dynamic_overdraft": "sign_flips_6m >= 2", "zero_income": f"{CREDITED} = 0", "gig_income": "income_cv_6m >= 1.0"}
+TWO = f"coalesce((coalesce({L1}, 0) + coalesce({L2}, 0)) / nullif(CAST({L1} IS NOT NULL AS INT) + CAST({L2} IS NOT NULL AS INT), 0), median_target)"
 PAIRED = f"""WITH {V1},{V3},{split('v3')},{PRED},
-sl AS ({' UNION ALL '.join(f"SELECT *, '{n}' AS scenario FROM pw WHERE side = 'holdout' AND {c}" for n, c in SCENARIOS.items())}),
-pu AS (
-  SELECT scenario, user_id, SUM(abs({Y} - three_month_average) - abs({Y} - persistence)) AS diff_sum, COUNT(*) AS n,
-         AVG(abs({Y} - three_month_average) - abs({Y} - persistence)) AS diff_mean, SUM(abs({Y} - persistence)) AS champion_sum, SUM(abs({Y} - three_month_average)) AS challenger_sum
-  FROM sl GROUP BY 1, 2)"""
+sl AS ({' UNION ALL '.join(f"SELECT *, {TWO} AS two_month_average, '{n}' AS scenario FROM pw WHERE side = 'holdout' AND {c}" for n, c in SCENARIOS.items())}),
+pp AS ({' UNION ALL '.join(f"SELECT scenario, user_id, '{a}' AS champion, '{b}' AS challenger, abs({Y} - {a}) AS ea, abs({Y} - {b}) AS eb FROM sl" for a, b in PAIRS)}),
+pu AS (SELECT scenario, champion, challenger, user_id, SUM(eb - ea) AS diff_sum, COUNT(*) AS n, AVG(eb - ea) AS diff_mean, SUM(ea) AS champion_sum, SUM(eb) AS challenger_sum FROM pp GROUP BY ALL)"""
+ONE = "scenario = 'all_rows' AND champion = 'persistence' AND challenger = 'three_month_average'"
+
+
+def _compared(spark, d):
+    return sided(baselines(windowed(spark, d), {"two_month_average": 2}), "holdout").withColumn("truth", F.col(TARGET))
 
 
-def _pair(spark, d):
-    rows = sided(baselines(windowed(spark, d)), "holdout")
-    return rows.withColumns({"truth": F.col(TARGET), "champion": F.col("persistence"), "challenger": F.col("three_month_average")})
+def _users(spark, d):
+    return paired.per_user(paired.of_pairs(_compared(spark, d), PAIRS[:1]))
 
 
 @query(f"{PAIRED}\nSELECT * FROM sl", f"{K} scenario")
 def scenario_slices(spark, d):
-    return paired.slice_rows(_pair(spark, d))
+    return paired.slice_rows(_compared(spark, d))
 
 
 @query(
@@ -402,62 +412,60 @@ def prediction_alignment(spark, d):
     return paired.alignment(rows.filter("month_index % 6 <> 0"), rows.filter("month_index % 4 <> 0"))
 
 
-@query(f"{PAIRED}\nSELECT * FROM pu WHERE scenario = 'all_rows'", "user_id", "n", "diff_sum diff_mean")
+@query(f"{PAIRED}\nSELECT * FROM pu WHERE {ONE}", "user_id", "n", "diff_sum diff_mean")
 def paired_user_diff(spark, d):
-    return paired.per_user(_pair(spark, d))
+    return _users(spark, d)
 
 
-DRAWS = 200
 CI = f"""
-nb AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY user_id) - 1 AS no, COUNT(*) OVER (PARTITION BY scenario) AS users FROM pu),
-slots AS (SELECT scenario, users, draw, unnest(range(0, users)) AS slot FROM (SELECT DISTINCT scenario, users FROM nb), range(0, {DRAWS}) AS g(draw)),
-picked AS (SELECT scenario, draw, CAST('0x' || substr(md5(concat_ws('|', CAST(draw AS VARCHAR), CAST(slot AS VARCHAR), '42')), 1, 8) AS BIGINT) % users AS no FROM slots),
-bs AS (SELECT scenario, draw, SUM(diff_sum) / SUM(n) AS x FROM picked JOIN nb USING (scenario, no) GROUP BY 1, 2),
-ci AS (SELECT scenario, quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high FROM bs GROUP BY 1)"""
+nu AS (SELECT scenario, user_id, row_number() OVER (PARTITION BY scenario ORDER BY substr(md5(user_id), 1, 3), user_id) - 1 AS no, COUNT(*) OVER (PARTITION BY scenario) AS users
+       FROM (SELECT DISTINCT scenario, user_id FROM pu)),
+slots AS (SELECT scenario, users, no AS place, draw FROM nu, range(0, {paired.DRAWS}) AS g(draw)),
+picked AS (SELECT scenario, draw, CAST('0x' || substr(md5(concat_ws('|', CAST(draw AS VARCHAR), CAST(place AS VARCHAR), '{paired.SEED}')), 1, 8) AS BIGINT) % users AS no FROM slots),
+bs AS (SELECT scenario, champion, challenger, draw, SUM(diff_sum) / SUM(n) AS x FROM picked JOIN nu USING (scenario, no) JOIN pu USING (scenario, user_id) GROUP BY ALL),
+ci AS (SELECT scenario, champion, challenger, quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high FROM bs GROUP BY ALL)"""
 
 
-@query(f"{PAIRED},{CI}\nSELECT * FROM ci WHERE scenario = 'all_rows'", "", "", "ci_low ci_high")
+@query(f"{PAIRED},{CI}\nSELECT * FROM ci WHERE {ONE}", "", "", "ci_low ci_high")
 def paired_bootstrap_ci(spark, d):
-    return paired.bootstrap_ci(paired.per_user(_pair(spark, d)), draws=DRAWS)
+    return paired.bootstrap_ci(_users(spark, d))
 
 
-WX = """
-wd AS (SELECT scenario, round(diff_mean, 6) AS d FROM pu WHERE round(diff_mean, 6) <> 0),
-wr AS (SELECT scenario, d, (rank() OVER (PARTITION BY scenario ORDER BY abs(d)) + rank() OVER (PARTITION BY scenario ORDER BY abs(d)) + COUNT(*) OVER (PARTITION BY scenario, abs(d)) - 1) / 2.0 AS r,
-              COUNT(*) OVER (PARTITION BY scenario, abs(d)) AS t FROM wd),
-wx AS (SELECT scenario, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, SUM(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, CAST(COUNT(*) AS DOUBLE) AS n, SUM(CAST(t AS DOUBLE) * t - 1) AS ties FROM wr GROUP BY 1),
-wz AS (SELECT scenario, w_plus, w_minus, n, (least(w_plus, w_minus) - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) AS z FROM wx)"""
+G = "scenario, champion, challenger"
+WX = f"""
+wd AS (SELECT {G}, round(diff_mean, 6) AS d FROM pu WHERE round(diff_mean, 6) <> 0),
+wr AS (SELECT {G}, d, rank() OVER (PARTITION BY {G} ORDER BY abs(d)) + (COUNT(*) OVER (PARTITION BY {G}, abs(d)) - 1) / 2.0 AS r, COUNT(*) OVER (PARTITION BY {G}, abs(d)) AS t FROM wd),
+wx AS (SELECT {G}, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, SUM(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, CAST(COUNT(*) AS DOUBLE) AS n, SUM(CAST(t AS DOUBLE) * t - 1) AS ties FROM wr GROUP BY ALL),
+wy AS (SELECT *, (least(w_plus, w_minus) - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) AS z FROM wx),
+wt AS (SELECT *, 1 / (1 + {paired.ERFC_AT} * abs(z) / sqrt(2.0)) AS u FROM wy),
+wz AS (SELECT {G}, w_plus, w_minus, n, z, ({' + '.join(f'{c} * pow(u, {k})' for k, c in enumerate(paired.ERFC, 1))}) * exp(-z * z / 2) AS p_value FROM wt)"""
 
 
-@query(f"{PAIRED},{WX}\nSELECT * FROM wz WHERE scenario = 'all_rows'", "", "n", "w_plus w_minus z")
+@query(f"{PAIRED},{WX}\nSELECT * FROM wz WHERE {ONE}", "", "n", "w_plus w_minus z p_value")
 def wilcoxon_signed_rank(spark, d):
-    return paired.wilcoxon(paired.per_user(_pair(spark, d)))
+    return paired.wilcoxon(_users(spark, d))
 
 
 REPORT = f"""
-to_ AS (SELECT scenario, SUM(n) AS n_rows, COUNT(*) AS n_users, SUM(champion_sum) / SUM(n) AS champion_mae, SUM(challenger_sum) / SUM(n) AS challenger_mae FROM pu GROUP BY 1)
+to_ AS (SELECT {G}, SUM(n) AS n_rows, COUNT(*) AS n_users, SUM(champion_sum) / SUM(n) AS champion_mae, SUM(challenger_sum) / SUM(n) AS challenger_mae FROM pu GROUP BY ALL)
 SELECT *, 100 * (challenger_mae - champion_mae) / nullif(champion_mae, 0) AS mae_change_pct,
-CASE WHEN round(ci_high, 6) < 0 THEN 'challenger better' WHEN round(ci_low, 6) > 0 THEN 'champion better' ELSE 'no difference' END AS verdict FROM to_ JOIN ci USING (scenario) LEFT JOIN wz USING (scenario)"""
-REPORT_NUMS = "champion_mae challenger_mae mae_change_pct ci_low ci_high z"
-
-
-def _report(rows, by=("scenario",)):
-    return paired.report_of(paired.per_user(rows, by), by, DRAWS)
+CASE WHEN round(ci_high, 6) < 0 THEN 'challenger better' WHEN round(ci_low, 6) > 0 THEN 'champion better' ELSE 'no difference' END AS verdict FROM to_ JOIN ci USING ({G}) LEFT JOIN wz USING ({G})"""
+REPORT_NUMS = "champion_mae challenger_mae mae_change_pct ci_low ci_high z p_value"
 
 
-@query(f"{PAIRED},{CI},{WX},{REPORT} WHERE scenario = 'all_rows'", "verdict", "", "mae_change_pct ci_low ci_high")
+@query(f"{PAIRED},{CI},{WX},{REPORT} WHERE {ONE}", "champion challenger verdict", "", "mae_change_pct ci_low ci_high p_value")
 def paired_verdict(spark, d):
-    return _report(_pair(spark, d).withColumn("scenario", F.lit("all_rows")))
+    return paired.report(_compared(spark, d), PAIRS[:1], ())
 
 
-@query(f"{PAIRED},{CI},{WX},{REPORT}", "scenario verdict", "n_rows n_users", REPORT_NUMS)
+@query(f"{PAIRED},{CI},{WX},{REPORT}", "scenario champion challenger verdict", "n_rows n_users", REPORT_NUMS)
 def scenario_report(spark, d):
-    return _report(paired.slice_rows(_pair(spark, d)))
+    return paired.report(paired.slice_rows(_compared(spark, d)), PAIRS)
 
 
 @query(f"WITH {P2},{split('v1')},{PRED}\nSELECT user_id, month, coalesce({L2}, {L3}, median_target) AS fallback FROM pw WHERE side = 'holdout'", K, "", "fallback")
 def no_balance_fallback(spark, d):
-    rows = splits.holdout_labels(customer_panel(spark, d))
+    rows = labelled(customer_panel(spark, d))
     return paired.fallback(sided(rows, "holdout"), models.training_median(sided(rows, "train")))
 
 
@@ -471,7 +479,7 @@ SELECT *, mae / fallback_mae AS ratio, mae <= 1.5 * fallback_mae AS passes FROM
     "model passes", "", "mae fallback_mae ratio",
 )
 def no_balance_check(spark, d):
-    rows = splits.holdout_labels(supplier_panel(spark, d))
+    rows = labelled(supplier_panel(spark, d))
     train = sided(rows, "train")
     blank = sided(rows, "holdout").withColumn(LAST, F.lit(None).cast("double"))
     both = paired.fallback(models.with_baselines(blank, train), models.training_median(train))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, models, segments, splits
+from ..operators.ordered import quantile_columns
+from ..sources import tables
 from ..sources.panel import ID, LAST, TARGET, TIME, supplier_panel
 
 BASELINES = ("persistence", "three_month_average")
@@ -23,10 +25,22 @@ def sided(df: DataFrame, side: str) -> DataFrame:
     return df.filter(F.col("side") == side)
 
 
-def baselines(panel: DataFrame) -> DataFrame:
-    """Split rows with both baselines."""
-    rows = splits.holdout_labels(panel)
-    return models.with_baselines(rows, sided(rows, "train"))
+def written(panel: DataFrame) -> DataFrame:
+    """The panel as a table, so that statistics, splits and scores each read it instead of building it again."""
+    path = tables.scratch_path(panel.sparkSession, "panel")
+    panel.write.parquet(path)
+    return panel.sparkSession.read.schema(panel.schema).parquet(path)
+
+
+def labelled(panel: DataFrame) -> DataFrame:
+    """Split rows of the written panel."""
+    return splits.holdout_labels(written(panel))
+
+
+def baselines(panel: DataFrame, more: dict[str, int] | None = None) -> DataFrame:
+    """Split rows with both baselines, and further averages by name and months."""
+    rows = labelled(panel)
+    return models.with_baselines(rows, sided(rows, "train"), more)
 
 
 def predictions(panel: DataFrame, keep: tuple[str, ...] = (ID, TIME, "side")) -> DataFrame:
@@ -35,8 +49,8 @@ def predictions(panel: DataFrame, keep: tuple[str, ...] = (ID, TIME, "side")) ->
 
 def fold_predictions(panel: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Validation rows of the folds over the training months, with each fold's own median."""
-    tagged = splits.expanding_folds(sided(splits.holdout_labels(panel), "train"))
-    med = tagged.filter("fold_side = 'train'").groupBy("fold").agg(F.percentile(TARGET, 0.5).alias("median_target"))
+    tagged = splits.expanding_folds(sided(labelled(panel), "train"))
+    med = quantile_columns(tagged.filter("fold_side = 'train'"), TARGET, {"median_target": 0.5}, ("fold",))
     rows = tagged.filter("fold_side = 'validate'").join(F.broadcast(med), "fold")
     one, three = F.col(LAST), features.row_mean(features.LAGS)
     rows = rows.withColumns({"persistence": F.coalesce(one, "median_target"), "three_month_average": F.coalesce(three, "median_target")})

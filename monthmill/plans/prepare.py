@@ -173,7 +173,7 @@ def panel_fingerprint(spark, d):
 )
 def safe_divide(spark, d):
     flow, debit, n = map(F.col, ("prev_1m_net_flow_usd", "prev_1m_total_debited_usd", COUNTS[0]))
-    return supplier_panel(spark, d).withColumns({"clipped": exprs.safe_divide(flow, debit), "counted": exprs.safe_divide(debit, n, exprs.COUNT_EPSILON, None)})
+    return supplier_panel(spark, d).withColumns({"clipped": exprs.guarded_ratio(flow, debit), "counted": exprs.guarded_ratio(debit, n, exprs.COUNT_EPSILON, None)})
 
 
 @query(f"WITH {P2}\nSELECT user_id, month, {MEAN} AS lag_mean FROM v1", K, "", "lag_mean")
@@ -217,12 +217,12 @@ _window("win_balance_trend", "roll6_mean_balance roll6_std_balance roll6_slope_b
 _window("win_change", "prev_1m_change roll3_mean_change", features.change)
 _window("win_flow_volatility", "roll6_std_net_flow net_flow_cv change_volatility_6m", features.balance_trend, features.flow_volatility)
 _window("win_income", "turnover_roll6 flow_volatility_6m income_cv_6m repayment_ratio", features.balance_trend, features.flow_volatility, features.income)
-_rest = (features.balance_trend, features.flow_volatility, features.income, features.sign_and_debt)
-_window("win_share_negative", "share_neg_last_6m", *_rest)
-_window("win_months_since_flip", "months_since_sign_flip", *_rest)
-_window("win_sign_flips", "sign_flips_6m", *_rest)
+_rest = (features.balance_trend, features.flow_volatility, features.income, features.sign_history, features.debt_depth)
+_window("win_share_negative", "share_neg_last_6m", features.sign_history)
+_window("win_months_since_flip", "months_since_sign_flip", features.sign_history)
+_window("win_sign_flips", "sign_flips_6m", features.sign_history)
 _window("win_debt_depth", "debt_depth_6m", *_rest)
-_window("win_max_drawdown", "drawdown_6m", *_rest)
+_window("win_max_drawdown", "drawdown_6m", features.drawdown)
 _window("win_sparse_panel", "prev_1m_change months_since_sign_flip roll6_mean_balance", *features.BUILDERS, ints="history_months", sparse=True)
 _window("v3_features_all", " ".join(features.V3_DERIVED), *features.BUILDERS, ints="history_months")
 
@@ -237,8 +237,7 @@ def v3_feature_table(spark, d):
     K, "flow_id",
 )
 def seg_threshold_bands(spark, d):
-    bands = segments.threshold_bands("net_flow_cv", [0.5, 1.5], [("even", ""), ("uneven", ""), ("wild", "")])
-    return segments.Segmentation("flow", bands).assign(windowed(spark, d))
+    return segments.by_cuts("flow", "net_flow_cv", [0.5, 1.5], [("even", ""), ("uneven", ""), ("wild", "")]).assign(windowed(spark, d))
 
 
 def _segment(name: str, ids: str):

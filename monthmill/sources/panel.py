@@ -46,7 +46,7 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     size = F.element_at(F.array(F.lit(0.25), F.lit(1.0), F.lit(3.0)), (F.col("l_suppkey") % 3 + 1).cast("int"))
     line = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("u"),
+        F.col("l_suppkey").cast("string").alias(ID),
         F.trunc("l_shipdate", "month").alias("m"),
         (F.col("l_returnflag") == "R").alias("back"),
         (F.col("l_partkey") % 7).alias("kind"),
@@ -55,7 +55,7 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) / 40 * size).cast("double").alias("amt"),
     )
     debit = F.when(F.col("back"), 2 * F.col("amt")).otherwise(F.lit(0.0))
-    monthly = line.groupBy("u", "m").agg(
+    monthly = line.groupBy(ID, "m").agg(
         F.sum(F.when(F.col("back"), F.lit(0.0)).otherwise(F.col("amt"))).alias("cr"),
         F.sum(debit).alias("db"),
         *[F.sum(F.when(F.col("kind") == k, debit).otherwise(F.lit(0.0))).alias(f"s{k}") for k in range(7)],
@@ -70,7 +70,7 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers by order month: sparse, most months are missing."""
     order = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("u"),
+        F.col("o_custkey").cast("string").alias(ID),
         F.trunc("o_orderdate", "month").alias("m"),
         (F.col("o_orderstatus") == "F").alias("back"),
         (F.col("o_orderkey") % 7).alias("kind"),
@@ -79,7 +79,7 @@ def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("o_totalprice") / 100).cast("double").alias("amt"),
     )
     debit = F.when(F.col("back"), F.col("amt")).otherwise(F.lit(0.0))
-    monthly = order.groupBy("u", "m").agg(
+    monthly = order.groupBy(ID, "m").agg(
         F.sum(F.when(F.col("back"), F.lit(0.0)).otherwise(F.col("amt"))).alias("cr"),
         F.sum(debit).alias("db"),
         *[F.sum(F.when(F.col("kind") == k, debit).otherwise(F.lit(0.0))).alias(f"s{k}") for k in range(7)],
@@ -91,14 +91,18 @@ def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_lags(monthly: DataFrame) -> DataFrame:
-    """Running balance and what the months before hold; frames are calendar months, so gaps give nulls."""
-    running = Window.partitionBy("u").orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = monthly.withColumns({"mi": month_index(F.col("m")), "nf": F.col("cr") - F.col("db"), "b": F.sum(F.col("cr") - F.col("db")).over(running)})
-    back = lambda far, near=None: Window.partitionBy("u").orderBy("mi").rangeBetween(-far, -(near or far))
+    """Running balance and what the months before hold; frames are calendar months, so gaps give nulls.
+
+    All windows here and in the features share one order, (user, month index): one exchange and sort.
+    """
+    by_month = Window.partitionBy(ID).orderBy("mi")
+    running = by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = monthly.withColumns({"mi": month_index(F.col("m")), "nf": F.col("cr") - F.col("db")}).withColumn("b", F.sum("nf").over(running))
+    back = lambda far, near=None: by_month.rangeBetween(-far, -(near or far))
     one, three = back(1), back(3, 1)
     last = {NET_FLOW: "nf", CREDITED: "cr", DEBITED: "db", **{c: f"s{k}" for k, c in enumerate(SPEND)}, **dict(zip(COUNTS, ("n", "nm", "acc")))}
     return b.select(
-        F.col("u").cast("string").alias(ID),
+        ID,
         F.col("m").alias(TIME),
         F.col("mi").alias("month_index"),
         F.col("b").alias(TARGET),

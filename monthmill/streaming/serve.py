@@ -1,35 +1,70 @@
 """The serving step as a stream: each micro-batch of new panel rows is predicted once.
 
-``foreachBatch`` may repeat a batch after a failure; predictions are inserted by an
-anti-join and checkpoints only move forward, so a repeat changes nothing.  Tables
-are written as new versions, then the version file is replaced.
+Predictions are appended by month, so a batch reads and writes its own months only.
+Checkpoints, a row per user, are a new version per batch.  ``foreachBatch`` may
+repeat a batch after a failure: it then starts from the version before it, and rows
+whose keys were appended already are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import serving
 from ..sources.panel import ID, TIME
 
+PREDICTIONS = f"{ID} string, prediction double, route string, model_version string, {TIME} date"
+CHECKPOINTS = f"{ID} string, last_month date"
 
-def serve_stream(
-    rows: DataFrame, predict: Callable[[DataFrame], DataFrame], read: Callable[[str], DataFrame], write: Callable[[str, DataFrame], None], checkpoint: str, version: str = "v1"
-) -> StreamingQuery:
+
+class ServingTables:
+    """Predictions (partitioned by month) and versions of the checkpoints under one folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _has(self, path: str) -> bool:
+        return self._files.exists(self._path(path))
+
+    def predictions(self) -> DataFrame:
+        path = f"{self.root}/predictions"
+        return self.spark.read.schema(PREDICTIONS).parquet(path) if self._has(path) else self.spark.createDataFrame([], PREDICTIONS)
+
+    def append(self, new: DataFrame) -> None:
+        new.write.mode("append").partitionBy(TIME).parquet(f"{self.root}/predictions")
+
+    def checkpoints(self, before: int | None = None) -> DataFrame:
+        """The last complete version, or the last before batch ``before``."""
+        folder = f"{self.root}/checkpoints"
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path(folder))] if self._has(folder) else []
+        done = [int(n) for n in names if self._has(f"{folder}/{n}/_SUCCESS") and (before is None or int(n) < before)]
+        return self.spark.read.schema(CHECKPOINTS).parquet(f"{folder}/{max(done)}") if done else self.spark.createDataFrame([], CHECKPOINTS)
+
+    def move(self, checkpoints: DataFrame, batch: int) -> None:
+        checkpoints.write.mode("overwrite").parquet(f"{self.root}/checkpoints/{batch}")
+
+
+def serve_stream(rows: DataFrame, predict: Callable[[DataFrame], DataFrame], tables: ServingTables, floor: DataFrame, checkpoint: str, version: str = "v1") -> StreamingQuery:
     """Start serving ``rows``, a stream with features and history_id.
 
-    ``predict`` adds prediction and route to a batch; ``read`` and ``write`` load and
-    replace the tables "predictions" and "checkpoints".
+    ``predict`` adds prediction and route to a batch.  Rows up to a user's checkpoint, or up to
+    ``floor`` (one row, floor_month) for a user without one, were served before and are left out.
     """
 
-    def step(batch: DataFrame, _id: int) -> None:
-        served = predict(batch)
-        new = served.filter("route <> 'skip'").select(ID, TIME, "prediction", "route", F.lit(version).alias("model_version"))
-        write("predictions", serving.insert_new(read("predictions"), new))
-        write("checkpoints", serving.advance_checkpoints(read("checkpoints"), served))
+    def step(batch: DataFrame, number: int) -> None:
+        known = tables.checkpoints(before=number)
+        served = predict(serving.pending_rows(batch, known, floor)).persist()
+        new = served.filter("route <> 'skip'").select(ID, "prediction", "route", F.lit(version).alias("model_version"), TIME).dropDuplicates([ID, TIME])
+        months = [r[0] for r in new.select(TIME).distinct().collect()]
+        there = tables.predictions().filter(F.col(TIME).isin(months)).select(ID, TIME)
+        tables.append(new.join(there, [ID, TIME], "left_anti"))
+        tables.move(serving.advance_checkpoints(known, served), number)
+        served.unpersist()
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

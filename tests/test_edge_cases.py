@@ -1,15 +1,17 @@
 """Hand-written frames: short histories, gaps, nulls, ties, small denominators, broken panels."""
 
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from monthmill.functions import exprs
-from monthmill.operators import features, models, paired, quality, scoring, segments, serving, splits, validation
+from monthmill.operators import features, models, ordered, paired, quality, scoring, segments, serving, splits, validation
 from monthmill.sources import panel as P
 from monthmill.sources import tables
-from monthmill.streaming.serve import serve_stream
+from monthmill.streaming.serve import ServingTables, serve_stream
 
 
 def month(k):
@@ -52,17 +54,17 @@ def test_drawdown_is_capped(spark):
     assert rows[month(5)].drawdown_6m == 2.0 and rows[month(5)].months_since_sign_flip == 1.0
 
 
-def test_safe_divide(spark):
+def test_guarded_ratio(spark):
     df = spark.createDataFrame([(1.0, 100.0), (1.0, 99.99), (1e6, -100.0), (None, 500.0), (float("nan"), 500.0), (1.0, None)], "a double, b double")
-    got = [r[0] for r in df.select(exprs.safe_divide(F.col("a"), F.col("b"))).collect()]
+    got = [r[0] for r in df.select(exprs.guarded_ratio(F.col("a"), F.col("b"))).collect()]
     assert got == [0.01, None, -25.0, None, None, None]
 
 
 def test_bands():
     with pytest.raises(ValueError):
-        segments.threshold_bands("x", [2.0, 1.0], [("a", ""), ("b", ""), ("c", "")])
+        segments.by_cuts("s", "x", [2.0, 1.0], [("a", ""), ("b", ""), ("c", "")])
     with pytest.raises(ValueError):
-        segments.threshold_bands("x", [1.0], [("a", "")])
+        segments.by_cuts("s", "x", [1.0], [("a", "")])
 
 
 def test_validation(spark):
@@ -132,6 +134,30 @@ def test_wilcoxon_ties_and_zeros(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 2.0), ("d", 0.0), ("e", 2.0)], "user_id string, diff_mean double")
     r = paired.wilcoxon(df).first()
     assert (r.w_plus, r.w_minus, r.n) == (8.5, 1.5, 4)
+    assert r.p_value == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), abs=1e-6)
+
+
+def test_ranks_and_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(0)
+    values = np.concatenate([rng.normal(size=3000).round(2), [5.0] * 400])
+    df = spark.createDataFrame([("a", float(x)) for x in values] + [("b", 1.0), ("b", None), ("b", 3.0)], "g string, x double").repartition(5)
+    got = {(r.g, r.point): (r.n, r.q) for r in ordered.exact_quantiles(df, "x", (0.0, 0.025, 0.5, 0.9, 1.0), ("g",)).collect()}
+    for p in (0.0, 0.025, 0.5, 0.9, 1.0):
+        assert got["a", p] == (3400, pytest.approx(np.quantile(values, p), abs=1e-12))
+        assert got["b", p] == (2, pytest.approx(1 + 2 * p))
+    assert ordered.median_row(df.limit(0), F.col("x"), "m").first().m is None
+    ranks = {(r.g, r.x): (r.t, r.rank) for r in ordered.average_ranks(df.filter("x IS NOT NULL"), ("g",), "x").collect()}
+    order = np.sort(values)
+    for x in set(values.tolist()):
+        lo, hi = np.searchsorted(order, x, "left"), np.searchsorted(order, x, "right")
+        assert ranks["a", x] == (hi - lo, (lo + 1 + hi) / 2)
+
+
+def test_users_are_numbered_once(spark):
+    users = spark.createDataFrame([(g, f"u{i}") for g, n in (("a", 300), ("b", 7)) for i in range(n)], "g string, user_id string")
+    got = paired.numbered(users, ("g",)).collect()
+    for g, n in (("a", 300), ("b", 7)):
+        assert sorted(r.no for r in got if r.g == g) == list(range(n))
 
 
 def test_suggested_drops():
@@ -151,24 +177,115 @@ def test_jdbc_reader_is_lazy(spark):
 
 def test_stream_serves_each_row_once(spark, tmp_path):
     schema = f"user_id string, month date, {P.LAST} double, history_id int"
-    spark.createDataFrame([("a", month(1), 5.0, 2), ("b", month(1), None, 2)], schema).write.parquet(str(tmp_path / "in"))
-    kept = {
-        "predictions": spark.createDataFrame([], "user_id string, month date, prediction double, route string, model_version string"),
-        "checkpoints": spark.createDataFrame([], "user_id string, last_month date"),
-    }
-
-    def write(name, df):
-        kept[name] = spark.createDataFrame(df.collect(), df.schema)
+    source, store = str(tmp_path / "in"), ServingTables(spark, str(tmp_path / "tables"))
+    floor = spark.createDataFrame([(month(1),)], "floor_month date")
+    put = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+    served = []
 
     def predict(batch):
         routed = batch.withColumn("route", serving.route()).withColumn("p", F.col(P.LAST))
+        served.append(batch.count())
         return serving.routed_predictions(routed, "p", "p")
 
-    for _ in range(2):
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        serve_stream(stream, predict, kept.get, write, str(tmp_path / f"cp{_}")).awaitTermination()
-    assert [tuple(r) for r in kept["predictions"].collect()] == [("a", month(1), 5.0, "model", "v1")]
-    assert kept["checkpoints"].count() == 2
+    def run(checkpoint):
+        serve_stream(spark.readStream.schema(schema).parquet(source), predict, store, floor, str(tmp_path / checkpoint)).awaitTermination()
+        return sorted((r.user_id, r.month, r.prediction, r.route, r.model_version) for r in store.predictions().collect())
+
+    put([("a", month(2), 5.0, 2), ("b", month(2), None, 2), ("c", month(1), 7.0, 2)])
+    first = [("a", month(2), 5.0, "model", "v1")]
+    assert run("one") == first and served == [2]  # c is not after the floor
+    put([("a", month(2), 9.0, 2), ("a", month(3), 6.0, 0)])
+    both = [*first, ("a", month(3), 6.0, "persistence", "v1")]
+    assert run("one") == both and served == [2, 1]  # a was served up to its checkpoint
+    assert run("again") == both  # a lost checkpoint folder: batch 0 starts over and adds nothing
+    assert {r.user_id: r.last_month for r in store.checkpoints().collect()} == {"a": month(3), "b": month(2)}
+
+
+def test_ridge_and_elastic_net_solve_their_problems(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)) * [1, 10, 100] + [5, 0, -3]
+    change = 3 * x[:, 0] - 0.4 * x[:, 1] + rng.normal(size=400)
+    names = ["f0", "f1", "f2"]
+    rows = [(*map(float, r), 10.0, 10.0 + float(c)) for r, c in zip(x, change)]
+    df = spark.createDataFrame(rows, f"f0 double, f1 double, f2 double, {P.LAST} double, {P.TARGET} double")
+    z = (x - x.mean(0)) / x.std(0)
+    y = change - change.mean()
+    ridge = models.fit_linear(df, names, alpha=25.0).weights
+    assert [ridge[n] for n in names] == pytest.approx(np.linalg.solve(z.T @ z + 25 * np.eye(3), z.T @ y), rel=1e-6)
+    alpha, share = 1.0, 0.5
+    w = np.array([models.fit_linear(df, names, alpha, share).weights[n] for n in names])
+    # Mean squares / 2 with alpha * (share * |w| + (1 - share) / 2 * w^2).
+    slope = z.T @ (y - z @ w) / len(y) - alpha * (1 - share) * w
+    assert w[0] > 0 > w[1] and slope[:2] == pytest.approx(alpha * share * np.sign(w[:2]), abs=1e-3)
+    assert w[2] == 0 and abs(slope[2]) <= alpha * share
+    with pytest.raises(ValueError):
+        models.fit_linear(df, names, alpha=-1.0)
+
+
+def planted(spark, months=30, users=12):
+    """A panel whose change is 50 where ``good`` is positive and -50 elsewhere; ``noise`` says nothing."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for u in range(users):
+        for k in range(months):
+            good, noise = rng.normal(size=2)
+            rows.append((f"u{u}", month(k), float(good), float(noise), 100.0, None, None, 100.0 + (50.0 if good > 0 else -50.0), 2 if k > 3 else 0))
+    return spark.createDataFrame(rows, f"user_id string, month date, good double, noise double, {P.LAGS[0]} double, {P.LAGS[1]} double, {P.LAGS[2]} double, {P.TARGET} double, history_id int")
+
+
+def test_trees_find_a_planted_split_and_elimination_keeps_it(spark):
+    df = planted(spark).persist()
+    tree = models.fit_trees(df, ["noise", "good"], trees=3, depth=2)
+    assert tree.weights["good"] > 0.9 and tree.weakest(1) == ["noise"]
+    missed = tree.predict(df, "p").agg(F.avg(F.abs(F.col("p") - F.col(P.TARGET)))).first()[0]
+    assert missed < 15
+    got = {r.feature: r for r in models.eliminate(splits.expanding_folds(df, folds=2), df, ["noise", "good"], fit=lambda d, f, known: models.fit_trees(d, f, trees=2, depth=2, known=known)).collect()}
+    assert got["good"].selected and got["good"].rank == 1 and got["good"].n_features == 1
+    assert got["noise"].n_features == 2 and got["noise"].rank == (1 if got["noise"].selected else 2)
+
+
+def test_search_prunes_and_rechecks(spark):
+    df = planted(spark, months=14, users=6).persist()
+    prepare = lambda rows: models.prepared(rows, ["good", "noise"])
+    fit = lambda rows, known, seed, alpha: models.fit_linear(rows, ["good", "noise"], alpha, known=known)
+    got = models.search(splits.expanding_folds(df, folds=2), {"weak": {"alpha": 1.0}, "strong": {"alpha": 1e6}, "bad": {"alpha": -1.0}}, prepare, fit, seeds=(1, 2)).collect()
+    by = {(r.setting, r.seed): r for r in got}
+    assert by["bad", None].state == "pruned" and by["bad", None].objective is None and not by["bad", None].best
+    assert by["weak", None].best and by["weak", None].objective < by["strong", None].objective and by["weak", None].folds == 2
+    assert by["weak", 1].objective == pytest.approx(by["weak", None].objective) and len(got) == 5
+    flat = df.withColumn(P.TARGET, F.col(P.LAST))
+    with pytest.raises(RuntimeError):
+        models.search(splits.expanding_folds(flat, folds=1), {"weak": {"alpha": 1.0}}, prepare, fit)
+
+
+def test_a_reference_without_error_is_an_error(spark):
+    pred = spark.createDataFrame([(1, "persistence", 1.0, 1.0, 0.0), (1, "m", 1.0, 2.0, 0.0)], "fold int, model string, truth double, prediction double, anchor double")
+    with pytest.raises(Exception, match="no error on a fold"):
+        models.fold_objective(models.fold_ratios(pred)).collect()
+
+
+def test_each_route_gets_its_model(spark):
+    df = planted(spark, months=8, users=3).withColumn(P.LAST, F.when(F.col("user_id") == "u2", None).otherwise(F.col(P.LAST)))
+    model = models.fit_linear(df, ["good"], alpha=1.0)
+    rows = model.predict(models.with_baselines(df, df), "ridge").withColumn("route", serving.route())
+    for r in serving.routed_predictions(rows, "ridge", "persistence").collect():
+        want = {"skip": None, "persistence": r.persistence, "model": r.ridge}[r.route]
+        assert r.prediction == want and (r.route == "skip") == (r.user_id == "u2") and (r.route == "persistence") == (r.user_id != "u2" and r.history_id == 0)
+
+
+def test_cooldown_is_a_span_between_instants(spark):
+    errors = spark.createDataFrame([(month(0), 10.0, 100.0)] * 40, "month date, error double, actual double")
+    base = spark.createDataFrame([(5.0, "2021-01-07 12:00:00")], "baseline_mae double, last_trained string").withColumn("last_trained", F.col("last_trained").cast("timestamp"))
+    for now, reason in (("2021-01-10 11:59:59", "cooldown"), ("2021-01-10 12:00:00", "decayed")):
+        assert serving.health_check(errors, base, F.lit(now).cast("timestamp")).first().reason == reason
+
+
+def test_whales(spark):
+    rows = [(f"u{i:03}", month(k), float(min(i, 90))) for i in range(100) for k in range(10)]
+    df = spark.createDataFrame(rows, f"user_id string, month date, {P.TARGET} double")
+    left = {r.user_id for r in validation.trim_whales(df, P.TARGET, 0.05).select("user_id").distinct().collect()}
+    assert left == {f"u{i:03}" for i in range(100)} - {f"u{i:03}" for i in range(90, 95)}  # ten share the largest size
+    assert validation.trim_whales(df, P.TARGET, 0.0).count() == len(rows)
 
 
 def test_restore_level_and_route(spark):
