@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker remembers: two generations of so many.  Longer ones are never kept, so the memory is bounded.
-MAX_CACHED, MAX_LENGTH = 350_000, 64
+MAX_CACHED, MAX_LENGTH = 150_000, 64
 _DOUBLE = re.compile(r"\s | \s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 

@@ -39,9 +39,9 @@ BINS = BANDS * ROWS
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(2 * BINS)], np.uint64)
 #: Texts that are hashed together: at most so many, and up to so many bytes (a longer text is alone).
-BATCH, BATCH_BYTES = 512, 1 << 22
+BATCH, BATCH_BYTES = 512, 1 << 20
 #: Bytes whose words are hashed in one step.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 _SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint64)
 EMPTY = np.iinfo(np.uint64).max
@@ -107,6 +107,14 @@ def batches_of(texts: list[str | None]):
         yield slice(at, len(texts))
 
 
+def sliced(batches):
+    """(BATCH rows, the texts in their second column): a batch's texts aren't all held as Python strings at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH):
+            part = b.slice(at, BATCH)
+            yield part, part.column(1).to_pylist()
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """A row of BINS values per set: the round above 32 bits of hash; EMPTY for an empty set."""
     out = np.full((len(sets), BINS), EMPTY, np.uint64)
@@ -135,8 +143,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str, width: int) -> Dat
 
     def run(batches):
         numbers = np.arange(BANDS, dtype=np.uint64) * _MIX2
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b, texts in sliced(batches):
             for part in batches_of(texts):
                 sets = shingle_sets(texts[part], width)
                 c = sketches(sets)
@@ -266,8 +273,7 @@ def _hashed(texts: DataFrame, width: int) -> DataFrame:
     """(node, row, n, shingles) of texts; row tells apart texts that share a node."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b, texts in sliced(batches):
             for part in batches_of(texts):
                 sets = shingle_sets(texts[part], width)
                 row = [xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63) for s in sets]
