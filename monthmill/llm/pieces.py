@@ -6,8 +6,9 @@ the normaliser (character map, extra spaces, metaspace marker, dummy prefix), a
 unigram model from the scores or a BPE model whose merges are ordered by the
 scores, with byte fallback, and the decoder.  Texts are encoded in batches by the
 library's threads, each distinct chunk once.  Parity with the SentencePiece
-library is verified for every whole text; where they differ, the SentencePiece
-ids count.
+library is verified for every text: where no piece has a marker inside, no merge crosses
+a chunk's begin, so a whole text's ids are its chunks' ids, and each distinct chunk is compared;
+else whole texts are.  Where they differ, the SentencePiece ids count.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BATCH = 256
 THREADS = 2
+MAX_DIFFER = 100_000
 
 
 def fields(buffer: bytes):
@@ -130,6 +132,8 @@ class PieceCodec:
         self.whole, self.chunk = backend(self.model)
         self.cuts = self.model.splits_at_marks() and self.model.add_dummy_prefix
         self.cache = ChunkCache(self._encode_chunks, "<i4")
+        #: Chunks in the cache to which the two libraries give different ids.
+        self.differ: set[str] = set()
         self.bytes_of = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
             for p, _, k in self.model.pieces
@@ -141,12 +145,20 @@ class PieceCodec:
 
     def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """Chunks without their first marker."""
-        return [e.ids for e in self.chunk.encode_batch([MARK + c for c in chunks], add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """ids of each text as little-endian 32-bit integers."""
+        ours = self.chunk.encode_batch([MARK + c for c in chunks], add_special_tokens=False)
+        theirs = self.reference.encode([c.replace(MARK, " ") for c in chunks], num_threads=THREADS)
+        if "" in chunks:  # a marker alone; as a text of its own it would have none
+            theirs[chunks.index("")] = self.reference.encode("x ")[len(self.reference.encode("x")) :]
+        self.differ.update(c for c, a, b in zip(chunks, ours, theirs) if a.ids != b)
+        return theirs
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """ids of each text as little-endian 32-bit integers, and whether both libraries give them."""
         if not self.cuts:
-            return [np.asarray(e.ids, "<i4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            ours = [e.ids for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            return [(np.asarray(b, "<i4").tobytes(), a == b) for a, b in zip(ours, self.reference.encode(texts, num_threads=THREADS))]
+        if len(self.differ) >= MAX_DIFFER:  # the cache must not outlive what is known of its chunks
+            self.cache, self.differ = ChunkCache(self._encode_chunks, "<i4"), set()
         plain = not (self.model.charsmap or self.model.remove_extra_spaces)
         chunked = []
         for t in texts:
@@ -156,16 +168,13 @@ class PieceCodec:
                 chunked.append(t.split(" "))
             else:
                 chunked.append([c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", self.normalise(t))])
-        return self.cache.join(chunked)
+        ids = self.cache.join(chunked)
+        return [(x, not self.differ or self.differ.isdisjoint(c)) for x, c in zip(ids, chunked)]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
         return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
 
-    def reference_ids(self, texts: list[str]) -> list[bytes]:
-        """As ``encode``, by the SentencePiece library."""
-        return [np.asarray(x, "<i4").tobytes() for x in self.reference.encode(texts, num_threads=THREADS)]
-
 
 _codecs: dict[str, PieceCodec] = {}
 
@@ -180,7 +189,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with ids, n_tokens, ids_crc32, round_trip and parity.
 
     round_trip: decoding the ids gives the normalised text.  parity: whether the
-    rebuilt tokenizer and SentencePiece give the whole text the same ids; where
+    rebuilt tokenizer and SentencePiece give the text the same ids; where
     not, the ids are SentencePiece's.
     Null text: as an empty one, no ids.  Very long texts are encoded whole; repeated rows get equal ids, an
     empty table gives an empty result.  Other columns are kept, and those named like
@@ -196,11 +205,11 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 part = b.slice(i, BATCH)
                 texts = [t or "" for t in part.column(len(kept)).to_pylist()]
                 ids, crc, round_trip, parity = [], [], [], []
-                for t, ours, raw in zip(texts, c.encode(texts), c.reference_ids(texts)):
+                for t, (raw, same) in zip(texts, c.encode(texts)):
                     own = np.frombuffer(raw, "<i4")
                     normal = c.normalise(t).replace(MARK, " ")
                     round_trip.append(c.decode(own) == (normal[1:] if c.model.add_dummy_prefix else normal))
-                    parity.append(ours == raw)
+                    parity.append(same)
                     crc.append(zlib.crc32(raw))
                     ids.append(own)
                 yield pa.RecordBatch.from_arrays(

@@ -116,7 +116,7 @@ def test_pieces_equal_sentencepiece(spark, sf_dir):
 def test_backend_equals_sentencepiece(some):
     c = pieces.codec(pieces.model_path())
     want = c.reference.encode(some + ODD)
-    assert [np.frombuffer(x, "<i4").tolist() for x in c.encode(some + ODD)] == want
+    assert [(np.frombuffer(x, "<i4").tolist(), same) for x, same in c.encode(some + ODD)] == [(w, True) for w in want]
     assert [e.ids for e in c.whole.encode_batch(some + ODD)] == want
 
 
@@ -137,9 +137,18 @@ def test_parity_shows_faults_of_the_backend(monkeypatch):
 
     path = pieces.model_path()
     c = pieces.PieceCodec(path)
-    right = c._encode_chunks
     monkeypatch.setitem(pieces._codecs, path, c)
-    c.cache.encode_many = lambda chunks: [[5] if x == "wrong" else y for x, y in zip(chunks, right(chunks))]
+    right = c.chunk
+
+    class Wrong:
+        ids = [5]
+
+    class Faulty:
+        def encode_batch(self, chunks, **options):
+            return [Wrong if x == "▁wrong" else y for x, y in zip(chunks, right.encode_batch(chunks, **options))]
+
+    c.chunk = Faulty()
+    monkeypatch.setattr(pieces, "MAX_DIFFER", 1)
     texts = [f"{w} text {i}" for i in range(70) for w in ("some", "wrong")]
 
     class Docs:
