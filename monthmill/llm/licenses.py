@@ -119,9 +119,10 @@ def template_weights(templates=TEMPLATES, idf=IDF) -> list[tuple[int, str, str,
 
 
 def score_segments(segments: DataFrame, whole: bool = False) -> DataFrame:
-    """(seg) distinct texts -> (seg, license, cosine) of the best template at its threshold or more.
+    """(sid, seg) distinct texts -> (sid, license, cosine) of the best template at its threshold or more.
 
     whole: the templates are whole licences, and lines that name a copyright holder are left out.
+    Terms carry the segment's number, not its text.
     """
     spark = segments.sparkSession
     templates, idf_of, unseen, threshold = (WHOLE_TEMPLATES, WHOLE_IDF, WHOLE_UNSEEN_IDF, WHOLE_THRESHOLD) if whole else (TEMPLATES, IDF, UNSEEN_IDF, THRESHOLD)
@@ -130,24 +131,24 @@ def score_segments(segments: DataFrame, whole: bool = False) -> DataFrame:
     compared = F.regexp_replace("seg", COPYRIGHT_LINE, "") if whole else F.col("seg")
     # Very long segments explode into their terms, so counts are combined before the exchange.
     terms = (
-        segments.select("seg", F.explode(F.regexp_extract_all(F.lower(compared), F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("seg", "term").agg(F.count(F.lit(1)).alias("tf"))
+        segments.select("sid", F.explode(F.regexp_extract_all(F.lower(compared), F.lit(TERM), F.lit(0))).alias("term"))
+        .groupBy("sid", "term").agg(F.count(F.lit(1)).alias("tf"))
         .join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     )
-    norms = terms.groupBy("seg").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(weights, "term").groupBy("seg", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "seg").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)
+    norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = terms.join(weights, "term").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "sid").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)
     best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", -F.col("template")))
-    return scored.groupBy("seg").agg(best.alias("b")).select("seg", "b.license", "b.cosine")
+    return scored.groupBy("sid").agg(best.alias("b")).select("sid", "b.license", "b.cosine")
 
 
 def declared(segments: DataFrame) -> DataFrame:
-    """(seg) lines with an SPDX tag -> (seg, license, cosine 1): the known name, whatever its -only, -or-later or case, else as it stands."""
+    """(sid, seg) lines with an SPDX tag -> (sid, license, cosine 1): the known name, whatever its -only, -or-later or case, else as it stands."""
     names = {name.lower(): name for name, _ in TEMPLATES + WHOLE_TEMPLATES}
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     tag = F.regexp_extract("seg", SPDX, 1)
     plain = F.regexp_replace(F.lower(tag), r"(?:-only|-or-later|\+)$", "")
-    return segments.filter(F.col("seg").rlike(SPDX)).select("seg", F.coalesce(known[plain], tag).alias("license"), F.lit(1.0).alias("cosine"))
+    return segments.filter(F.col("seg").rlike(SPDX)).select("sid", F.coalesce(known[plain], tag).alias("license"), F.lit(1.0).alias("cosine"))
 
 
 def header_blocks(text: Column) -> Column:
@@ -201,16 +202,17 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     key = F.sha2(F.concat_ws("\0", F.coalesce(p, F.lit("\1")), F.array_join("_segs", "\0")), 256)
     keyed = keyed.withColumn("_key", F.when(F.size("_segs") > 0, key)).withColumn("_text", F.when(F.col("_whole"), t))
     some = keyed.filter("_key IS NOT NULL").select("_key", "_dir", "_has_path", "_named", "_segs", "_text").dropDuplicates(["_key"])
-    segs = stage(some.select("_key", "_dir", "_has_path", "_named", "_text", F.explode("_segs").alias("seg")), "segments")
-    distinct = segs.select("seg").distinct()
-    parts = score_segments(distinct).unionByName(declared(distinct)).groupBy("seg").agg(F.max(F.struct("cosine", "license")).alias("b"))
-    texts = score_segments(segs.filter("seg = _text").select("seg").distinct(), whole=True).withColumn("full", F.lit(True))
-    scored = stage(texts.unionByName(parts.select("seg", "b.license", "b.cosine", F.lit(False).alias("full"))), "scored")
-    found = segs.join(scored, "seg").filter("NOT full OR seg = _text")
+    each = F.explode(F.transform("_segs", lambda x: F.struct(F.md5(x.cast("binary")).alias("sid"), x.alias("seg"), F.coalesce(x == F.col("_text"), F.lit(False)).alias("entire"))))
+    segs = stage(some.select("_key", "_dir", "_has_path", "_named", each.alias("s")).select("_key", "_dir", "_has_path", "_named", "s.*"), "segments")
+    distinct = segs.select("sid", "seg").dropDuplicates(["sid"])
+    parts = score_segments(distinct).unionByName(declared(distinct)).groupBy("sid").agg(F.max(F.struct("cosine", "license")).alias("b"))
+    texts = score_segments(segs.filter("entire").select("sid", "seg").dropDuplicates(["sid"]), whole=True).withColumn("full", F.lit(True))
+    scored = stage(texts.unionByName(parts.select("sid", "b.license", "b.cosine", F.lit(False).alias("full"))), "scored")
+    found = segs.drop("seg").join(scored, "sid").filter("NOT full OR entire")
     # A whole licence says more than the headers in it.
     best = F.max_by(F.struct("license", "cosine"), F.struct(F.col("full"), F.col("cosine"), F.col("license")))
     own = found.groupBy("_key").agg(best.alias("b")).select("_key", F.col("b.license").alias("own_license"), "b.cosine")
-    holders = found.filter("_has_path AND (_named OR seg = _text)").groupBy("_key", "_dir").agg(best.alias("b")).groupBy("_dir", F.col("b.license").alias("license")).agg(F.count(F.lit(1)).alias("n"))
+    holders = found.filter("_has_path AND (_named OR entire)").groupBy("_key", "_dir").agg(best.alias("b")).groupBy("_dir", F.col("b.license").alias("license")).agg(F.count(F.lit(1)).alias("n"))
     holders = holders.groupBy("_dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "license")).alias("b")).select(F.col("_dir").alias("above"), F.col("b.license").alias("dir_license"))
     # Directories, not files, look for the nearest one above.
     above = (
