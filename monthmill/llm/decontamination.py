@@ -166,6 +166,8 @@ def _stretches(items: DataFrame, held: DataFrame, width: int) -> DataFrame:
 
 
 def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
     at = np.searchsorted(ordered, values)
     return (at < len(ordered)) & (ordered[np.minimum(at, len(ordered) - 1)] == values)
 
