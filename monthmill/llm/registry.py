@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "near_dedup", "line_frequency", "embedding_dedup", "mixing", "toxicity", "token_files", "pieces", "licenses", "pii", "merkle", "decontamination")
+MODULES = ("url_filter", "near_dedup", "line_frequency", "embedding_dedup", "mixing", "toxicity", "token_files", "pieces", "licenses", "pii", "merkle", "decontamination", "whitening")
 
 
 def collect() -> tuple[dict, dict]:
