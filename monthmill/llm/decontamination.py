@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import discard, fresh, stage, table
 
 WIDTH = 10
-#: Words of a shard, if not one document has more.
-SHARD_WORDS = 4_000_000
+#: Bytes of a shard's texts, if not one document has more.
+SHARD_BYTES = 12 << 20
 #: Windows of a stretch: long items are asked for in pieces that overlap by a window less one word.
 STRETCH = 1000
 #: Parts that a word's shards are dealt to when they meet the windows that start from it.
@@ -46,14 +46,17 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     raw = np.frombuffer((raw.to_pybytes() if raw else b"")[at[0] : at[-1]].translate(_LETTERS), np.uint8)
     at = at - at[0]
     word = raw != 32
-    # A word begins behind a blank or where its text begins.
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    firsts = at[:-1][at[:-1] < at[1:]]
-    begins[firsts] = word[firsts]
-    begins = np.flatnonzero(begins)
-    letters = np.concatenate([[0], np.cumsum(word)])
-    offsets = np.append(letters[begins], letters[-1]).astype(np.int64)
+    # A word begins behind a blank or where its text begins, and ends before a blank or where its text ends.
+    texts_held = at[:-1] < at[1:]
+    firsts, lasts = at[:-1][texts_held], at[1:][texts_held] - 1
+    edge = word.copy()
+    edge[1:] &= ~word[:-1]
+    edge[firsts] = word[firsts]
+    begins = np.flatnonzero(edge)
+    edge = word.copy()
+    edge[:-1] &= ~word[1:]
+    edge[lasts] = word[lasts]
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(edge) + 1 - begins)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(raw[word]))
     return np.diff(np.searchsorted(begins, at)), words
 
@@ -107,16 +110,16 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def index(batches):
         shard = TaskContext.get().partitionId() << 32
         for b in batches:
-            counts, words = split_words(b.column(1))
-            before = np.concatenate([[0], np.cumsum(counts)])
+            before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
             start = 0
-            while start < len(counts):
-                end = max(start + 1, int(np.searchsorted(before, before[start] + SHARD_WORDS, "right")) - 1)
-                terms, n, lists = postings(words[before[start] : before[end]])
+            while start < b.num_rows:
+                end = max(start + 1, int(np.searchsorted(before, before[start] + SHARD_BYTES, "right")) - 1)
+                counts, words = split_words(b.column(1)[start:end])
+                terms, n, lists = postings(words)
                 part, size = b.column(0)[start:end], end - start
                 none = lambda k, t: pa.nulls(k, t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, shard)), pa.array(np.arange(size, dtype=np.int32)), part, none(size, pa.string()), pa.array(counts[start:end]), none(size, pa.binary())], names
+                    [pa.array(np.full(size, shard)), pa.array(np.arange(size, dtype=np.int32)), part, none(size, pa.string()), pa.array(counts), none(size, pa.binary())], names
                 )
                 for k in range(0, len(terms), 1 << 17):
                     cut = slice(k, k + (1 << 17))

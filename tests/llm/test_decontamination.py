@@ -67,8 +67,8 @@ def planted():
 def test_equals_brute_force(spark, monkeypatch):
     docs, items = planted()
     assert any(r[2] for r in brute(docs, items))
-    for limit in (dec.SHARD_WORDS, 100):  # shards of one or a few documents too
-        monkeypatch.setattr(dec, "SHARD_WORDS", limit)
+    for limit in (dec.SHARD_BYTES, 500):  # shards of one or a few documents too
+        monkeypatch.setattr(dec, "SHARD_BYTES", limit)
         assert rows(dec.contamination(*frames(spark, docs, items))) == brute(docs, items)
 
 
