@@ -108,8 +108,8 @@ def _sides(nodes: Column, at: Column) -> Column:
     return F.struct(F.array_join(F.slice(nodes, start + 1, at - start), "").alias("left"), F.array_join(F.slice(nodes, at + 2, start + FAN - 1 - at), "").alias("right"))
 
 
-def _paths(levels: list[DataFrame], above: DataFrame, more: Sequence[str]) -> DataFrame:
-    """(g, pos, digest, more..., path) of the lowest level; ``above``: (g, path) of the roots.
+def _paths(levels: list[DataFrame], above: DataFrame, more: Sequence[str], tags: Sequence[str] = ()) -> DataFrame:
+    """(g, pos, digest, more..., tags..., path) of the lowest level; ``above``: (g, path, tags...) of the roots.
 
     A path has the siblings of each level from the node's own up to the root, as two strings.
     """
@@ -126,12 +126,13 @@ def _paths(levels: list[DataFrame], above: DataFrame, more: Sequence[str]) -> Da
         runs = F.sequence(F.lit(0), F.floor((F.size("nodes") - 1) / FAN).cast("int"))
         run = own.withColumn("run", F.explode(runs))
         higher = [F.when(_level(n, up) > 1, F.array(_sides(F.col(f"d{up}"), F.floor(F.col("run") / FAN ** (up - 1)).cast("int")))).otherwise(F.array().cast(_SIDES)) for up in range(1, STEP)]
-        run = run.select("g", "n", F.slice("nodes", F.col("run") * FAN + 1, F.lit(FAN)).alias("nodes"), F.concat(*higher, "path").alias("path"))
-        node = run.select("g", "n", "path", F.transform("nodes", lambda x: x.digest).alias("d"), F.posexplode("nodes").alias("i", "x"))
+        run = run.select("g", "n", F.slice("nodes", F.col("run") * FAN + 1, F.lit(FAN)).alias("nodes"), F.concat(*higher, "path").alias("path"), *tags)
+        node = run.select("g", "n", "path", *tags, F.transform("nodes", lambda x: x.digest).alias("d"), F.posexplode("nodes").alias("i", "x"))
         lowest = F.when(F.col("n") > 1, F.array(_sides(F.col("d"), F.col("i")))).otherwise(F.array().cast(_SIDES))
-        tops = node.select("g", "x.pos", "x.digest", *[f"x.{c}" for c in held], F.concat(lowest, "path").alias("path"))
+        tops = node.select("g", "x.pos", "x.digest", *[f"x.{c}" for c in held], *tags, F.concat(lowest, "path").alias("path"))
         if k:
-            tops = stage(tops.select("g", "pos", "path").union(above.join(_done_at(levels, k), "g").select("g", F.lit(0).cast("long"), "path")), "merkle-paths")
+            done = above.join(_done_at(levels, k), "g").select("g", F.lit(0).cast("long"), "path", *tags)
+            tops = stage(tops.select("g", "pos", "path", *tags).union(done), "merkle-paths")
     return tops
 
 
@@ -184,9 +185,10 @@ def proofs(manifest: Manifest) -> DataFrame:
     """(group, key, leaf, further columns, subroot, path) of every leaf; path: siblings left and right per level, from the leaf's up to the root's."""
     empty = manifest.root.select(F.lit(0).cast("long").alias("g"), F.array().cast(_SIDES).alias("path"))
     above = _paths(manifest.top_levels, empty, ())
-    found = _paths(manifest.levels, above.select(F.col("pos").alias("g"), "path"), manifest.more)
-    found = found.join(manifest.groups, "g")
-    return found.select(manifest.group, F.col("key").alias(manifest.key), F.col("digest").alias("leaf"), *manifest.more[1:], "subroot", "path")
+    # The group and its root come down with the paths of subtrees, so no leaf is joined to its group.
+    roots = above.select(F.col("pos").alias("g"), "path").join(manifest.groups.withColumnRenamed(manifest.group, "_group"), "g")
+    found = _paths(manifest.levels, roots, manifest.more, ("_group", "subroot"))
+    return found.select(F.col("_group").alias(manifest.group), F.col("key").alias(manifest.key), F.col("digest").alias("leaf"), *manifest.more[1:], "subroot", "path")
 
 
 def fold(leaf: Column, path: Column) -> Column:
