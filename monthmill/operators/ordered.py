@@ -1,9 +1,9 @@
 """Ranks, running sums and exact quantiles of values that no single task could sort.
 
-A group's values are cut into parts at approximate quantiles.  A part is a window of its
-own, and what lies before it is the sum of the parts before, a few hundred numbers a
-group.  The cuts are fetched once per group (PARTS numbers), so that every use
-sees the same; results don't depend on them.
+Quantiles: approximate ones bracket the rows in question; a second pass counts what lies below
+a bracket and, by value, what lies inside.  Running sums: a value's octave and the 4,096th of it
+grow with the value, so a group is summed by octaves, buckets and values.  Nothing is collected: a query
+that is built runs no job, and results don't depend on the approximation.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 200
 #: approx_percentile's ranks are off by at most 1 / ACCURACY of the rows.
 ACCURACY = 10_000
+#: Buckets of an octave.
+FINE = 4096
+#: Above the logarithm of any double's inverse, so that buckets of positive values are positive.
+_LIFT = 1076
 
 
 def with_group(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -24,24 +27,34 @@ def with_group(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame
     return df.withColumn("_g", key).join(F.broadcast(groups.select(key.alias("_g"), *[c for c in groups.columns if c not in by])), "_g").drop("_g")
 
 
-def _parts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """``df`` with ``_part``, a number that grows with ``value``; null stays apart."""
-    points = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
-    cuts = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, points, ACCURACY)).alias("_cuts"))
-    cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # groups are few: columns, scenarios
-    part = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return with_group(df, cuts, by).withColumn("_part", part).drop("_cuts")
+#: A long that never falls as the double grows: 0 for 0 and -0, NaN above everything, null for null.
+_BUCKET = f"CASE WHEN isnan({{v}}) THEN {(1 << 63) - 1} WHEN {{v}} = 0 THEN 0 ELSE CAST(signum({{v}}) AS BIGINT) * floor((log2(abs({{v}})) + {_LIFT}) * {FINE}) END"
+
+
+def bucket_of(column: str) -> Column:
+    return F.expr(_BUCKET.format(v=f"CAST(`{column}` AS DOUBLE)"))
+
+
+def _window(by: Sequence[str], *order: str) -> Window:
+    return Window.partitionBy(*by or [F.lit(0)]).orderBy(*[F.col(c).asc_nulls_last() for c in order])
 
 
 def sum_before(df: DataFrame, by: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
-    """``df`` (one row per group and value) with the sum of ``weight`` over the group's smaller values."""
-    placed = _parts(df, by, value)
-    totals = placed.groupBy(*by, "_part").agg(F.sum(weight).alias("_w"))
-    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows a group
-    totals = totals.select(*by, "_part", F.coalesce(F.sum("_w").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = with_group(placed, totals, [*by, "_part"]).withColumn(name, F.coalesce(F.sum(weight).over(inside), F.lit(0)) + F.col("_ahead"))
-    return out.drop("_part", "_ahead")
+    """``df`` (one row per group and value) with the sum of ``weight`` over the group's smaller values; nulls come last.
+
+    Three windows: over a group's octaves, over an octave's buckets, and over a bucket's values.
+    """
+    before = lambda w, of: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keyed = df.withColumn("_d2", bucket_of(value)).withColumn("_d1", F.floor(F.col("_d2") / FINE))
+    second = keyed.groupBy(*by, "_d1", "_d2").agg(F.sum(weight).alias("_w"))
+    first = second.groupBy(*by, "_d1").agg(F.sum("_w").alias("_w"))
+    first = first.select(*by, "_d1", before(_window(by, "_d1"), "_w").alias("_ahead1"))
+    second = second.withColumn("_ahead2", before(_window([*by, "_d1"], "_d2"), "_w")).drop("_w")
+    same = lambda a, b, keys: a.withColumn("_k", F.struct(F.lit(0), *keys)).join(b.withColumn("_k", F.struct(F.lit(0), *keys)).drop(*keys), "_k").drop("_k")
+    ahead = same(second, first, [*by, "_d1"]).drop("_d1")
+    inside = before(_window([*by, "_d2"], value), weight)
+    placed = same(keyed.withColumn("_inside", inside), ahead, [*by, "_d2"])
+    return placed.withColumn(name, F.col("_inside") + F.col("_ahead1") + F.col("_ahead2")).drop("_d1", "_d2", "_inside", "_ahead1", "_ahead2")
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -67,7 +80,6 @@ def exact_quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequ
     end = lambda k, other: F.when(F.col("n") <= ACCURACY, F.col(other)).otherwise(F.get("e", F.lit(k)))
     each = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("point"), end(2 * k, "least").alias("low"), end(2 * k + 1, "most").alias("high")) for k, x in enumerate(points)]))
     brackets = rough.select(*by, "n", each.alias("b")).select(*by, "n", "b.*")
-    brackets = df.sparkSession.createDataFrame(brackets.collect(), brackets.schema)  # groups times points
     held = with_group(known, brackets, by)
     # Everything below a bracket is one value to its counts.
     place = F.when(F.col("v") >= F.col("low"), F.col("v"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import median
 from ..sources.panel import ID, TARGET, TIME, Panel
-from .ordered import ACCURACY
+from ..sources.tables import kept
+from .ordered import sum_before
 from .splits import cut_positions, month_ranks
 
 
@@ -112,24 +113,21 @@ def null_shares(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
 def trim_whales(df: DataFrame, size: str, share: float, test_share: float = 0.2, gap: int = 0, id: str = ID, time: str = TIME) -> DataFrame:
     """Without the floor(n * share) entities of the largest median |size| over training months; of equal ones the smaller id goes first.
 
-    Entities without a size stay.  Approximate quantiles bracket the last size that goes;
-    those above the bracket go unsorted, and only those inside are ranked.
+    Entities without a size stay.  Equal sizes are counted first, and only the entities of the last size that goes are ranked.
     """
     if not 0 <= share < 1:
         raise PanelError(f"the share must be in [0, 1), not {share}")
     ranks = month_ranks(df, time)
     train_end, _ = cut_positions(ranks.count(), test_share, gap)
     seen = df.join(F.broadcast(ranks.filter(F.col("rank") <= train_end).select(time)), time, "left_semi")  # months are few
-    sizes = seen.groupBy(id).agg(median(F.abs(F.col(size))).alias("_size")).filter("_size IS NOT NULL")
-    reach = 2 / ACCURACY
-    ends = F.array(F.lit(max(0.0, 1 - share - reach)), F.lit(min(1.0, 1 - share + reach)))
-    entities, (low, high) = sizes.agg(F.count(F.lit(1)), F.percentile_approx("_size", ends, ACCURACY)).first() or (0, None)
-    n = int(entities * share + 1e-9)
-    if not n:
-        return df
-    above = sizes.filter(F.col("_size") > high)
-    near = sizes.filter(F.col("_size").between(low, high)).orderBy(F.desc("_size"), id).limit(n - above.count())
-    return df.join(above.select(id).union(near.select(id)), id, "left_anti")
+    sizes = kept(seen.groupBy(id).agg(median(F.abs(F.col(size))).alias("_size")).filter("_size IS NOT NULL"))
+    counts = sizes.groupBy((-F.col("_size")).alias("_down")).agg(F.count(F.lit(1)).alias("_equal"))
+    go = counts.agg(F.floor(F.sum("_equal") * share + 1e-9).alias("_go"))
+    cut = sum_before(counts, (), "_down", "_equal", "_larger").join(F.broadcast(go), F.col("_larger") < F.col("_go"))  # one row
+    gone = sizes.withColumn("_down", -F.col("_size")).join(cut, "_down")
+    whole = F.col("_larger") + F.col("_equal") <= F.col("_go")
+    last = gone.filter(~whole).withColumn("_n", F.row_number().over(Window.partitionBy("_down").orderBy(id))).filter(F.col("_larger") + F.col("_n") <= F.col("_go"))
+    return df.join(gone.filter(whole).select(id).union(last.select(id)), id, "left_anti")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

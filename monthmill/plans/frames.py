@@ -25,22 +25,15 @@ def sided(df: DataFrame, side: str) -> DataFrame:
     return df.filter(F.col("side") == side)
 
 
-def written(panel: DataFrame) -> DataFrame:
-    """The panel as a table, so that statistics, splits and scores each read it instead of building it again."""
-    path = tables.scratch_path(panel.sparkSession, "panel")
-    panel.write.parquet(path)
-    return panel.sparkSession.read.schema(panel.schema).parquet(path)
-
-
 def labelled(panel: DataFrame) -> DataFrame:
-    """Split rows of the written panel."""
-    return splits.holdout_labels(written(panel))
+    """Split rows of the panel, which statistics, splits and scores read from what is kept instead of building it again."""
+    return tables.kept(splits.holdout_labels(panel))
 
 
 def baselines(panel: DataFrame, more: dict[str, int] | None = None) -> DataFrame:
     """Split rows with both baselines, and further averages by name and months."""
     rows = labelled(panel)
-    return models.with_baselines(rows, sided(rows, "train"), more)
+    return tables.kept(models.with_baselines(rows, sided(rows, "train"), more))
 
 
 def predictions(panel: DataFrame, keep: tuple[str, ...] = (ID, TIME, "side")) -> DataFrame:

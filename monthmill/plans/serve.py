@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring, serving
 from ..sources.panel import ID, LAGS, TARGET, TIME, supplier_panel
-from ..sources.tables import overwrite, scratch_path
+from ..sources.tables import kept
 from .base import query
 from .frames import BASELINES, baselines, predictions, segmented, sided
 from .sql import L1, L2, L3, PRED, V1, V3, Y, scores, split
@@ -44,14 +44,14 @@ def _checkpoints(rows: DataFrame) -> DataFrame:
 
 
 class State:
-    """Rows with baselines and route, pending rows and the tables around them; a service keeps these as tables, and so does this."""
+    """Rows with baselines and route, pending rows and the tables around them."""
 
     def __init__(self, spark, d):
         rows = baselines(segmented(spark, d)).select(ID, TIME, TARGET, *LAGS, "history_id", "side", *BASELINES)
-        self.rows = overwrite(rows, scratch_path(spark, "rows"))
+        self.rows = kept(rows)
         self.checkpoints = _checkpoints(self.rows)
         pending = serving.pending_rows(self.rows, self.checkpoints, _floor(self.rows)).withColumn("route", serving.route())
-        self.pending = overwrite(serving.routed_predictions(pending, "three_month_average", "persistence"), scratch_path(spark, "pending"))
+        self.pending = kept(serving.routed_predictions(pending, "three_month_average", "persistence"))
         served = self.pending.filter("route <> 'skip'")
         version = F.when(F.col(ID).cast("long") % 5 == 1, "v1").otherwise("v2")
         self.new = served.select(ID, TIME, "prediction", "route", version.alias("model_version"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-tables-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, kept in the executors' memory and disks once something reads it; no job runs here.
+
+    Every query of the session with the same plan reads what is kept, parts that are lost with an executor are
+    made again from the sources, and ``df.unpersist()`` or ``spark.catalog.clearCache()`` frees it.
+    """
+    return df if df.storageLevel.useMemory or df.storageLevel.useDisk else df.persist(StorageLevel.MEMORY_AND_DISK)
