@@ -83,7 +83,8 @@ def base_measures(text: Column) -> dict[str, Column]:
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(line), r"[ \t-\r]+", " "), "[0-9]", "0"))
+    # White space is made one blank first, so that indents and carriage returns are trimmed too.
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(line, r"[ \t-\r]+", " ")), "[0-9]", "0"))
 
 
 def without_lines(lines: Column, gone: Column) -> Column:
@@ -171,7 +172,7 @@ rep AS (
   WHERE c >= 2 GROUP BY 1),
 line AS (
   SELECT doc_id, host, text, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n,
-         lower(regexp_replace(regexp_replace(trim(x, ' '), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS x
+         lower(regexp_replace(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), '[0-9]', '0', 'g')) AS x
   FROM (SELECT doc_id, host, text, unnest(l) AS x FROM d)),
 hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY 1),
 common AS (
