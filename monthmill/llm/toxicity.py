@@ -18,7 +18,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -108,7 +110,10 @@ def match(text: str, automaton) -> tuple[float, float]:
             spared.append((start, end))
         elif weight > at.get(start, 0.0):
             at[start] = weight
-    total = sum(w for s, w in at.items() if not any(a <= s < b for a, b in spared))
+    spared.sort()
+    begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+    # The phrases that begin up to a match cover it if the farthest of them reaches beyond its start.
+    total = sum(w for s, w in at.items() if not (k := bisect_right(begins, s)) or reach[k - 1] <= s)
     return total, 100.0 * total / max(1, folded.count(" ") - 1)
 
 
