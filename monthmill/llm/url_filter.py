@@ -153,14 +153,14 @@ def judge(pages: DataFrame, entries: DataFrame, url: str = "url", max_entries: i
     ``entries``: host, path, verdict (allow or block), is_rule.  A fitting rule wins
     over the method's own entries; without either the verdict is ``allow``.  Among
     fitting entries the longest wins, then the one with the longer host; of repeated ones block
-    wins.  An entry whose host, verdict or kind is null is none; a null path fits every path.  A url that
+    wins.  An entry whose host or kind is null, or whose verdict isn't allow or block, is none; a null path fits every path.  A url that
     is null or has no ``://`` has empty host and path and fits nothing.  Repeated pages get
     equal results, an empty table an empty one.  Columns
     of ``pages`` named like a result column are replaced.  No shuffle of ``pages`` unless the list is long.
     """
     spark = pages.sparkSession
     parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    entries = entries.select("host", "path", "verdict", "is_rule")
+    entries = entries.select("host", "path", "verdict", "is_rule").filter(F.col("verdict").isin("allow", "block"))
     rows = entries.limit(max_entries + 1).collect()
     if len(rows) > max_entries:
         return _judge_by_join(parsed, entries)
