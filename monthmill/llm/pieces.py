@@ -6,9 +6,10 @@ the normaliser (character map, extra spaces, metaspace marker, dummy prefix), a
 unigram model from the scores or a BPE model whose merges are ordered by the
 scores, with byte fallback, and the decoder.  Texts are encoded in batches by the
 library's threads, each distinct chunk once.  Parity with the SentencePiece
-library is verified for every text: where no piece has a marker inside, no merge crosses
-a chunk's begin, so a whole text's ids are its chunks' ids, and each distinct chunk is compared;
-else whole texts are.  Where they differ, the SentencePiece ids count.
+library is verified for every text: where no piece has a marker inside and the model changes nothing but
+spaces to markers, a whole text's ids are its chunks' ids, and each distinct chunk is compared;
+else whole texts are, so that a difference between the two normalisers is seen.  A text for which they differ
+has SentencePiece's ids.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ class PieceCodec:
             self.model = PieceModel.parse(f.read())
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.whole, self.chunk = backend(self.model)
-        self.cuts = self.model.splits_at_marks() and self.model.add_dummy_prefix
+        self.cuts = self.model.splits_at_marks() and self.model.add_dummy_prefix and not (self.model.charsmap or self.model.remove_extra_spaces)
         self.cache = ChunkCache(self._encode_chunks, "<i4")
         #: Chunks in the cache to which the two libraries give different ids.
         self.differ: set[str] = set()
@@ -150,7 +151,7 @@ class PieceCodec:
         if "" in chunks:  # a marker alone; as a text of its own it would have none
             theirs[chunks.index("")] = self.reference.encode("x ")[len(self.reference.encode("x")) :]
         self.differ.update(c for c, a, b in zip(chunks, ours, theirs) if a.ids != b)
-        return theirs
+        return [a.ids for a in ours]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """ids of each text as little-endian 32-bit integers, and whether both libraries give them."""
@@ -159,17 +160,19 @@ class PieceCodec:
             return [(np.asarray(b, "<i4").tobytes(), a == b) for a, b in zip(ours, self.reference.encode(texts, num_threads=THREADS))]
         if len(self.differ) >= MAX_DIFFER:  # the cache must not outlive what is known of its chunks
             self.cache, self.differ = ChunkCache(self._encode_chunks, "<i4"), set()
-        plain = not (self.model.charsmap or self.model.remove_extra_spaces)
         chunked = []
         for t in texts:
             if not t:
                 chunked.append([])
-            elif plain and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
+            elif "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t:
                 chunked.append(t.split(" "))
             else:
                 chunked.append([c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", self.normalise(t))])
         ids = self.cache.join(chunked)
-        return [(x, not self.differ or self.differ.isdisjoint(c)) for x, c in zip(ids, chunked)]
+        same = [not self.differ or self.differ.isdisjoint(c) for c in chunked]
+        odd = [t for t, s in zip(texts, same) if not s]
+        theirs = iter(self.reference.encode(odd, num_threads=THREADS) if odd else [])
+        return [(x if s else np.asarray(next(theirs), "<i4").tobytes(), s) for x, s in zip(ids, same)]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
