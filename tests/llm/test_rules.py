@@ -400,3 +400,29 @@ def test_boilerplate_lines_are_removed(spark):
     got = {r.doc_id: (r.clean_text, r.removed_words) for r in lf.line_frequency(df).collect()}
     want = {i: (f"own words of text {'abcdefghijkl'[i]} here\n\nand an end {'abcdefghijkl'[i]}", 10) for i in range(12)}
     assert got == want | {20: (None, 0), 21: ("", 0), 22: ("", 5), 23: ("no such line\n\n", 0), 24: want[3], 30: (foot, 0)}
+
+
+def test_indents_and_carriage_returns_are_one_line(spark):
+    texts = ["\tfoo bar", "foo bar\r", "foo bar", " foo \t bar ", "FOO  bar\x0b"]
+    docs = spark.createDataFrame([(i, "h", f"{x}\nown line {chr(97 + i) * 3} of this text with more words than the rest") for i, x in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: r.clean_text for r in line_frequency.line_frequency(docs, min_docs=5, host_share=0.02).collect()}
+    assert all("foo" not in x.lower() and "own line" in x for x in got.values()), got
+
+
+def test_many_matches_and_exceptions_take_no_longer():
+    import time
+
+    lexicon = toxicity.Lexicon(weights={" bad ": 1.0}, exceptions=["bad hair day"], coefficients=[0.0, 1.0, 1.0])
+    text = "bad hair day bad " * 60_000
+    began = time.perf_counter()
+    total, _ = toxicity.match(text, lexicon.automaton())
+    assert total == 60_000 and time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("most", [url_filter.MAX_ENTRIES, 1])
+def test_other_verdicts_are_no_entries(spark, most):
+    entries = spark.createDataFrame([("org", "/", "deny", True), ("org", "/a", "BLOCK", False), ("net", "/", "block", True), ("com", "/", "allow", True)], "host string, path string, verdict string, is_rule boolean")
+    pages = spark.createDataFrame([("http://x.org/a",), ("http://x.net/a",), ("http://x.com/",)], "url string")
+    assert [tuple(r) for r in url_filter.judge(pages, entries, max_entries=most).select("url", "rule", "verdict").orderBy("url").collect()] == [
+        ("http://x.com/", "com/", "allow"), ("http://x.net/a", "net/", "block"), ("http://x.org/a", None, "allow"),
+    ]

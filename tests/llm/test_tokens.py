@@ -1,5 +1,7 @@
+import random
 import zlib
 
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -159,3 +161,38 @@ def test_parity_shows_faults_of_the_backend(monkeypatch):
     rows = [r for b in pieces.encode_pieces(Docs(), path)(iter([pa.RecordBatch.from_pydict({"text": texts})])) for r in b.to_pylist()]
     assert [r["parity"] for r in rows] == [not t.startswith("wrong") for t in texts]
     assert [r["ids"] for r in rows] == c.reference.encode(texts)
+
+
+def with_normaliser(folder, spaces: bool, rule: str | None) -> str:
+    """The public model with another normaliser: fields that follow in a protobuf message replace those before."""
+    import sentencepiece
+
+    def message(number, value):
+        size, head = len(value), bytes([number << 3 | 2])
+        out = b""
+        while size >= 128:
+            out, size = out + bytes([size & 127 | 128]), size >> 7
+        return head + out + bytes([size]) + value
+
+    own = bytes([4 << 3, int(spaces)])
+    if rule:
+        made = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+        own += message(2, dict(pieces.fields(dict(pieces.fields(made))[3]))[2])
+    path = folder / f"{rule}-{spaces}.model"
+    with open(pieces.model_path(), "rb") as f:
+        path.write_bytes(f.read() + message(3, own))
+    return str(path)
+
+
+@pytest.mark.parametrize("spaces, rule", [(True, None), (False, "nmt_nfkc"), (True, "nfkc"), (True, "nmt_nfkc_cf")])
+def test_models_that_normalise_have_sentencepieces_ids(tmp_path, spaces, rule):
+    c = pieces.PieceCodec(with_normaliser(tmp_path, spaces, rule))
+    assert bool(c.model.charsmap) == bool(rule) and c.model.remove_extra_spaces == spaces
+    rng = random.Random(3)
+    letters = "aB c  ﬁ ｆｕ①²é́​　 \tℌ½ǆ中▁ÅÅ̈"
+    some = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(1500)] + ODD
+    want = c.reference.encode(some)
+    got = c.encode(some)
+    assert [np.frombuffer(x, "<i4").tolist() for x, _ in got] == want
+    whole = [e.ids for e in c.whole.encode_batch(some, add_special_tokens=False)]
+    assert [same for _, same in got] == [a == b for a, b in zip(whole, want)]
