@@ -103,10 +103,28 @@ def two_sided_p(z: Column) -> Column:
     return sum((c * F.pow(t, F.lit(k)) for k, c in enumerate(ERFC, 1)), F.lit(0.0)) * F.exp(-x * x)
 
 
+#: Up to so many users without ties the signed ranks' own distribution is used.
+EXACT_USERS = 50
+
+
+def exact_two_sided_p(n: Column, w: Column) -> Column:
+    """2 * P(W <= w), at most 1, for the sum W of a random subset of the ranks 1 to n.
+
+    The number of subsets of each sum: a rank either is in the subset, which shifts the counts by it, or isn't.  Counts
+    up to 2^50 are exact in doubles.
+    """
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    with_rank = lambda counts, r: F.zip_with(F.concat(counts, zeros(r)), F.concat(zeros(r), counts), lambda a, b: a + b)
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), with_rank)
+    below = F.aggregate(F.slice(counts, F.lit(1), F.floor(w).cast("int") + 1), F.lit(0.0), lambda a, b: a + b)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+
+
 def wilcoxon(users: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Signed ranks of the users' means: zeros dropped, average ranks, tie-corrected normal approximation with its p-value.
+    """Signed ranks of the users' means: zeros dropped, average ranks, tie-corrected normal approximation.
 
-    The approximation is used for every size; exact tables, which small samples without ties have, aren't.
+    p_normal is the approximation's, p_exact that of the ranks' own distribution, null above EXACT_USERS or with ties;
+    p_value is the exact one where there is one.
     """
     d = users.select(*by, F.round("diff_mean", 6).alias("d")).filter("d <> 0").withColumn("s", F.abs("d"))
     # Ranks come from counts per distinct size, so equal sizes are one row.
@@ -119,7 +137,9 @@ def wilcoxon(users: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.nullif(spread, F.lit(0.0)))
-    return sums.withColumn("z", z).withColumn("p_value", two_sided_p(F.col("z"))).drop("ties")
+    few = (F.col("n") <= EXACT_USERS) & (F.col("ties") == 0)
+    out = sums.withColumn("z", z).withColumns({"p_normal": two_sided_p(F.col("z")), "p_exact": F.when(few, exact_two_sided_p(F.col("n"), F.least("w_plus", "w_minus")))})
+    return out.withColumn("p_value", F.coalesce("p_exact", "p_normal")).drop("ties")
 
 
 def verdict(low: Column, high: Column) -> Column:

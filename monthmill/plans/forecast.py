@@ -438,10 +438,15 @@ wr AS (SELECT {G}, d, rank() OVER (PARTITION BY {G} ORDER BY abs(d)) + (COUNT(*)
 wx AS (SELECT {G}, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, SUM(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, CAST(COUNT(*) AS DOUBLE) AS n, SUM(CAST(t AS DOUBLE) * t - 1) AS ties FROM wr GROUP BY ALL),
 wy AS (SELECT *, (least(w_plus, w_minus) - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) AS z FROM wx),
 wt AS (SELECT *, 1 / (1 + {paired.ERFC_AT} * abs(z) / sqrt(2.0)) AS u FROM wy),
-wz AS (SELECT {G}, w_plus, w_minus, n, z, ({' + '.join(f'{c} * pow(u, {k})' for k, c in enumerate(paired.ERFC, 1))}) * exp(-z * z / 2) AS p_value FROM wt)"""
+wn AS (SELECT *, ({' + '.join(f'{c} * pow(u, {k})' for k, c in enumerate(paired.ERFC, 1))}) * exp(-z * z / 2) AS p_normal FROM wt),
+c0 AS MATERIALIZED (SELECT 0 AS s, CAST(1 AS DOUBLE) AS k),
+{', '.join(f"c{r} AS MATERIALIZED (SELECT s, SUM(k) AS k FROM (SELECT s, k FROM c{r - 1} UNION ALL SELECT s + {r}, k FROM c{r - 1}) GROUP BY s)" for r in range(1, paired.EXACT_USERS + 1))},
+sub AS ({' UNION ALL '.join(f"SELECT {r} AS size, s, k FROM c{r}" for r in range(1, paired.EXACT_USERS + 1))}),
+we AS (SELECT {G}, least(1.0, 2 * SUM(k) / pow(2.0, n)) AS p_exact FROM wn JOIN sub ON size = n AND s <= least(w_plus, w_minus) WHERE ties = 0 GROUP BY {G}, n),
+wz AS (SELECT {G}, w_plus, w_minus, n, z, p_normal, p_exact, coalesce(p_exact, p_normal) AS p_value FROM wn LEFT JOIN we USING ({G}))"""
 
 
-@query(f"{PAIRED},{WX}\nSELECT * FROM wz WHERE {ONE}", "", "n", "w_plus w_minus z p_value")
+@query(f"{PAIRED},{WX}\nSELECT * FROM wz WHERE {ONE}", "", "n", "w_plus w_minus z p_normal p_exact p_value")
 def wilcoxon_signed_rank(spark, d):
     return paired.wilcoxon(_users(spark, d))
 

@@ -11,7 +11,7 @@ from monthmill.functions import exprs
 from monthmill.operators import features, models, ordered, paired, quality, scoring, segments, serving, splits, validation
 from monthmill.sources import panel as P
 from monthmill.sources import tables
-from monthmill.streaming.serve import ServingTables, serve_stream
+from monthmill.streaming.serve import Conflict, ServingTables, serve_rows, serve_stream
 
 
 def month(k):
@@ -201,6 +201,50 @@ def test_stream_serves_each_row_once(spark, tmp_path):
     assert {r.user_id: r.last_month for r in store.checkpoints().collect()} == {"a": month(3), "b": month(2)}
 
 
+def test_signed_ranks_equal_enumeration(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for n in range(1, 13):
+        d = rng.permutation(np.arange(1, n + 1)) * rng.choice([-1, 1, 1], n) / 7
+        order = np.abs(d).argsort().argsort() + 1
+        low = min(order[d > 0].sum(), order[d < 0].sum())
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in product((0, 1), repeat=n)]
+        want[f"g{n}"] = min(1.0, 2 * sum(s <= low for s in sums) / 2**n)
+        rows += [(f"g{n}", float(x)) for x in d] + [(f"g{n}", 0.0)]
+    rows += [("ties", 1.0), ("ties", -1.0), ("ties", 2.0)] + [("large", float(x)) for x in range(1, 52)]
+    got = {r.g: r for r in paired.wilcoxon(spark.createDataFrame(rows, "g string, diff_mean double"), ("g",)).collect()}
+    for g, p in want.items():
+        assert got[g].p_exact == pytest.approx(p) and got[g].p_value == got[g].p_exact
+    assert got["ties"].p_exact is None and got["large"].p_exact is None and got["ties"].p_value == got["ties"].p_normal
+
+
+def test_commits_of_two_writers_and_a_crash(spark, tmp_path, monkeypatch):
+    schema = f"user_id string, month date, {P.LAST} double, history_id int"
+    floor = spark.createDataFrame([(month(1),)], "floor_month date")
+    rows = spark.createDataFrame([("a", month(2), 5.0, 2), ("b", month(2), 6.0, 2), ("a", month(3), 7.0, 2)], schema)
+    predict = lambda df: serving.routed_predictions(df.withColumn("route", serving.route()).withColumn("p", F.col(P.LAST)), "p", "p")
+    store, other = ServingTables(spark, str(tmp_path / "t")), ServingTables(spark, str(tmp_path / "t"))
+    state = lambda: (sorted((r.user_id, r.month) for r in store.predictions().collect()), sorted((r.user_id, r.last_month) for r in store.checkpoints().collect()))
+    full = ([("a", month(2)), ("a", month(3)), ("b", month(2))], [("a", month(3)), ("b", month(2))])
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda version: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            serve_rows(rows, predict, store, floor)
+    assert state() == ([], []) and store.current().number == 0  # files without a commit don't count
+
+    seen = other.current()
+    serve_rows(rows, predict, store, floor)
+    assert state() == full
+    with pytest.raises(Conflict):  # the other writer has read the state before
+        other.commit(seen, predict(rows).select("user_id", "prediction", "route", F.lit("v1").alias("model_version"), "month"), store.checkpoints())
+    assert state() == full and store.current().number == 1
+    serve_rows(rows, predict, other, floor)  # it starts over and finds nothing to add
+    assert state() == full and store.current().number == 1
+
+
 def test_ridge_and_elastic_net_solve_their_problems(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 3)) * [1, 10, 100] + [5, 0, -3]
