@@ -146,12 +146,12 @@ class PieceCodec:
 
     def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """Chunks without their first marker."""
-        ours = self.chunk.encode_batch([MARK + c for c in chunks], add_special_tokens=False)
+        ours = [e.ids for e in self.chunk.encode_batch([MARK + c for c in chunks], add_special_tokens=False)]
         theirs = self.reference.encode([c.replace(MARK, " ") for c in chunks], num_threads=THREADS)
         if "" in chunks:  # a marker alone; as a text of its own it would have none
             theirs[chunks.index("")] = self.reference.encode("x ")[len(self.reference.encode("x")) :]
-        self.differ.update(c for c, a, b in zip(chunks, ours, theirs) if a.ids != b)
-        return [a.ids for a in ours]
+        self.differ.update(c for c, a, b in zip(chunks, ours, theirs) if a != b)
+        return ours
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """ids of each text as little-endian 32-bit integers, and whether both libraries give them."""
