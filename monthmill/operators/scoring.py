@@ -79,6 +79,23 @@ def score_by_group(pred: DataFrame, group: str, by: tuple[str, ...] = ("model",)
     return score_all(pred, (*by, group), ("n_rows", "rmse", "mae", "median_ae", "wape"))
 
 
+#: Scores that are sums of a row's own numbers, so one reading serves groupings of any fineness.
+MOMENTS = ("n_rows", "mse", "rmse", "sme", "mae", "wape", "smape", "mape", "r2_level")
+
+
+def score_sets(pred: DataFrame, sets: dict[str, tuple[str, ...]], by: tuple[str, ...] = ("model",), only: tuple[str, ...] = MOMENTS) -> DataFrame:
+    """(grouping, by..., the sets' columns, scores): all groupings from one reading; columns that a set lacks are null.
+
+    Sums are combined before the exchange, whichever grouping a row's copies go to; medians, which can't be, aren't here.
+    """
+    columns = [*by, *dict.fromkeys(c for s in sets.values() for c in s)]
+    grouped = usable(pred).groupingSets([[*by, *s] for s in sets.values()], *columns)
+    # A bit of the grouping's number is set where it lacks the column, the first column's bit highest.
+    lacks = lambda s: sum(1 << k for k, c in enumerate(reversed(columns)) if c not in (*by, *s))
+    name = F.coalesce(*[F.when(F.grouping_id() == lacks(s), F.lit(n)) for n, s in sets.items()])
+    return grouped.agg(name.alias("grouping"), *[v.alias(k) for k, v in measures().items() if k in only]).select("grouping", *columns, *only)
+
+
 def assign_tiers(train: DataFrame, size: str, quantiles: tuple[float, float] = (0.5, 0.9), id: str = "user_id") -> DataFrame:
     """(id, tier) from each entity's median |size| on training rows."""
     typical = train.groupBy(id).agg(median(F.abs(F.col(size))).alias("typical")).filter("typical IS NOT NULL")

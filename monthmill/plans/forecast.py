@@ -9,7 +9,7 @@ from ..sources import tables
 from ..sources.panel import CREDITED, ID, LAGS, LAST, NET_FLOW, ROLL3, TARGET, TIME, customer_panel, supplier_panel
 from .base import query
 from .frames import BASELINES, baselines, labelled, fold_predictions, predictions, segmented, sided, windowed
-from .sql import FOLDS, HOLDOUT, L1, L2, L3, P2, PRED, SCORED, V1, V3, Y, scores, split
+from .sql import FOLDS, HOLDOUT, L1, L2, L3, P2, PRED, SCORED, SCORES, V1, V3, Y, scores, split
 
 K = "user_id month"
 SPLIT_PRED = f"WITH {V1},{split('v1')},{PRED}"
@@ -211,6 +211,22 @@ def score_by_user(spark, d):
     return scoring.score_by_group(_holdout(spark, d), ID)
 
 
+SET_NUMS = "rmse sme mae wape smape mape r2_level"
+
+
+@query(
+    f"""WITH {V1},{V3},{split('seg')},{PRED}
+SELECT CASE WHEN GROUPING(month) = 0 THEN 'month' WHEN GROUPING(behaviour_id) = 0 THEN 'behaviour' WHEN GROUPING(user_id) = 0 THEN 'user' ELSE 'all' END AS grouping_,
+model, month, behaviour_id, user_id, {', '.join(f'{SCORES[k]} AS {k}' for k in ('n_rows ' + SET_NUMS).split())}
+FROM {HOLDOUT} GROUP BY GROUPING SETS ((model), (model, month), (model, behaviour_id), (model, user_id))""",
+    "grouping_ model month user_id", "behaviour_id n_rows", SET_NUMS,
+)
+def score_sets(spark, d):
+    rows = sided(predictions(segmented(spark, d), (ID, TIME, "side", "behaviour_id")), "holdout")
+    sets = {"all": (), "month": (TIME,), "behaviour": ("behaviour_id",), "user": (ID,)}
+    return scoring.score_sets(rows, sets, only=tuple(("n_rows " + SET_NUMS).split())).withColumnRenamed("grouping", "grouping_")
+
+
 TIERS = f"""
 ty AS (SELECT user_id, quantile_cont(abs({L1}), 0.5) AS typical FROM sp WHERE side = 'train' GROUP BY 1 HAVING COUNT({L1}) > 0),
 tc AS (SELECT quantile_cont(typical, 0.5) AS low, quantile_cont(typical, 0.9) AS high FROM ty),
