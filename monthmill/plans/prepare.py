@@ -227,6 +227,14 @@ _window("win_sparse_panel", "prev_1m_change months_since_sign_flip roll6_mean_ba
 _window("v3_features_all", " ".join(features.V3_DERIVED), *features.BUILDERS, ints="history_months")
 
 
+@query(f"WITH {V1},{V3}\nSELECT * FROM seg", K, " ".join(features.SEGMENT_IDS), " ".join((TARGET, *V1_NUMBERS, *features.V3_DERIVED)))
+def sink_bucketed_table(spark, d):
+    """All features of the panel's bucketed table, whose windows need no exchange."""
+    path = tables.scratch_path(spark, "bucketed")
+    panel = tables.bucketed(supplier_panel(spark, d), f"panel_{path[-12:]}", path, buckets=8)
+    return features.feature_table(segments.assign_all(features.window_features(panel)))
+
+
 @query(f"WITH {V1},{V3}\nSELECT * FROM seg", K, " ".join(features.SEGMENT_IDS), " ".join((TARGET, *V1_NUMBERS, *features.V3_DERIVED)))
 def v3_feature_table(spark, d):
     return features.feature_table(segmented(spark, d))

@@ -201,6 +201,18 @@ def test_stream_serves_each_row_once(spark, tmp_path):
     assert {r.user_id: r.last_month for r in store.checkpoints().collect()} == {"a": month(3), "b": month(2)}
 
 
+def test_windows_of_a_bucketed_table_need_no_exchange(spark, tmp_path, sf_dir):
+    rows = P.supplier_panel(spark, sf_dir)
+    table = tables.bucketed(rows, "bucketed_panel", str(tmp_path / "t"), buckets=4)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = features.feature_table(segments.assign_all(features.window_features(table)))
+    assert "Exchange" not in plan(made) and "Exchange" not in plan(table.groupBy(P.ID).count())
+    assert "Exchange" in plan(features.window_features(rows))
+    assert made.count() == rows.count()
+    assert tables.bucketed(rows.limit(3), "bucketed_panel", str(tmp_path / "t"), buckets=4).count() == 3  # replaced
+    spark.sql("DROP TABLE bucketed_panel")
+
+
 def test_signed_ranks_equal_enumeration(spark):
     from itertools import product
 
