@@ -67,11 +67,15 @@ def score_all(pred: DataFrame, by: tuple[str, ...] = ("model",), only: tuple[str
     return with_group(others, middle, by).select(*by, *wanted)
 
 
+def of_reference(column: str, reference: str, *by: str) -> Column:
+    """The reference model's ``column`` beside every model of its group: a window over a row per model, so the scores are made once."""
+    return F.max(F.when(F.col("model") == reference, F.col(column))).over(Window.partitionBy(*by or [F.lit(0)]))
+
+
 def with_skill(scores: DataFrame, reference: str = "persistence", by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``skill`` = 1 - rmse / the reference's rmse; null for the reference and where that is 0."""
-    ref = scores.filter(F.col("model") == reference).select(*by, F.col("rmse").alias("_ref"))
-    joined = scores.join(F.broadcast(ref), list(by), "left") if by else scores.join(F.broadcast(ref), F.lit(True), "left")
-    return joined.withColumn("skill", F.when(F.col("model") != reference, 1 - F.try_divide("rmse", F.nullif("_ref", F.lit(0.0))))).drop("_ref")
+    ref = F.nullif(of_reference("rmse", reference, *by), F.lit(0.0))
+    return scores.withColumn("_ref", ref).withColumn("skill", F.when(F.col("model") != reference, 1 - F.try_divide("rmse", "_ref"))).drop("_ref")
 
 
 def score_by_group(pred: DataFrame, group: str, by: tuple[str, ...] = ("model",)) -> DataFrame:
@@ -156,9 +160,8 @@ def comparison_table(pred: DataFrame, sort_by: str = "median_ae") -> DataFrame:
 def train_vs_test(train: DataFrame, test: DataFrame, reference: str = "persistence") -> DataFrame:
     """Per model the scores on both sides, gap = test / train MAE, skill and skill_mae against the reference."""
     both = ("mse", "rmse", "mae", "median_ae", "sme", "smape")
-    ref = test.filter(F.col("model") == reference).select(F.col("mae").alias("_ref"))
-    t = with_skill(test, reference)
-    joined = t.join(train.select("model", *[F.col(c).alias(f"train_{c}") for c in both]), "model", "left").join(F.broadcast(ref), F.lit(True), "left")
+    t = with_skill(test, reference).withColumn("_ref", of_reference("mae", reference))
+    joined = t.join(train.select("model", *[F.col(c).alias(f"train_{c}") for c in both]), "model", "left")
     return joined.select(
         "model",
         *[x for c in both for x in (F.col(f"train_{c}"), F.col(c).alias(f"test_{c}"))],
@@ -177,9 +180,8 @@ def grade(percent: Column) -> Column:
 
 def train_vs_test_percent(train: DataFrame, test: DataFrame, reference: str = "persistence") -> DataFrame:
     """The same as percentages with a grade of the test WAPE."""
-    ref = test.filter(F.col("model") == reference).select(F.col("mae").alias("_ref"))
     fitted = train.select("model", F.col("wape").alias("train_wape"), F.col("mae").alias("train_mae"))
-    j = test.join(fitted, "model", "left").join(F.broadcast(ref), F.lit(True), "left")
+    j = test.withColumn("_ref", of_reference("mae", reference)).join(fitted, "model", "left")
     spread = F.try_divide("rmse", F.nullif("mae", F.lit(0.0)))
     return j.select(
         "model",
@@ -219,9 +221,8 @@ def segment_fold_wape(pred: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 def segment_cv_summary(fold_wape: DataFrame, labels: DataFrame, reference: str = "persistence", min_won: int = 4, min_rows: int = 100) -> DataFrame:
     """Each model against the reference per segment over the folds."""
-    keys = ["segmentation", "segment", "fold"]
-    ref = fold_wape.filter(F.col("model") == reference).select(*keys, F.col("wape").alias("ref"))
-    others = fold_wape.filter(F.col("model") != reference).join(ref, keys, "left").withColumn("won", F.coalesce(F.col("wape") < F.col("ref"), F.lit(False)))
+    beside = fold_wape.withColumn("ref", of_reference("wape", reference, "segmentation", "segment", "fold"))
+    others = beside.filter(F.col("model") != reference).withColumn("won", F.coalesce(F.col("wape") < F.col("ref"), F.lit(False)))
     out = others.groupBy("segmentation", "segment", "model").agg(
         F.avg("n_rows").alias("rows_per_fold"), F.avg("ref").alias("reference_wape"), F.avg("wape").alias("wape"), F.count_if("won").alias("folds_won"), F.count("fold").alias("folds")
     )

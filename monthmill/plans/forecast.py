@@ -314,7 +314,7 @@ TVT_NUMS = " ".join([f"{s}_{c}" + ":0" * (c == "mse") for c in BOTH for s in ("t
 
 def _sides(panel):
     """Scores of both sides in one pass."""
-    s = scoring.score_all(predictions(panel), ("side", "model"))
+    s = tables.kept(scoring.score_all(predictions(panel), ("side", "model")))
     return sided(s, "train").drop("side"), sided(s, "holdout").drop("side")
 
 
