@@ -182,7 +182,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> D
     the templates.  A licence file is one named so (LICENSE, COPYING, ...) that names a licence, or one whose
     whole text is a licence.  license: the own one, else that of the nearest directory above with
     a licence file; where a directory has several, the most frequent, then the first by
-    name.  A null or wordless text has no licence of its own and may inherit; a null
+    name.  A text of any length is cut into segments and compared whole too.  A null or wordless text has no licence of its own and may inherit; a null
     path inherits nothing.  Repeated rows get equal results and columns named like a
     result column are replaced.  An empty table gives an empty result.
     """

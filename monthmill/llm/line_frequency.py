@@ -111,6 +111,7 @@ def line_frequency(
     Documents of a host with the same text count once (n_texts and host_texts, not documents).
     Null text: no words, so ``base_failed``.  Null host: a host of its own.
     Repeated rows get equal results.  An empty table gives an empty result.
+    Texts and lines of any length are taken whole; a line counts once a text, however often it stands there.
     Columns of ``docs`` that have the name of a result column are replaced.
     """
     of_host, t1, t2, gone = map(fresh, ("host", "text1", "text2", "gone"))

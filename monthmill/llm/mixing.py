@@ -193,7 +193,11 @@ def repeat_by_mix(
     most: int = MAX_COPIES,
     seed: int = 42,
 ) -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes it."""
+    """Rows of ``docs``, each as often as the mix takes it: 0 to ``most`` times.
+
+    Null, empty and wordless texts have no size and are never taken.  Equal rows share their copies; a null source is a source of its own,
+    a null doc_id a document like others.  An empty table gives an empty result; columns of any name stay as they are.
+    """
     mark, no, unit, taken_unit, copies = map(fresh, ("mark", "no", "unit", "taken", "copies"))
     taken = _mixed(docs, doc_id, source, text, weights, most, seed).filter("copies > 0").select(F.struct("doc_id", "source", "mark", "no").alias(taken_unit), F.col("copies").alias(copies))
     numbered = number_repeats(docs.withColumn(mark, F.xxhash64(text)), (doc_id, source, mark), no)

@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and wordless texts have an empty set and link with nothing; fewer than
     ``width`` words make one shingle.  Rows that repeat a doc_id are one node: they
     share its component.  A null doc_id links with nothing: component_id is null and
-    the row is kept.  An empty table gives an empty result; other columns aren't used.
+    the row is kept.  Texts of any length are read whole; a set of equal size and content is compared once.
+    An empty table gives an empty result; other columns aren't used.
     """
     rows = stage(sketch_documents(docs, doc_id, text, width), "sketches")
     usable = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -334,7 +335,11 @@ def _across(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, one document of each group: the one with the smallest doc_id; of rows that repeat a doc_id, one."""
+    """Rows of ``docs``, one document of each group: the one with the smallest doc_id; of rows that repeat a doc_id, one.
+
+    Rows without a doc_id and rows with a null, empty or wordless text are kept as groups of their own (of a repeated doc_id
+    still one).  An empty table gives an empty result; columns of any name stay as they are.
+    """
     doc_id = options.get("doc_id", "doc_id")
     kept = near_duplicates(docs, **options).filter("kept").select("doc_id").distinct().toDF(own := fresh("kept"))
     known = docs.filter(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col(own), "left_semi").dropDuplicates([doc_id])

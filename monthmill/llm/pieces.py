@@ -226,7 +226,11 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its ids (null: null)."""
+    """``encoded`` with ``decoded``, the text of its ids.
+
+    Null ids give null, no ids an empty text; ids of any number are decoded at once, repeated rows to equal texts.  An
+    empty table gives an empty result; a column named decoded is replaced.  An id that the model lacks is an error.
+    """
 
     @F.pandas_udf("string")
     def run(column):

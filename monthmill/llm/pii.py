@@ -142,7 +142,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_all``: arrays of spans by kind, then start.
 
     A span has kind, start, end and score.  Null text is an empty text and has none; repeated rows
-    get equal spans, an empty table an empty result.  Columns of those names are replaced.
+    get equal spans, an empty table an empty result.  A text of any length is searched whole, by expressions whose time is linear in it.  Columns of those names are replaced.
     """
     t, extra = F.coalesce(F.col(text), F.lit("")), fresh("extra")
     out = docs.withColumns({"pii_base": F.concat(*[spans_of(t, k) for k in BASE_KINDS]), extra: F.concat(*[spans_of(t, k) for k in EXTRA_KINDS])})

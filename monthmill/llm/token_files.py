@@ -402,7 +402,8 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, **opti
     """Write token files of ``docs`` and read them back.
 
     Null texts are empty and give the end id alone.  Null doc_ids come last; rows with
-    equal doc_id stand in order of a hash of their ids, equal rows side by side.  An
+    equal doc_id stand in order of a hash of their ids, equal rows side by side.  A text of any length is encoded whole and fills
+    blocks of its own size.  An
     empty table gives an empty result.  Other columns of ``docs`` aren't used.
     """
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"

@@ -245,7 +245,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
 
     Null text is an empty text: no match, a low score.  Only the text is an input of
     the score, so repeated rows get equal ones, whatever their doc_id; an empty table gives an empty
-    result.  Columns named like a result column are replaced.  No shuffle.
+    result.  A text of any length is scored whole, in time that grows with it and its matches.  Columns named like a
+    result column are replaced.  No shuffle.
     """
     bias, by_sum, by_density = lexicon.coefficients
 
