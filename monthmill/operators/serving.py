@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import wape
 from ..sources.panel import ID, LAST, TARGET, TIME
+from .ordered import median_row
 
 KEYS = [ID, TIME]
 
@@ -170,3 +171,70 @@ def next_month_panel(panel: DataFrame, full_months: int = 6) -> DataFrame:
         F.when(F.col("_n") >= full_months, 2).otherwise(1).alias("history_id"),
         F.coalesce(F.when(F.col("_n") >= 3, F.col("_step")), "typical_step").alias("step"),
     )
+
+
+#: Balances that a carry holds.
+TAIL = 6
+CARRY = f"{ID} string, through date, n long, tail array<double>, steps long, step_mean double, step_m2 double"
+
+
+def _moments(values: Column) -> tuple[Column, Column, Column]:
+    """(number, mean, sum of squares about it) of an array's known values; 0 without any."""
+    known = F.filter(values, lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+    mean = F.coalesce(F.try_divide(total, F.size(known)), F.lit(0.0))
+    return F.size(known).cast("long"), mean, F.aggregate(known, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+
+
+def carry_forward(carry: DataFrame, rows: DataFrame) -> DataFrame:
+    """``carry``, a row per user, moved on by the panel rows of later months.
+
+    It holds what the next month needs of a history: the last months' balances, the number of months, and the
+    moments of all monthly steps, which merge.  So serving reads the carry and the months since, never the
+    history; months that the carry knows are left out, so a repeated step changes nothing.
+    """
+    new = rows.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct(F.col(TIME).alias("t"), F.col(TARGET).alias("b")))).alias("_new"))
+    j = carry.join(new, ID, "full_outer")
+    later = F.filter("_new", lambda x: F.col("through").isNull() | (x.t > F.col("through")))
+    none = F.array().cast("array<double>")
+    j = j.withColumns({"_new": F.coalesce(later, F.array().cast("array<struct<t:date,b:double>>")), "_tail": F.coalesce("tail", none)})
+    j = j.withColumn("_all", F.concat("_tail", F.transform("_new", lambda x: x.b)))
+    # An index below 0 has no balance, so a user's first month has no step.
+    j = j.withColumn("_made", F.transform("_new", lambda x, i: x.b - F.get("_all", F.size("_tail") + i - 1)))
+    k, mean, m2 = _moments(F.col("_made"))
+    j = j.withColumns({"_k": k, "_mean": mean, "_m2": m2, "_k0": F.coalesce("steps", F.lit(0)), "_mean0": F.coalesce("step_mean", F.lit(0.0))})
+    both, apart = F.nullif(F.col("_k") + F.col("_k0"), F.lit(0)), F.col("_mean") - F.col("_mean0")
+    return j.select(
+        ID,
+        F.coalesce(F.get("_new", F.size("_new") - 1).t, "through").alias("through"),
+        (F.coalesce("n", F.lit(0)) + F.size("_new")).alias("n"),
+        F.slice("_all", F.greatest(F.size("_all") - (TAIL - 1), F.lit(1)), TAIL).alias("tail"),
+        (F.col("_k") + F.col("_k0")).alias("steps"),
+        (F.col("_mean0") + F.coalesce(apart * F.col("_k") / both, F.lit(0.0))).alias("step_mean"),
+        (F.coalesce("step_m2", F.lit(0.0)) + F.col("_m2") + F.coalesce(apart * apart * F.col("_k") * F.col("_k0") / both, F.lit(0.0))).alias("step_m2"),
+    )
+
+
+def next_month_from_carry(carry: DataFrame, full_months: int = 6) -> DataFrame:
+    """``next_month_panel`` from the carry alone."""
+    latest = carry.agg(F.max("through").alias("_latest"))
+    own = carry.withColumn("_step", F.sqrt(F.try_divide("step_m2", F.nullif(F.greatest(F.col("steps") - 1, F.lit(0)), F.lit(0)))))
+    active = own.join(F.broadcast(latest), F.col("through") == F.col("_latest")).join(F.broadcast(median_row(own, F.col("_step"), "typical_step")), F.lit(True))
+    back = lambda k: F.get("tail", F.size("tail") - k)
+    last = lambda k: F.slice("tail", F.greatest(F.size("tail") - (k - 1), F.lit(1)), k)
+    made = {}
+    for k, name in ((3, "roll3_{}_closing_balance_usd"), (6, "roll6_{}_balance")):
+        known, mean, m2 = _moments(last(k))
+        made[name.format("mean")] = F.when((F.col("n") >= k) & (known > 0), mean)
+        made[name.format("std")] = F.when((F.col("n") >= k) & (known > 1), F.sqrt(F.try_divide(m2, known - 1)))
+    known, negative, _ = _moments(F.transform(last(6), lambda b: (b < 0).cast("double")))
+    made["share_neg_last_6m"] = F.when((F.col("n") >= 6) & (known > 0), negative)
+    return active.select(
+        ID,
+        F.add_months("through", 1).alias(TIME),
+        *[back(k).alias(f"prev_{k}m_closing_balance_usd") for k in (1, 2, 3)],
+        (back(1) - back(2)).alias("prev_1m_change"),
+        *[c.alias(name) for name, c in made.items()],
+        F.when(F.col("n") >= full_months, 2).otherwise(1).alias("history_id"),
+        F.coalesce(F.when(F.col("n") >= 3, F.col("_step")), "typical_step").alias("step"),
+    )

@@ -189,8 +189,7 @@ def save_performance(spark, d):
     return serving.save_performance(rows.filter("split = 'train'"), rows, "persistence", F.lit(NOW).cast("date"))
 
 
-@query(
-    f"""WITH {V1},
+NEXT_MONTH = f"""WITH {V1},
 o AS (
   SELECT user_id, month, {Y} AS b, LAG({Y}) OVER t AS l1, LAG({Y}, 2) OVER t AS l2, COUNT(*) OVER (PARTITION BY user_id) AS n, MAX(month) OVER () AS latest,
          CASE WHEN COUNT(*) OVER w3 = 3 THEN AVG({Y}) OVER w3 END AS roll3_mean_closing_balance_usd, CASE WHEN COUNT(*) OVER w3 = 3 THEN STDDEV_SAMP({Y}) OVER w3 END AS roll3_std_closing_balance_usd,
@@ -201,11 +200,21 @@ o AS (
 s AS (SELECT user_id, STDDEV_SAMP(b - l1) AS s FROM o GROUP BY 1), ty AS (SELECT quantile_cont(s, 0.5) AS typical FROM s)
 SELECT user_id, CAST(month + INTERVAL 1 MONTH AS DATE) AS month, b AS prev_1m_closing_balance_usd, l1 AS prev_2m_closing_balance_usd, l2 AS prev_3m_closing_balance_usd, b - l1 AS prev_1m_change,
 roll3_mean_closing_balance_usd, roll3_std_closing_balance_usd, roll6_mean_balance, roll6_std_balance, share_neg_last_6m, CASE WHEN n >= 6 THEN 2 ELSE 1 END AS history_id, coalesce(CASE WHEN n >= 3 THEN s END, typical) AS step
-FROM o JOIN s USING (user_id), ty WHERE month = latest""",
-    K, "history_id",
-    f"{L1} {L2} {L3} prev_1m_change roll3_mean_closing_balance_usd roll3_std_closing_balance_usd roll6_mean_balance roll6_std_balance share_neg_last_6m step",
-)
+FROM o JOIN s USING (user_id), ty WHERE month = latest"""
+NEXT_NUMS = f"{L1} {L2} {L3} prev_1m_change roll3_mean_closing_balance_usd roll3_std_closing_balance_usd roll6_mean_balance roll6_std_balance share_neg_last_6m step"
+
+
+@query(NEXT_MONTH, K, "history_id", NEXT_NUMS)
 def next_month_panel(spark, d):
     return serving.next_month_panel(supplier_panel(spark, d))
 
 
+@query(NEXT_MONTH, K, "history_id", NEXT_NUMS)
+def next_month_from_carry(spark, d):
+    """A carry of the months before 1997, moved on by 1997 and, twice, by what follows."""
+    panel = supplier_panel(spark, d).select(ID, TIME, TARGET)
+    carry = spark.createDataFrame([], serving.CARRY)
+    year = F.year(TIME)
+    for part in (year < 1997, year == 1997, year > 1996):
+        carry = serving.carry_forward(carry, panel.filter(part))
+    return serving.next_month_from_carry(carry)

@@ -201,6 +201,19 @@ def test_stream_serves_each_row_once(spark, tmp_path):
     assert {r.user_id: r.last_month for r in store.checkpoints().collect()} == {"a": month(3), "b": month(2)}
 
 
+def test_carry_equals_the_whole_history(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"u{u}", month(k), None if rng.random() < 0.15 else float(rng.normal(0, 500))) for u in range(12) for k in range(14) if u < 2 or rng.random() < 0.7]
+    rows += [("new", month(13), 5.0), ("gone", month(0), 1.0)] + [(f"u{u}", month(13), 1.0 * u) for u in range(2, 12) if (f"u{u}", month(13)) not in {r[:2] for r in rows}]
+    panel = spark.createDataFrame(rows, f"user_id string, month date, {P.TARGET} double")
+    carry = spark.createDataFrame([], serving.CARRY)
+    for first, behind in ((0, 5), (5, 13), (0, 13), (13, 14)):  # a repeated step changes nothing
+        carry = serving.carry_forward(carry, panel.filter(F.col("month").between(month(first), month(behind - 1))))
+    key = lambda df: {r.user_id: [round(x, 6) if isinstance(x, float) else x for x in r] for r in df.select(*sorted(df.columns)).collect()}
+    assert key(serving.next_month_from_carry(carry)) == key(serving.next_month_panel(panel))
+    assert serving.next_month_from_carry(spark.createDataFrame([], serving.CARRY)).count() == 0
+
+
 def test_windows_of_a_bucketed_table_need_no_exchange(spark, tmp_path, sf_dir):
     rows = P.supplier_panel(spark, sf_dir)
     table = tables.bucketed(rows, "bucketed_panel", str(tmp_path / "t"), buckets=4)
