@@ -62,16 +62,20 @@ def fold_bounds(n_months: int, folds: int = 5, test_months: int = 3, gap: int =
     return [(k, *f) for k, f in enumerate(reversed(found), 1)]
 
 
-def expanding_folds(df: DataFrame, folds: int = 5, test_months: int = 3, gap: int = 0, least: int = 6, time: str = TIME) -> DataFrame:
-    """``df`` tagged with (fold, fold_side); a row stands in every fold that uses it."""
+def fold_months(df: DataFrame, folds: int = 5, test_months: int = 3, gap: int = 0, least: int = 6, time: str = TIME) -> DataFrame:
+    """(month, fold, fold_side); a month stands in every fold that uses it."""
     spark: SparkSession = df.sparkSession
     ranks = month_ranks(df, time)
     bounds = fold_bounds(ranks.count(), folds, test_months, gap, least)
     bounds = spark.createDataFrame(bounds, "fold int, train_end int, test_start int, test_end int")
     side = F.when(F.col("rank") <= F.col("train_end"), "train").when((F.col("rank") > F.col("test_start")) & (F.col("rank") <= F.col("test_end")), "validate")
     # Months times folds: a few hundred rows.
-    months = ranks.join(F.broadcast(bounds), F.lit(True)).withColumn("fold_side", side).filter("fold_side IS NOT NULL").select(time, "fold", "fold_side")
-    return df.join(F.broadcast(months), time)
+    return ranks.join(F.broadcast(bounds), F.lit(True)).withColumn("fold_side", side).filter("fold_side IS NOT NULL").select(time, "fold", "fold_side")
+
+
+def expanding_folds(df: DataFrame, folds: int = 5, test_months: int = 3, gap: int = 0, least: int = 6, time: str = TIME) -> DataFrame:
+    """``df`` tagged with (fold, fold_side); a row stands in every fold that uses it."""
+    return df.join(F.broadcast(fold_months(df, folds, test_months, gap, least, time)), time)
 
 
 def leak_check(tagged: DataFrame, time: str = TIME) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, paired, scoring, splits
+from ..operators import candidates, models, moments, paired, scoring, splits
 from ..sources import tables
-from ..sources.panel import CREDITED, ID, LAGS, LAST, NET_FLOW, ROLL3, TARGET, TIME, customer_panel, supplier_panel
+from ..sources.panel import CREDITED, ID, LAGS, LAST, NET_FLOW, ROLL3, TARGET, TIME, V1_NUMBERS, customer_panel, supplier_panel
 from .base import query
 from .frames import BASELINES, baselines, labelled, fold_predictions, predictions, segmented, sided, windowed
 from .sql import FOLDS, HOLDOUT, L1, L2, L3, P2, PRED, SCORED, SCORES, V1, V3, Y, scores, split
@@ -142,6 +142,56 @@ def tune_grid_on_folds(spark, d):
     return models.search(tagged, settings, lambda rows: models.prepared(rows, LINEAR), lambda rows, known, seed, alpha: models.fit_linear(rows, LINEAR, alpha, known=known), seeds=(1, 2))
 
 
+#: Ranges of the two linear models' settings.
+SPACES = {"ridge": {"alpha": candidates.Span(0.01, 1e6, log=True)}, "elastic_net": {"alpha": candidates.Span(0.01, 1e5, log=True), "l1_ratio": candidates.Span(0.05, 1.0)}}
+
+
+def drawn(n: int) -> dict[str, dict]:
+    return {name: s for family, space in SPACES.items() for name, s in candidates.draw(family, space, n, family=family).items()}
+
+
+def _share(study: str, parameter: str) -> str:
+    return f"('0x' || substr(md5('42/{study}/' || k || '/{parameter}'), 1, 13))::BIGINT / 16^13"
+
+
+@query(
+    f"""WITH {V1},{split('v1')},{FOLDS},
+drawn AS (
+    SELECT 'ridge_' || lpad(k::VARCHAR, 2, '0') AS setting, 'ridge' AS family, exp(ln(0.01) + {_share('ridge', 'alpha')} * (ln(1e6) - ln(0.01))) AS alpha, NULL AS l1_ratio FROM range(25) AS g(k)
+    UNION ALL SELECT 'elastic_net_' || lpad(k::VARCHAR, 2, '0'), 'elastic_net', exp(ln(0.01) + {_share('elastic_net', 'alpha')} * (ln(1e5) - ln(0.01))),
+        0.05 + {_share('elastic_net', 'l1_ratio')} * (1.0 - 0.05) FROM range(25) AS g(k)),
+xm AS (SELECT fold, quantile_cont({L2}, 0.5) AS middle FROM ft WHERE fold_side = 'train' AND {Y} - {L1} IS NOT NULL GROUP BY 1),
+xt AS (SELECT fold, coalesce({L2}, middle) AS x, {Y} - {L1} AS y FROM ft JOIN xm USING (fold) WHERE fold_side = 'train' AND {Y} - {L1} IS NOT NULL),
+xs AS (SELECT fold, COUNT(*) AS n, AVG(x) AS ax, STDDEV_POP(x) AS sx, AVG(y) AS ay, COVAR_POP(x, y) / STDDEV_POP(x) AS slope FROM xt GROUP BY 1),
+fit AS (SELECT *, CASE family WHEN 'ridge' THEN slope / (1 + alpha / n)
+    ELSE sign(slope) * greatest(abs(slope) - alpha * l1_ratio, 0) / (1 + alpha * (1 - l1_ratio)) END / sx AS weight FROM drawn, xs),
+err AS (SELECT setting, fold, AVG(abs({Y} - coalesce({L1}, 0) - ay - weight * (coalesce({L2}, middle) - ax))) AS mae FROM fw JOIN xm USING (fold) JOIN fit USING (fold) GROUP BY 1, 2),
+ref AS (SELECT fold, AVG(abs({Y} - persistence)) AS ref FROM fw GROUP BY 1),
+obj AS (SELECT setting, COUNT(*) AS folds, SUM(fold * mae / ref) / SUM(fold) AS objective FROM err JOIN ref USING (fold) GROUP BY 1)
+SELECT setting, family, 'complete' AS state, row_number() OVER (PARTITION BY family ORDER BY round(objective, 9), setting) = 1 AS best, folds, alpha, l1_ratio, objective
+FROM drawn JOIN obj USING (setting)""",
+    "setting family state best", "folds", "alpha l1_ratio objective:6",
+)
+def search_one_feature(spark, d):
+    """Drawn settings of both linear models on one feature, where both have closed forms."""
+    rows = sided(labelled(supplier_panel(spark, d)), "train")
+    return moments.search_linear(rows, splits.fold_months(rows), [LAGS[1]], drawn(25))
+
+
+@query(None, "setting family state best", "folds", "alpha l1_ratio objective:6")
+def search_linear_models(spark, d):
+    """50 drawn settings each of ridge and elastic net on all columns of the panel, and one that is rejected."""
+    rows = sided(labelled(supplier_panel(spark, d)), "train")
+    return moments.search_linear(rows, splits.fold_months(rows), list(V1_NUMBERS), drawn(50) | {"negative": {"family": "ridge", "alpha": -1.0}})
+
+
+@query(None, "fold dropped", "n_features", "wape")
+def rfe_by_ridge_weight(spark, d):
+    """Elimination one by one from all columns of the panel, on every fold."""
+    rows = sided(labelled(supplier_panel(spark, d)), "train")
+    return moments.eliminate_linear(rows, splits.fold_months(rows), list(V1_NUMBERS), alpha=10.0).withColumn("dropped", F.array_join("dropped", ","))
+
+
 CV = f"WITH {V1},{split('v1')},{FOLDS},{scores('fs', 'fl', 'fold, model')}"
 
 
