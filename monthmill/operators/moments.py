@@ -26,7 +26,10 @@ CONSTANT = 1e-7
 
 @dataclass(frozen=True)
 class FoldMoments:
-    """A fold's training rows: number, label's mean, and of the imputed features medians, means, deviations, correlations and covariances with the label."""
+    """A fold's training rows: number, label's mean, and of the imputed features medians, means, deviations, correlations and covariances with the label.
+
+    A feature that no row misses needs no median; 0 stands for it.
+    """
 
     fold: int
     n: int
@@ -70,14 +73,16 @@ def fold_moments(rows: DataFrame, months: DataFrame, features: list[str]) -> lis
     0 there; a constant one has deviation 0.  Folds without training rows are absent.
     """
     names = [f"f{k}" for k in range(len(features))]
-    rows = target_change(rows.select(TIME, TARGET, LAST, *[F.col(c).alias(n) for c, n in zip(features, names)]))
-    rows = _known(rows, names)
+    rows = _known(rows.select(TIME, TARGET, LAST, *[F.col(c).alias(n) for c, n in zip(features, names)]), names)
+    absent = rows.agg(*[F.count_if(F.isnull(n)).alias(n) for n in names]).first()
+    rows = target_change(rows)
     training = months.filter("fold_side = 'train'").select(TIME, "fold")
     # Values near 0 keep the sums' digits; any centre and unit give the same model.
     about = rows.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"d_{n}") for n in names]).first()
     centre = np.array([about[f"m_{n}"] or 0.0 for n in names])
     unit = np.array([about[f"d_{n}"] or 1.0 for n in names])
-    medians = _medians(rows, training, names)
+    gaps = [n for n in names if absent[n]]
+    medians = _medians(rows, training, gaps) if gaps else {}
     p, found = len(names), []
     for fold, sums in sorted(_matrices(rows, training, names, centre, unit).items()):
         middle = np.array([medians.get((fold, n), 0.0) for n in names])
