@@ -2,7 +2,7 @@
 
 A month's rows give one matrix of products of (1, values, missing flags, label).  Matrices
 add up over a fold's training months, and because the flags are in them, each fold's own
-medians are put in for missing values afterwards.  What reaches the driver is one matrix per
+medians are put in for missing values afterwards.  What reaches the driver is a matrix and medians per
 fold, whatever the number of rows.  NaN and infinite values count as missing.
 """
 
