@@ -47,7 +47,7 @@ class State:
     """Rows with baselines and route, pending rows and the tables around them; a service keeps these as tables, and so does this."""
 
     def __init__(self, spark, d):
-        rows = baselines(segmented(spark, d)).select(ID, TIME, TARGET, *LAGS, "history_id", "side", *BASELINES)
+        rows = baselines(segmented(spark, d), more=("history_id",)).select(ID, TIME, TARGET, *LAGS, "history_id", "side", *BASELINES)
         self.rows = overwrite(rows, scratch_path(spark, "rows"))
         self.checkpoints = _checkpoints(self.rows)
         pending = serving.pending_rows(self.rows, self.checkpoints, _floor(self.rows)).withColumn("route", serving.route())

@@ -1,6 +1,7 @@
 """Hand-written frames: short histories, gaps, nulls, ties, small denominators, broken panels."""
 
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -361,3 +362,27 @@ def test_restore_level_and_route(spark):
     df = spark.createDataFrame([(1.0, 10.0, 2), (1.0, None, 2), (1.0, 10.0, 0)], f"c double, {P.LAST} double, history_id int")
     assert [r[0] for r in df.select(models.restore_level(F.col("c"), F.col(P.LAST))).collect()] == [11.0, 1.0, 11.0]
     assert [r[0] for r in df.select(serving.route()).collect()] == ["model", "skip", "persistence"]
+
+
+def test_bootstrap_picks_are_spread_and_never_broadcast(spark):
+    """Few users in one partition: picks, 2,000 a user, looked as small to the optimizer as the users, and went through the driver or one task."""
+    rows = [("a", "b", str(u), float(u % 7 - 3), 1 + u % 3) for u in range(300)]
+    users = spark.createDataFrame(rows, "champion string, challenger string, user_id string, diff_sum double, n long").coalesce(1)
+    ci = paired.bootstrap_ci(users, draws=50)
+    low, high = ci.select("ci_low", "ci_high").first()
+    sums = [(r[3], r[4]) for r in sorted(rows, key=lambda r: (hashlib.md5(r[2].encode()).hexdigest()[:3], r[2]))]
+    means = []
+    for draw in range(50):
+        picked = [sums[int(hashlib.md5(f"{draw}|{place}|{paired.SEED}".encode()).hexdigest()[:8], 16) % 300] for place in range(300)]
+        means.append(sum(s for s, _ in picked) / sum(n for _, n in picked))
+    assert (low, high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    plan = ci._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan and "Range (0, 50" in plan
+
+
+def test_kept_panels_hold_only_what_is_read(spark, sf_dir):
+    from monthmill.plans import frames
+
+    assert set(frames.baselines(frames.segmented(spark, sf_dir), more=("history_id",)).columns) == {
+        "user_id", "month", "month_index", "target_closing_balance_usd", *frames.LAGS, "history_id", "side", *frames.BASELINES
+    }
