@@ -178,12 +178,16 @@ TAIL = 6
 CARRY = f"{ID} string, through date, n long, tail array<double>, steps long, step_mean double, step_m2 double"
 
 
-def _moments(values: Column) -> tuple[Column, Column, Column]:
-    """(number, mean, sum of squares about it) of an array's known values; 0 without any."""
-    known = F.filter(values, lambda x: x.isNotNull())
+def _with_moments(df: DataFrame, values: Column, name: str) -> DataFrame:
+    """``df`` with the number, mean and sum of squares about it of an array's known values, 0 without any, as ``name`` and _k, _mean, _m2.
+
+    Each is a column before the next one reads it: inside the last one's lambda a mean would be made again for every value.
+    """
+    known, mean = F.col(f"{name}_known"), F.col(f"{name}_mean")
+    df = df.withColumn(f"{name}_known", F.filter(values, lambda x: x.isNotNull()))
     total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-    mean = F.coalesce(F.try_divide(total, F.size(known)), F.lit(0.0))
-    return F.size(known).cast("long"), mean, F.aggregate(known, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    df = df.withColumns({f"{name}_k": F.size(known).cast("long"), f"{name}_mean": F.coalesce(F.try_divide(total, F.size(known)), F.lit(0.0))})
+    return df.withColumn(f"{name}_m2", F.aggregate(known, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))).drop(f"{name}_known")
 
 
 def carry_forward(carry: DataFrame, rows: DataFrame) -> DataFrame:
@@ -201,8 +205,7 @@ def carry_forward(carry: DataFrame, rows: DataFrame) -> DataFrame:
     j = j.withColumn("_all", F.concat("_tail", F.transform("_new", lambda x: x.b)))
     # An index below 0 has no balance, so a user's first month has no step.
     j = j.withColumn("_made", F.transform("_new", lambda x, i: x.b - F.get("_all", F.size("_tail") + i - 1)))
-    k, mean, m2 = _moments(F.col("_made"))
-    j = j.withColumns({"_k": k, "_mean": mean, "_m2": m2, "_k0": F.coalesce("steps", F.lit(0)), "_mean0": F.coalesce("step_mean", F.lit(0.0))})
+    j = _with_moments(j, F.col("_made"), "").withColumns({"_k0": F.coalesce("steps", F.lit(0)), "_mean0": F.coalesce("step_mean", F.lit(0.0))})
     both, apart = F.nullif(F.col("_k") + F.col("_k0"), F.lit(0)), F.col("_mean") - F.col("_mean0")
     return j.select(
         ID,
@@ -224,11 +227,12 @@ def next_month_from_carry(carry: DataFrame, full_months: int = 6) -> DataFrame:
     last = lambda k: F.slice("tail", F.greatest(F.size("tail") - (k - 1), F.lit(1)), k)
     made = {}
     for k, name in ((3, "roll3_{}_closing_balance_usd"), (6, "roll6_{}_balance")):
-        known, mean, m2 = _moments(last(k))
-        made[name.format("mean")] = F.when((F.col("n") >= k) & (known > 0), mean)
-        made[name.format("std")] = F.when((F.col("n") >= k) & (known > 1), F.sqrt(F.try_divide(m2, known - 1)))
-    known, negative, _ = _moments(F.transform(last(6), lambda b: (b < 0).cast("double")))
-    made["share_neg_last_6m"] = F.when((F.col("n") >= 6) & (known > 0), negative)
+        active = _with_moments(active, last(k), f"_last{k}")
+        known = F.col(f"_last{k}_k")
+        made[name.format("mean")] = F.when((F.col("n") >= k) & (known > 0), F.col(f"_last{k}_mean"))
+        made[name.format("std")] = F.when((F.col("n") >= k) & (known > 1), F.sqrt(F.try_divide(f"_last{k}_m2", known - 1)))
+    active = _with_moments(active, F.transform(last(6), lambda b: (b < 0).cast("double")), "_negative")
+    made["share_neg_last_6m"] = F.when((F.col("n") >= 6) & (F.col("_negative_k") > 0), F.col("_negative_mean"))
     return active.select(
         ID,
         F.add_months("through", 1).alias(TIME),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring, serving
 from ..sources.panel import ID, LAGS, TARGET, TIME, supplier_panel
-from ..sources.tables import overwrite, scratch_path
+from ..sources.tables import kept, overwrite, scratch_path
 from .base import query
 from .frames import BASELINES, baselines, predictions, segmented, sided
 from .sql import L1, L2, L3, PRED, V1, V3, Y, scores, split
@@ -212,9 +212,9 @@ def next_month_panel(spark, d):
 @query(NEXT_MONTH, K, "history_id", NEXT_NUMS)
 def next_month_from_carry(spark, d):
     """A carry of the months before 1997, moved on by 1997 and, twice, by what follows."""
-    panel = supplier_panel(spark, d).select(ID, TIME, TARGET)
+    panel = kept(supplier_panel(spark, d).select(ID, TIME, TARGET))
     carry = spark.createDataFrame([], serving.CARRY)
     year = F.year(TIME)
     for part in (year < 1997, year == 1997, year > 1996):
         carry = serving.carry_forward(carry, panel.filter(part))
-    return serving.next_month_from_carry(carry)
+    return serving.next_month_from_carry(kept(carry))
