@@ -386,3 +386,14 @@ def test_kept_panels_hold_only_what_is_read(spark, sf_dir):
     assert set(frames.baselines(frames.segmented(spark, sf_dir), more=("history_id",)).columns) == {
         "user_id", "month", "month_index", "target_closing_balance_usd", *frames.LAGS, "history_id", "side", *frames.BASELINES
     }
+
+
+def test_a_carrys_mean_is_not_made_for_every_value(spark):
+    """A mean inside the lambda of the sum of squares cost a history its square."""
+    rows = spark.createDataFrame([("a", month(k), float(k * k)) for k in range(9)], f"user_id string, month date, {P.TARGET} double")
+    carry = serving.carry_forward(spark.createDataFrame([], serving.CARRY), rows)
+    steps = np.diff([float(k * k) for k in range(9)])
+    got = carry.first()
+    assert (got.steps, got.step_mean, got.step_m2) == pytest.approx((8, steps.mean(), ((steps - steps.mean()) ** 2).sum()))
+    plan = carry._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 3, plan
