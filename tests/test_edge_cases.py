@@ -397,3 +397,25 @@ def test_a_carrys_mean_is_not_made_for_every_value(spark):
     assert (got.steps, got.step_mean, got.step_m2) == pytest.approx((8, steps.mean(), ((steps - steps.mean()) ** 2).sum()))
     plan = carry._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") <= 3, plan
+
+
+def test_three_month_deviation_by_value(spark):
+    """To the last digit that of mean and squares updated value by value, oldest first, as SQL's frames are; gaps and a null month among them."""
+
+    def by_value(*values):
+        n = mean = squares = 0.0
+        for x in values:
+            if x is not None:
+                n, apart = n + 1, x - mean
+                mean += apart / n
+                squares += (x - mean) * apart
+        return math.sqrt(squares / (n - 1)) if n > 1 else None
+
+    rng = np.random.default_rng(3)
+    flows = rng.integers(-9_999_999, 9_999_999, (40, 60))
+    rows = [(str(u), None if k == 59 else month(k), float(max(x, 0)), float(max(-x, 0))) for u in range(40) for k, x in enumerate(flows[u]) if k == 59 or (u + k) % 11]
+    rest = ["n", "nm", "acc", *(f"s{k}" for k in range(7))]
+    got = P._with_lags(spark.createDataFrame(rows, "user_id string, m date, cr double, db double").withColumns({c: F.lit(0.0) for c in rest})).collect()
+    dated = [r for r in got if r.month]
+    assert [r[P.ROLL3[1]] for r in dated] == [by_value(*[r[c] for c in reversed(P.LAGS)]) for r in dated]
+    assert sum(r[P.ROLL3[1]] is not None for r in dated) > 1000 and all(r[P.ROLL3[1]] is None for r in got if not r.month)
