@@ -11,13 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
 from ..sources.panel import LAST, TARGET, TIME
-from .models import fold_objective, fold_ratios, restore_level, target_change
-from .ordered import exact_quantiles, quantile_columns
+from .models import fold_objective, fold_ratios, target_change
+from .ordered import ACCURACY, quantile_columns
 from .scoring import score_all
 
 #: Deviations at or below this share of a column's overall deviation are rounding: the column is constant.
@@ -46,19 +47,89 @@ def _known(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _medians(rows: DataFrame, training: DataFrame, features: list[str]) -> dict[tuple[int, str], float]:
-    long = rows.join(F.broadcast(training), TIME).unpivot(["fold"], features, "column", "value")
-    return {(r.fold, r.column): r.q for r in exact_quantiles(long, "value", (0.5,), ("fold", "column")).select("fold", "column", "q").collect()}
+    """Exact medians by fold and column, in two readings; columns without a value in a fold are absent.
+
+    As in ``exact_quantiles``, an approximate bracket holds the rows in question: rows below it are counted, those inside by value.
+    Columns stay beside each other, so that a row is not one per column; only what lies in a bracket is.
+    """
+    tagged = rows.select(TIME, *features).join(F.broadcast(training), TIME)
+    reach = 2 / ACCURACY
+    ends = F.array(F.lit(0.5 - reach), F.lit(0.5 + reach))
+    rough = tagged.groupBy("fold").agg(
+        *[F.percentile_approx(c, ends, ACCURACY).alias(f"e_{c}") for c in features], *[F.count(c).alias(f"n_{c}") for c in features],
+        *[F.min(c).alias(f"a_{c}") for c in features], *[F.max(c).alias(f"z_{c}") for c in features],
+    )
+    known: dict[tuple[int, str], tuple[int, float, float]] = {}
+    for r in rough.collect():
+        for c in features:
+            if r[f"n_{c}"]:
+                # Where a bracket's reach is less than a row or two, everything lies inside.
+                known[r.fold, c] = (r[f"n_{c}"], *((r[f"a_{c}"], r[f"z_{c}"]) if r[f"n_{c}"] <= ACCURACY else r[f"e_{c}"]))
+    days: dict[int, list[int]] = {}
+    for r in training.select("fold", F.unix_date(TIME).alias("day")).collect():
+        days.setdefault(r.fold, []).append(r.day)
+
+    read = _reader()
+
+    def counted(batches):
+        for batch in batches:
+            day, columns = read(batch, len(features))
+            for fold, of_fold in days.items():
+                here = np.isin(day, of_fold)
+                for k, c in enumerate(features):
+                    if (fold, c) in known:
+                        _, low, high = known[fold, c]
+                        x = columns[k][here]
+                        values, t = np.unique(x[(x >= low) & (x <= high)], return_counts=True)
+                        # Everything below a bracket is one value, null, to its counts.
+                        at = pa.array([None, *values.tolist()], pa.float64())
+                        yield pa.RecordBatch.from_arrays([pa.array([fold] * len(at), pa.int32()), pa.array([c] * len(at)), at, pa.array([int((x < low).sum()), *t.tolist()], pa.int64())], names=["fold", "c", "v", "t"])
+
+    counts = rows.select(F.unix_date(TIME), *features).mapInArrow(counted, "fold int, c string, v double, t long").groupBy("fold", "c", "v").agg(F.sum("t").alias("t"))
+    upto = F.sum("t").over(Window.partitionBy("fold", "c").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = rows.sparkSession.createDataFrame([(fold, c, n) for (fold, c), (n, _, _) in known.items()], "fold int, c string, n long")
+    ranked = counts.withColumn("upto", upto).join(F.broadcast(sizes), ["fold", "c"])
+    first = lambda rank: F.min(F.when(F.col("upto") > rank, F.struct("upto", "v"))).getField("v")
+    both = ranked.groupBy("fold", "c").agg(first(F.floor((F.col("n") - 1) / 2)).alias("a"), first(F.ceil((F.col("n") - 1) / 2)).alias("b"))
+    return {(r.fold, r.c): r.a if r.a == r.b else 0.5 * r.a + 0.5 * r.b for r in both.collect()}
+
+
+def _reader():
+    """A batch's first column, and the next ``p`` as doubles with NaN for null; made here, so that workers needn't import this module."""
+
+    def columns(batch, p: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        get = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
+        return get(0), [get(k + 1).astype(float) for k in range(p)]
+
+    return columns
 
 
 def _matrices(rows: DataFrame, training: DataFrame, features: list[str], centre: np.ndarray, unit: np.ndarray) -> dict[int, np.ndarray]:
-    """A fold's sums of products; a row becomes as many rows as the vector is long, which meet in partial sums by month."""
-    values = [F.coalesce((F.col(c) - float(m)) / float(s), F.lit(0.0)) for c, m, s in zip(features, centre, unit)]
-    flags = [F.isnull(c).cast("double") for c in features]
-    vector = rows.select(TIME, F.array(F.lit(1.0), *values, *flags, F.col("change")).alias("v"))
-    size = 2 * len(features) + 2
-    each = vector.select(TIME, "v", F.posexplode("v").alias("i", "x"))
-    months = each.groupBy(TIME, "i").agg(*[F.sum(F.col("x") * F.get("v", F.lit(j))).alias(f"s{j}") for j in range(size)])
-    sums = months.join(F.broadcast(training), TIME).groupBy("fold", "i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(size)])
+    """A fold's sums of products: a task adds up a matrix per month, and these meet by fold and row of the matrix."""
+    p = len(features)
+    size = 2 * p + 2
+
+    read = _reader()
+
+    def products(batches):
+        sums: dict[object, np.ndarray] = {}
+        for batch in batches:
+            month, given = read(batch, p + 1)
+            x = np.stack(given[:p], axis=1)
+            gone = np.isnan(x)
+            values = np.where(gone, 0.0, (x - centre) / unit)
+            vector = np.hstack([np.ones((len(x), 1)), values, gone, given[p][:, None]])
+            for m in np.unique(month):
+                part = vector[month == m]
+                sums[m] = sums.get(m, 0.0) + part.T @ part
+        for m, matrix in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([int(m)] * size, pa.int32()), pa.array(range(size), pa.int32()), *[pa.array(matrix[:, j]) for j in range(size)]], names=columns)
+
+    columns = ["day", "i", *[f"s{j}" for j in range(size)]]
+    schema = "day int, i int, " + ", ".join(f"s{j} double" for j in range(size))
+    months = rows.select(F.unix_date(TIME), *features, "change").mapInArrow(products, schema)
+    by_day = training.select(F.unix_date(TIME).alias("day"), "fold")
+    sums = months.join(F.broadcast(by_day), "day").groupBy("fold", "i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(size)])
     found: dict[int, np.ndarray] = {}
     for r in sums.collect():
         found.setdefault(r.fold, np.zeros((size, size)))[r.i] = [r[f"s{j}"] for j in range(size)]
@@ -157,28 +228,45 @@ FAMILIES = {"ridge": ridge, "elastic_net": elastic_net}
 def fold_predictions(rows: DataFrame, months: DataFrame, features: list[str], moments: list[FoldMoments], weights: dict[str, dict[int, np.ndarray]]) -> DataFrame:
     """(fold, model, truth, prediction, anchor) of the validation rows: every model of ``weights`` (by fold) and persistence, in one reading.
 
-    Rows meet the models of their fold in a broadcast join (folds x models rows) inside the scan's stage.
+    A task multiplies its rows of a fold by the weights of all that fold's models.
     """
     spark, p = rows.sparkSession, len(features)
     names = [f"_f{k}" for k in range(p)]
-    of_fold = {m.fold: m for m in moments}
-    fits: list[tuple] = [(k, "persistence", None, *[None] * p) for k in of_fold]
-    for model, found in weights.items():
-        for k, w in found.items():
-            m = of_fold[k]
-            raw = w / np.where(m.deviations > 0, m.deviations, 1.0)
-            fits.append((k, model, float(m.label - raw @ m.means), *map(float, raw)))
-    fits_df = spark.createDataFrame(fits, "fold int, model string, _b double, " + ", ".join(f"_w{k} double" for k in range(p)))
-    middles = spark.createDataFrame([(m.fold, *map(float, m.medians)) for m in moments], "fold int, " + ", ".join(f"_m{k} double" for k in range(p)))
+    fits: dict[int, tuple] = {}
+    models = ["persistence", *weights]
+    for m in moments:
+        found = [(k, of_fold[m.fold]) for k, of_fold in enumerate(weights.values(), 1) if m.fold in of_fold]
+        raw = np.array([w / np.where(m.deviations > 0, m.deviations, 1.0) for _, w in found]).reshape(len(found), p)
+        fits[m.fold] = ([k for k, _ in found], raw, m.label - raw @ m.means, m.medians)
+
+    read = _reader()
+
+    def predicted(batches):
+        for batch in batches:
+            fold, given = read(batch, p + 3)
+            truth, anchor, middle, x = *given[:3], np.stack(given[3:], axis=1)
+            for f in np.unique(fold):
+                here = fold == f
+                numbers, raw, base, medians = fits[f]
+                own = np.where(np.isnan(x[here]), medians, x[here])
+                change, known = own @ raw.T + base, ~np.isnan(anchor[here])
+                naive = np.where(known, anchor[here], middle[here])
+                value = np.hstack([naive[:, None], np.where(known[:, None], np.where(known, anchor[here], 0.0)[:, None] + change, change)])
+                n, width = value.shape
+                with_null = lambda v: pa.array(np.repeat(v, width), from_pandas=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n * width, f, dtype=np.int32)), pa.array(np.tile(np.array([0, *numbers], dtype=np.int32), n)), with_null(truth[here]), pa.array(value.ravel(), from_pandas=True), with_null(anchor[here])],
+                    names=["fold", "no", "truth", "prediction", "anchor"],
+                )
+
     known = rows.select(TIME, F.col(TARGET).cast("double").alias("truth"), F.col(LAST).cast("double").alias("anchor"), *[F.col(c).alias(n) for c, n in zip(features, names)])
     known = _known(known, names)
     target = quantile_columns(known.join(F.broadcast(months.filter("fold_side = 'train'")), TIME), "truth", {"_middle": 0.5}, ("fold",))
-    held = known.join(F.broadcast(months.filter("fold_side = 'validate'").select(TIME, "fold")), TIME).join(F.broadcast(middles), "fold").join(F.broadcast(target), "fold")
-    held = held.select("fold", "truth", "anchor", "_middle", *[F.coalesce(n, f"_m{k}").alias(n) for k, n in enumerate(names)])
-    change = sum((F.col(n) * F.col(f"_w{k}") for k, n in enumerate(names)), F.col("_b"))
-    naive = F.coalesce("anchor", "_middle")
-    value = F.when(F.col("model") == "persistence", naive).otherwise(restore_level(change, F.col("anchor")))
-    return held.join(F.broadcast(fits_df), "fold").select("fold", "model", "truth", value.alias("prediction"), "anchor")
+    held = known.join(F.broadcast(months.filter("fold_side = 'validate'").select(TIME, "fold")), TIME).join(F.broadcast(target), "fold").filter(F.col("fold").isin(*fits))
+    held = held.filter("anchor IS NULL OR NOT isnan(anchor)")  # no model has a usable prediction there
+    made = held.select("fold", "truth", "anchor", "_middle", *names).mapInArrow(predicted, "fold int, no int, truth double, prediction double, anchor double")
+    named = spark.createDataFrame(list(enumerate(models)), "no int, model string")
+    return made.join(F.broadcast(named), "no").select("fold", "model", "truth", "prediction", "anchor")
 
 
 def search_linear(rows: DataFrame, months: DataFrame, features: list[str], settings: dict[str, dict], weights: str = "linear") -> DataFrame:

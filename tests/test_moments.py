@@ -188,3 +188,26 @@ def test_drawn_settings():
     for n, bad in ((0, space), (1, {"loss": ()})):
         with pytest.raises(ValueError):
             draw("s", bad, n)
+
+
+def test_fold_months_read_no_rows(spark):
+    rows = spark.range(400).selectExpr("add_months(date'2015-01-01', int(id % 40)) AS month")
+    months = splits.fold_months(rows)
+    plan = months._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "Exchange" not in plan
+    assert {(r.fold, r.fold_side) for r in months.collect()} == {(k, s) for k in range(1, 6) for s in ("train", "validate")}
+
+
+def test_fold_medians_are_exact(spark):
+    """More rows than the approximation is exact for, many of them equal, and a column that a fold lacks."""
+    rng = np.random.default_rng(5)
+    n, month = 30_000, rng.integers(0, 3, 30_000)
+    a, b = rng.normal(0, 1, n), rng.integers(0, 3, n).astype(float)
+    a[rng.random(n) < 0.3] = np.nan
+    b[month == 0] = np.nan
+    day = lambda k: date(2020, int(k) + 1, 1)
+    rows = spark.createDataFrame([(day(m), *[None if np.isnan(v) else float(v) for v in x]) for m, *x in zip(month, a, b)], "month date, a double, b double")
+    training = spark.createDataFrame([(day(m), fold) for fold in (1, 2, 3) for m in range(fold)], "month date, fold int")
+    got = moments._medians(rows, training, ["a", "b"])
+    want = {(fold, c): float(np.nanmedian(v[month < fold])) for fold in (1, 2, 3) for c, v in (("a", a), ("b", b)) if (fold, c) != (1, "b")}
+    assert got == pytest.approx(want, abs=0, rel=1e-15)
