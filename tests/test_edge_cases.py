@@ -419,3 +419,23 @@ def test_three_month_deviation_by_value(spark):
     dated = [r for r in got if r.month]
     assert [r[P.ROLL3[1]] for r in dated] == [by_value(*[r[c] for c in reversed(P.LAGS)]) for r in dated]
     assert sum(r[P.ROLL3[1]] is not None for r in dated) > 1000 and all(r[P.ROLL3[1]] is None for r in got if not r.month)
+
+
+def test_rows_with_baselines_are_one_reading(spark, sf_dir):
+    """The cut and the training median were looked for again, the months by scans of the whole panel, wherever rows were read."""
+    from monthmill.plans import frames
+
+    rows = frames.baselines(P.supplier_panel(spark, sf_dir))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("InMemoryRelation") == 1, plan
+    empty = splits.holdout_labels(spark.createDataFrame([], f"user_id string, month date, {P.TARGET} double"))
+    assert empty.columns[-1] == "side" and not empty.collect()
+
+
+def test_sizes_of_odd_supplier_numbers(spark, tmp_path):
+    """A negative number's remainder pointed before the first size, an error; a missing one had no size.  SQL gives both the last."""
+    line = "l_suppkey long, l_partkey long, l_linestatus string, l_returnflag string, l_extendedprice double, l_discount double, l_shipdate timestamp"
+    rows = [(k, 1, "O", "N", 4000.0, 0.0, dt.datetime(1997, 3, 5)) for k in (3, 4, 5, -1, -2, -3, None)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.user_id: r[P.TARGET] for r in P.supplier_panel(spark, str(tmp_path)).collect()}
+    assert got == {"3": 25.0, "4": 100.0, "5": 300.0, "-1": 300.0, "-2": 300.0, "-3": 25.0, None: 300.0}
