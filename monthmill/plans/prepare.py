@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..operators import features, segments, splits, validation
 from ..sources import tables
-from ..sources.panel import COUNTS, ID, LAGS, LAST, ROLL3, SPEND, TARGET, TIME, V1_NUMBERS, Panel, customer_panel, supplier_panel
+from ..sources.panel import COUNTS, ID, LAGS, LAST, ROLL3, SPEND, TARGET, TIME, V1_NUMBERS, Panel, customer_panel, supplier_panel, table
 from .base import query
 from .frames import segmented, windowed
 from .sql import L1, L2, L3, P2, V1, V3, safe, split
@@ -229,9 +229,10 @@ _window("v3_features_all", " ".join(features.V3_DERIVED), *features.BUILDERS, in
 
 @query(f"WITH {V1},{V3}\nSELECT * FROM seg", K, " ".join(features.SEGMENT_IDS), " ".join((TARGET, *V1_NUMBERS, *features.V3_DERIVED)))
 def sink_bucketed_table(spark, d):
-    """All features of the panel's bucketed table, whose windows need no exchange."""
+    """All features of the panel's bucketed table, whose windows need no exchange.  A month has a line at least, so lines, which are counted already, bound its rows."""
     path = tables.scratch_path(spark, "bucketed")
-    panel = tables.bucketed(supplier_panel(spark, d), f"panel_{path[-12:]}", path, buckets=8)
+    buckets = tables.buckets_for(table(spark, d, "lineitem").count())
+    panel = tables.bucketed(supplier_panel(spark, d), f"panel_{path[-12:]}", path, buckets)
     return features.feature_table(segments.assign_all(features.window_features(panel)))
 
 

@@ -439,3 +439,13 @@ def test_sizes_of_odd_supplier_numbers(spark, tmp_path):
     spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.user_id: r[P.TARGET] for r in P.supplier_panel(spark, str(tmp_path)).collect()}
     assert got == {"3": 25.0, "4": 100.0, "5": 300.0, "-1": 300.0, "-2": 300.0, "-3": 25.0, None: 300.0}
+
+
+def test_buckets_grow_with_the_table(spark, sf_dir, monkeypatch):
+    """Eight buckets whatever the rows: a task's share grew with the panel."""
+    from monthmill.plans import prepare
+
+    assert [tables.buckets_for(n) for n in (0, 8_000_000, 8_000_001, 36_000_000, 216_000_000)] == [8, 8, 16, 64, 256]
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 500)
+    lines = P.table(spark, sf_dir, "lineitem").count()
+    assert prepare.sink_bucketed_table(spark, sf_dir).rdd.getNumPartitions() == tables.buckets_for(lines) > 8
