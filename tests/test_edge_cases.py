@@ -449,3 +449,12 @@ def test_buckets_grow_with_the_table(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "BUCKET_ROWS", 500)
     lines = P.table(spark, sf_dir, "lineitem").count()
     assert prepare.sink_bucketed_table(spark, sf_dir).rdd.getNumPartitions() == tables.buckets_for(lines) > 8
+
+
+def test_scores_of_both_sides_are_made_once(spark, sf_dir):
+    """Each of their uses read the panel for the medians again."""
+    from monthmill.plans import forecast
+
+    train, test = forecast._sides(P.supplier_panel(spark, sf_dir))
+    plan = scoring.train_vs_test(train, test)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "FileScan" not in plan and train.count() == test.count() == 2
