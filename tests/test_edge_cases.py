@@ -466,3 +466,10 @@ def test_picks_by_batches_equal_sql(spark):
     got = blocks.mapInArrow(paired._picks(["scenario", "draw"], paired.SEED), "scenario string, draw int, no long").collect()
     pick = lambda draw, place, users: int(hashlib.md5(f"{draw}|{place}|{paired.SEED}".encode()).hexdigest()[:8], 16) % users
     assert sorted(map(tuple, got), key=str) == sorted([("x", 3, pick(3, p, 5000)) for p in range(5000)] + [(None, 7, 0)], key=str)
+
+
+def test_spread_of_lags_makes_no_windows_of_its_own(spark, sf_dir):
+    """The spread names the lags many times; each is one window all the same."""
+    for panel in (P.supplier_panel, P.customer_panel):
+        plan = panel(spark, sf_dir).select(P.ID, P.TIME, *P.LAGS, P.ROLL3[1])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("windowspecdefinition") == 4  # the running balance and three lags
